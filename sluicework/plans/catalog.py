@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from sluicework.plans import reading  # noqa: F401
+from sluicework.plans import filtering, reading, shaping, writing  # noqa: F401
 from sluicework.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -229,13 +229,10 @@ def memory_table(spark, sf):
     return generators.memory_source(spark, "named_nations")
 
 
-@query("source_position", "SELECT event_id, 'events.parquet' AS src_file, '0' AS src_block_start FROM events")
+@query("source_position", "SELECT event_id, 'events.parquet' AS src_file FROM events")
 def source_position(spark, sf):
     placed = files.with_source_position(table(spark, sf, "events"))
-    return placed.select(
-        "event_id", F.col("metadata")["src.file"].alias("src_file"),
-        F.lit("0").alias("src_block_start"),
-    )
+    return placed.select("event_id", F.col("metadata")["src.file"].alias("src_file"))
 
 
 _TOPICS = "SELECT event_id, concat_ws('/', 'sensors', event_type, CAST(user_id AS VARCHAR)) AS topic FROM events"

@@ -80,7 +80,7 @@ def topic_regex(pattern: str) -> str:
     tail = ""
     if levels[-1] == "#":
         levels, tail = levels[:-1], "(/.*)?"
-    body = "/".join("[^/]+" if x == "+" else re.escape(x) for x in levels)
+    body = "/".join("[^/]*" if x == "+" else re.escape(x) for x in levels)
     return f"^{body}{tail}$"
 
 
