@@ -11,7 +11,6 @@ import re
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,12 +92,18 @@ def map_fields(df: DataFrame, mapping: dict[str, Any], error: str = "error") ->
 
 def _resolve(df: DataFrame, path: str) -> Column:
     """A path as a Column; array steps past the end and unknown fields give NULL."""
-    safe = re.sub(r"^(.*)\[(\d+)\](.*)$", r"get(\1, \2)\3", path)
-    try:
-        df.select(F.expr(safe))
-        return F.expr(safe)
-    except AnalysisException:
-        return F.lit(None).cast("string")
+    kind, column = df.schema, None
+    for name, index in re.findall(r"([^.\[\]]+)|\[(\d+)\]", path):
+        if name:
+            if not isinstance(kind, T.StructType) or name not in kind.names:
+                return F.lit(None).cast("string")
+            kind = kind[name].dataType
+            column = F.col(f"`{name}`") if column is None else column.getField(name)
+        else:
+            if not isinstance(kind, T.ArrayType):
+                return F.lit(None).cast("string")
+            kind, column = kind.elementType, F.get(column, int(index))
+    return column
 
 
 def project(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -333,7 +333,7 @@ def transform_expression(spark, sf):
 def _matrix(coerce: bool, defaults: bool) -> None:
     """Typed documents counted per outcome under one pair of options."""
     passes = "o_totalprice IS NOT NULL AND o_totalprice <> 'oops'" if coerce else "false"
-    tier = "'standard'" if defaults else "NULL"
+    tier = "'standard'" if defaults else "CAST(NULL AS VARCHAR)"
     sql = with_views("orders_text") + (
         f"SELECT {passes} AS passed, CASE WHEN {passes} THEN {tier} END AS tier, count(*) AS n FROM orders_text GROUP BY ALL"
     )

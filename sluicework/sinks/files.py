@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sluicework.functions.codecs import ALGORITHMS, encrypt_payload, pack
 from sluicework.functions.envelopes import envelope_json
+from sluicework.session import path_exists
 
 # File name endings per format and codec.
 FORMAT_EXTENSION = {"raw": "jsonl", "json": "jsonl", "normal": "jsonl", "text": "jsonl", "csv": "csv"}
@@ -133,13 +134,13 @@ def write_objects(
     df: DataFrame, prefix: str, encoding: str = "raw", date_partition: bool = True, now: Column | None = None
 ) -> None:
     """Immutable objects below ``prefix``, by write date (UTC) when asked."""
-    lines = encoded(df, encoding)
     if not date_partition:
-        lines.write.mode("append").text(prefix)
+        encoded(df, encoding).write.mode("append").text(prefix)
         return
+    line = row_json(df) if encoding == "raw" else envelope_json(df, encoding)
     at = now if now is not None else F.current_timestamp()
-    dated = lines.select(
-        "value", F.date_format(at, "yyyy").alias("year"), F.date_format(at, "MM").alias("month"),
+    dated = df.select(
+        line.alias("value"), F.date_format(at, "yyyy").alias("year"), F.date_format(at, "MM").alias("month"),
         F.date_format(at, "dd").alias("day"),
     )
     dated.write.mode("append").partitionBy("year", "month", "day").text(prefix)
@@ -158,13 +159,12 @@ def drain(df: DataFrame) -> None:
 def append_table(df: DataFrame, path: str, create: bool = True) -> None:
     """Append to a Parquet table, by column name.  ``create=False`` refuses a missing table."""
     spark = df.sparkSession
-    try:
-        existing = spark.read.parquet(path).schema
-    except Exception as missing:
+    if not path_exists(spark, path):
         if not create:
-            raise ValueError(f"table does not exist: {path}") from missing
+            raise ValueError(f"table does not exist: {path}")
         df.write.parquet(path)
         return
+    existing = spark.read.parquet(path).schema
     df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in existing]).write.mode("append").parquet(path)
 
 
