@@ -1 +1,8 @@
 """Record pipelines on Spark: read, filter, shape, route, deduplicate, apply changes, resume."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors carry their code along, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

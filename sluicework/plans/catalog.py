@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sluicework.operators import filtering, routing, shaping
 from sluicework.plans import (  # noqa: F401
-    filtering as _filtering, keyed, measuring, reading, routing as _routing, shaping as _shaping, writing,
+    filtering as _filtering, jobs, keyed, measuring, reading, routing as _routing, shaping as _shaping, writing,
 )
 from sluicework.plans.registry import ORACLE, QUERIES, query, table
 

@@ -207,7 +207,7 @@ def parity_doctored(spark, sf):
     changed = F.when(F.col("l_orderkey") % 50 == 0, F.col("l_quantity") + 1000).otherwise(F.col("l_quantity"))
     right = left.where("l_orderkey % 101 != 1").withColumn("l_quantity", changed)
     found = parity.parity(left, right)
-    key = F.from_json("record", "l_orderkey bigint, l_linenumber bigint")
+    key = F.from_json("record", "l_orderkey bigint, l_linenumber int")
     copies = F.expr("explode(sequence(1L, abs(left_n - right_n)))")
     side = F.when(F.col("left_n") > F.col("right_n"), "left").otherwise("right")
     return found.select(key.alias("k"), side.alias("side"), copies).select("k.l_orderkey", "k.l_linenumber", "side")
