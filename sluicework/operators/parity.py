@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def record_form(df: DataFrame, column: str | None = None, numeric: bool = False) -> Column:
@@ -17,9 +18,15 @@ def record_form(df: DataFrame, column: str | None = None, numeric: bool = False)
 
     Types count: ``7.0`` differs from ``7`` unless ``numeric`` is set.
     """
-    text = F.col(column) if column else F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    parsed = F.try_parse_json(text)
-    canonical = F.coalesce(F.to_json(parsed), text)
+    if column is None:
+        kinds = {f.name: f.dataType for f in df.schema}
+        members = [
+            F.col(c).cast("double").alias(c) if numeric and isinstance(kinds[c], T.NumericType) else F.col(c)
+            for c in sorted(df.columns)
+        ]
+        return F.to_json(F.struct(*members), {"ignoreNullFields": "false"})
+    parsed = F.try_parse_json(column)
+    canonical = F.coalesce(F.to_json(parsed), F.col(column))
     if numeric:
         return canonical
     return F.concat_ws("\x1f", canonical, F.schema_of_variant(parsed))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluicework.functions import rules
-from sluicework.functions.rules import Options, Outcome, TextField, VariantField
+from sluicework.functions.rules import DocumentRoot, Options, Outcome, Stages, TextField, VariantField
 
 TRANSFORM_ERROR = "transform_error"
 _CODE = re.compile(r"^(\S+) \[(\w+)\]")
@@ -130,6 +130,7 @@ def type_columns(
     needed = set(schema.get("required", []))
     known = {f.name: f.dataType for f in df.schema}
     outcomes: dict[str, Outcome] = {}
+    stages = Stages()
     for name, rule in schema["properties"].items():
         source = (mapping or {}).get(name, name)
         if source not in known:
@@ -138,12 +139,11 @@ def type_columns(
             column = F.col(source)
         else:
             column = F.col(source).cast("string")
-        outcomes[name] = rules.apply_rule(TextField(column), rule, f"$.{name}", options, name in needed)
-    return df.select(
-        *[F.col(c) for c in keep],
-        *[o.value.alias(n) for n, o in outcomes.items()],
-        F.coalesce(*[o.error for o in outcomes.values()]).alias(error),
-    )
+        field = TextField(column, stages)
+        outcomes[name] = rules.apply_rule(field, rule, f"$.{name}", options, name in needed)
+    kept = [*[F.col(c) for c in keep], *[o.value.alias(n) for n, o in outcomes.items()]]
+    first = rules.first_error([o.error for o in outcomes.values()])
+    return rules.settled(stages.apply(df), kept, **{error: first})
 
 
 def check_required(df: DataFrame, fields: Sequence[str], error: str = "error") -> DataFrame:
@@ -194,21 +194,23 @@ def transform(
     if on_error not in ("reject", "pass_through"):
         raise ValueError(f"on_error must be reject or pass_through, not {on_error}")
     options = Options(coerce, apply_defaults, coerce_empty_as_null)
-    doc = F.col("doc")
+    doc, stages = F.col("doc"), Stages()
     parsed = df.withColumn("doc", F.try_parse_json(payload))
-    root = VariantField(doc, "$")
+    root = DocumentRoot(doc, F.col(payload), stages)
     if expression is not None:
         remade = F.try_parse_json(F.expr(expression))
         parsed = parsed.withColumn("doc", F.when(root.is_object, remade))
     if mapping:
-        outcome = _mapped(doc, mapping, schema, options)
+        outcome = _mapped(doc, mapping, schema, options, stages)
     elif schema:
         outcome = rules.apply_object(root, schema, "$", options)
     else:
-        outcome = Outcome(doc, F.to_json(doc), F.lit(True), F.lit(None).cast("string"))
+        outcome = Outcome(doc, lambda: F.to_json(doc), None, None)
     not_document = rules.error_text("$", rules.TYPE_MISMATCH, "payload is not a JSON object")
-    error = F.when(root.is_object, outcome.error).otherwise(not_document)
-    shaped = parsed.withColumn(TRANSFORM_ERROR, error).withColumn("_new", outcome.json)
+    error = F.when(root.is_object, rules.first_error([outcome.error])).otherwise(not_document)
+    kept = [F.col(c) for c in df.columns]
+    text = outcome.json()  # may add to the stages, so before they are applied
+    shaped = rules.settled(stages.apply(parsed), kept, **{TRANSFORM_ERROR: error, "_new": text})
     if on_error == "pass_through":
         failed = F.col(TRANSFORM_ERROR).isNotNull()
         done = shaped.withColumn(payload, F.when(failed, F.col(payload)).otherwise(F.col("_new")))
@@ -217,32 +219,26 @@ def transform(
                 F.col(metadata), F.create_map(F.lit(TRANSFORM_ERROR), F.col(TRANSFORM_ERROR))
             )
             done = done.withColumn(metadata, F.when(failed, noted).otherwise(F.col(metadata)))
-        return done.drop("doc", "_new")
+        return done.drop("_new")
     good = shaped.where(F.col(TRANSFORM_ERROR).isNull()).withColumn(payload, F.col("_new"))
     rejects = shaped.where(F.col(TRANSFORM_ERROR).isNotNull())
-    return good.drop("doc", "_new", TRANSFORM_ERROR), rejects.drop("doc", "_new")
+    return good.drop("_new", TRANSFORM_ERROR), rejects.drop("_new")
 
 
-def _mapped(doc: Column, mapping: dict[str, Any], schema, options: Options) -> Outcome:
+def _mapped(doc: Column, mapping: dict[str, Any], schema, options: Options, stages: Stages) -> Outcome:
     """Mapping outputs as outcomes, typed by the schema property of the same (dotted) name."""
     leaves: dict[str, Outcome] = {}
     for name, rule in mapping.items():
         rule = {"path": rule} if isinstance(rule, str) else dict(rule)
         source = f"$.{_path(rule['path'])}"
-        field = VariantField(doc, source)
+        field = VariantField(doc, source, stages)
         target, needed = _schema_rule(schema, name)
         needed = needed or bool(rule.get("required"))
         if target is None:
-            done = Outcome(field.here, field.raw_json(), ~field.absent, F.lit(None).cast("string"))
-            if needed and "default" not in rule:
-                missing = rules.error_text(source, rules.MISSING_REQUIRED, "required field is absent")
-                done = Outcome(done.value, done.json, done.present, F.when(field.absent, missing))
+            missing = rules.error_text(source, rules.MISSING_REQUIRED, "required field is absent")
+            done = Outcome(field.here, field.raw_json, ~field.absent, F.when(field.absent, missing) if needed else None)
             if "default" in rule:
-                encoded = F.lit(json.dumps(rule["default"]))
-                done = Outcome(
-                    F.coalesce(done.value, F.parse_json(encoded)),
-                    F.coalesce(done.json, encoded), F.lit(True), done.error,
-                )
+                done = _with_default(field, F.lit(json.dumps(rule["default"])))
         else:
             merged = {**target, **({"default": rule["default"]} if "default" in rule else {})}
             defaults = Options(options.coerce, options.apply_defaults or "default" in rule, options.empty_as_null)
@@ -255,16 +251,22 @@ def _mapped(doc: Column, mapping: dict[str, Any], schema, options: Options) -> O
             leaves[name] = rules.apply_rule(absent, rule, f"$.{name}", options, needed)
 
     def combine(node: dict[str, Outcome]) -> Outcome:
-        text = rules.object_json([(n, o.present, o.json) for n, o in node.items()])
         value = F.struct(*[o.value.alias(n) for n, o in node.items()])
-        present = F.lit(False)
-        for o in node.values():
-            present = present | o.present
-        return Outcome(value, text, present, F.coalesce(*[o.error for o in node.values()]))
+        flags = [o.present for o in node.values()]
+        present = None if any(f is None for f in flags) else rules.any_of(*flags)
+        return Outcome(
+            value, lambda: rules.object_json(list(node.items())), present,
+            rules.first_error([o.error for o in node.values()]),
+        )
 
     return _nest(leaves, combine)
 
 
+def _with_default(field: VariantField, encoded: Column) -> Outcome:
+    value = F.coalesce(field.here, F.parse_json(encoded))
+    return Outcome(value, lambda: F.coalesce(field.raw_json(), encoded), None, None)
+
+
 def _schema_rule(schema, name: str) -> tuple[dict | None, bool]:
     node, needed = schema or {}, False
     for part in name.split("."):
