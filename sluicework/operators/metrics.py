@@ -40,10 +40,8 @@ def throughput(df: DataFrame, ts: str, keys: Sequence[str] = ()) -> DataFrame:
 
 def tick_counts(df: DataFrame, ts: str, tick: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rows per fixed tick."""
-    counted = df.groupBy(*keys, F.window(F.col(ts).cast("timestamp"), tick).alias("w")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return counted.select(*keys, F.col("w.start").cast("timestamp_ntz").alias("tick"), "n")
+    counted = df.groupBy(*keys, F.window(ts, tick).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(*keys, F.col("w.start").alias("tick"), "n")
 
 
 def _chunked(df: DataFrame, route: str, ts: str, chunk_seconds: float) -> DataFrame:

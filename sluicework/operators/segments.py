@@ -51,11 +51,20 @@ class Bounds:
 
 
 def order_value(df: DataFrame, column: str) -> Column:
-    """The order column as BIGINT: microseconds for timestamps, the number itself otherwise."""
+    """The order column as BIGINT: microseconds for timestamps, the number itself otherwise.
+
+    A timestamp without zone is counted from its own calendar fields, so the session's zone
+    and its clock changes cannot reorder rows.
+    """
     kind = df.schema[column].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(column).cast("timestamp"))
-    return F.col(column).cast("bigint")
+    ts = F.col(column)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(ts)
+    if isinstance(kind, T.TimestampNTZType):
+        days = F.unix_date(ts.cast("date")).cast("bigint")
+        minutes = days * 1440 + F.hour(ts) * 60 + F.minute(ts)
+        return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+    return ts.cast("bigint")
 
 
 def segment(

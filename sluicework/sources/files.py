@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from sluicework.functions.codecs import MAGIC, decrypt_payload, unpack
 from sluicework.functions.envelopes import EMPTY_METADATA, ENVELOPE_JSON
 
-# Leading codec bytes as Spark decodes them in a text scan (invalid UTF-8 becomes U+FFFD).
-_MAGIC_TEXT = {name: magic.decode("utf-8", "replace") for name, magic in MAGIC.items()}
-
 
 def line_separator(delimiter: str) -> str:
     """A single character, or a byte written as ``0x1e``."""
@@ -39,8 +36,8 @@ def read_raw(
     if compression == "none":
         lines = spark.read.option("lineSep", separator).text(path)
         compressed = F.lit(False)
-        for magic in _MAGIC_TEXT.values():
-            compressed = compressed | F.col("value").startswith(magic)
+        for magic in MAGIC.values():
+            compressed = compressed | F.startswith(F.col("value").cast("binary"), F.lit(bytearray(magic)))
         named = F.input_file_name().rlike(r"\.(gz|zst|lz4)$")
         refuse = F.raise_error(F.lit("input is compressed but no compression is declared"))
         return lines.select(

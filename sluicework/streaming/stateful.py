@@ -11,7 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from sluicework.operators.dedup import latest_per_key
 from sluicework.operators.upsert import apply_changes
-from sluicework.session import path_exists
+from sluicework.session import ROCKSDB, path_exists
 
 
 def with_lateness(sdf: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -111,6 +111,8 @@ def correlate_stream(
         raise ValueError("give expected_count or required")
     if required and not branch_by:
         raise ValueError("required needs branch_by")
+    # Spark keeps this kind of state in RocksDB only.
+    sdf.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kind = sdf.schema[group_by].dataType.simpleString()
     timeout_ms = None if timeout_seconds is None else round(timeout_seconds * 1000)
     slim = sdf.select(
