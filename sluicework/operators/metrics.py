@@ -1,11 +1,10 @@
-"""Run metrics as aggregates.  Ordered rules work on bounded chunks of a route's samples, so a
-route with very many samples is not one task."""
+"""Run metrics as aggregates.  Ordered rules work on chunks of consecutive positions, so a route
+with very many samples is not one task."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +15,9 @@ from sluicework.session import cut_lineage
 TICK_SECONDS = 0.2
 TAU_SECONDS = 0.5
 
+# Consecutive positions folded together.
+CHUNK = 512
+
 
 def run_counts(df: DataFrame, id_col: str) -> DataFrame:
     """Rows read, and rows delivered when a redelivered id counts once."""
@@ -44,91 +46,79 @@ def tick_counts(df: DataFrame, ts: str, tick: str, keys: Sequence[str] = ()) ->
     return counted.select(*keys, F.col("w.start").alias("tick"), "n")
 
 
-def _chunked(df: DataFrame, route: str, ts: str, chunk_seconds: float) -> DataFrame:
-    at = order_value(df, ts)
-    return df.withColumn("_at", at).withColumn("_chunk", F.expr(f"_at div {round(chunk_seconds * 1_000_000)}"))
-
-
-def with_previous(df: DataFrame, route: str, ts: str, value: str, chunk_seconds: float) -> DataFrame:
-    """Add ``_at``, ``_chunk`` and ``_prev`` (time and value of the sample before).
+def _linked(df: DataFrame, route: str, ts: str, value: str) -> DataFrame:
+    """Samples in one global (route, time) order with the sample before each, as ``_prev``.
 
-    Looks back inside a chunk, and across chunks through one summary row per chunk.
+    Work is cut into chunks of consecutive positions, so its size does not follow the route.
+    Looks back inside a chunk, and across chunks through one row per chunk.
     """
-    chunked = _chunked(df, route, ts, chunk_seconds)
-    sample = F.struct(F.col("_at").alias("at"), F.col(value).alias("value"))
-    tails = chunked.groupBy(route, "_chunk").agg(F.max_by(sample, "_at").alias("tail"))
-    before = Window.partitionBy(route).orderBy("_chunk")
-    tails = tails.select(route, "_chunk", F.lag("tail").over(before).alias("_carried"))
-    inside = Window.partitionBy(route, "_chunk").orderBy("_at")
-    joined = chunked.join(tails, [route, "_chunk"])
-    return joined.withColumn("_prev", F.coalesce(F.lag(sample).over(inside), F.col("_carried"))).drop("_carried")
-
-
-def ewma_rate(
-    samples: DataFrame, route: str, ts: str, total: str, tau: float = TAU_SECONDS, chunk_seconds: float = 60.0
-) -> DataFrame:
-    """Smoothed rate per cumulative sample: ``alpha = 1 - exp(-dt/tau)``, first sample 0.
-
-    A falling count gives rate 0.  The recurrence is linear, so a chunk is folded from 0 and
-    then corrected by the decayed value that enters it.
+    timed = df.withColumn("_at", order_value(df, ts))
+    placed = positions(timed, [F.col(route), F.col("_at"), F.col(value)])
+    chunked = placed.withColumn("_chunk", F.expr(f"_g div {CHUNK}"))
+    sample = F.struct(F.col(route).alias("route"), F.col("_at").alias("at"), F.col(value).alias("value"))
+    tails = chunked.groupBy("_chunk").agg(F.max_by(sample, "_g").alias("_carried"))
+    tails = tails.withColumn("_chunk", F.col("_chunk") + 1)
+    inside = Window.partitionBy("_chunk").orderBy("_g")
+    seen = F.coalesce(F.lag(sample).over(inside), F.col("_carried"))
+    linked = chunked.join(tails, "_chunk", "left").withColumn("_prev", seen)
+    same = F.col("_prev.route").eqNullSafe(F.col(route))
+    return linked.withColumn("_prev", F.when(same, F.col("_prev"))).drop("_carried")
+
+
+def linear_scan(steps: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+    """``x[g] = decay * x[g-1] + gain`` over positions ``_g``, as column ``x``.
+
+    A chunk is folded from 0; its summary is a step of the same kind, so the values entering
+    the chunks come from a scan over the summaries, a 512th of the rows each time.
     """
-    linked = with_previous(samples, route, ts, total, chunk_seconds)
-    dt = seconds_between(F.col("_at"), F.col("_prev.at"))
-    grown = F.greatest(F.col(total) - F.col("_prev.value"), F.lit(0)).cast("double")
-    decay = F.when(dt > 0, F.exp(-dt / tau)).otherwise(F.lit(1.0))
-    gain = F.when(dt > 0, (1 - F.exp(-dt / tau)) * grown / dt).otherwise(F.lit(0.0))
-    steps = linked.select(
-        route, "_chunk",
-        F.struct(
-            "_at", F.col(ts).alias("ts"), F.col(total).alias("total"),
-            F.coalesce(decay, F.lit(0.0)).alias("decay"), F.coalesce(gain, F.lit(0.0)).alias("gain"),
-        ).alias("x"),
+    step = F.struct("_g", "decay", "gain", *kept)
+    chunks = steps.groupBy(F.expr(f"_g div {CHUNK}").alias("_chunk")).agg(
+        F.array_sort(F.collect_list(step)).alias("steps")  # at most CHUNK positions
     )
-    # A chunk is bounded by its time span over the sampling tick.
-    rows = steps.groupBy(route, "_chunk").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    kind = "struct<rate:double,keep:double>"
-    init = F.struct(F.lit(0.0).alias("rate"), F.lit(1.0).alias("keep"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        rate = acc["rate"] * x["decay"] + x["gain"]
-        keep = acc["keep"] * x["decay"]
-        row = F.struct(rate.alias("rate"), keep.alias("keep"))
-        return F.struct(rate.alias("rate"), keep.alias("keep"), F.array_append(acc["out"], row).alias("out"))
-
-    folded = rows.withColumn("f", F.aggregate("xs", init, fold))
-    entering = _entering_rates(folded.select(F.col(route).alias("route"), "_chunk", "f.rate", "f.keep"))
-    joined = folded.join(
-        entering.withColumnRenamed("route", route), [route, "_chunk"]
-    ).select(route, "entering", F.explode(F.arrays_zip("xs", "f.out")).alias("z"))
-    return joined.select(
-        route, F.col("z.xs.ts").alias(ts), F.col("z.xs.total").alias(total),
-        (F.col("z.out.rate") + F.col("z.out.keep") * F.col("entering")).alias("rate"),
+    init = F.expr("named_struct('x', 0D, 'keep', 1D, 'out', cast(array() as array<struct<x:double,keep:double>>))")
+
+    def fold(acc: Column, s: Column) -> Column:
+        x = acc["x"] * s["decay"] + s["gain"]
+        keep = acc["keep"] * s["decay"]
+        row = F.struct(x.alias("x"), keep.alias("keep"))
+        return F.struct(x.alias("x"), keep.alias("keep"), F.array_append(acc["out"], row).alias("out"))
+
+    folded = cut_lineage(chunks.withColumn("f", F.aggregate("steps", init, fold)))
+    if folded.count() > 1:
+        summary = folded.select(F.col("_chunk").alias("_g"), F.col("f.keep").alias("decay"), F.col("f.x").alias("gain"))
+        entering = linear_scan(summary).select((F.col("_g") + 1).alias("_chunk"), F.col("x").alias("_entering"))
+        folded = folded.join(entering, "_chunk", "left")
+    else:
+        folded = folded.withColumn("_entering", F.lit(0.0))
+    rows = folded.select("_entering", F.explode(F.arrays_zip("steps", "f.out")).alias("z"))
+    carried = F.col("z.out.keep") * F.coalesce("_entering", F.lit(0.0))
+    return rows.select(
+        F.col("z.steps._g").alias("_g"), *[F.col(f"z.steps.{c}").alias(c) for c in kept],
+        (F.col("z.out.x") + carried).alias("x"),
     )
 
 
-def _entering_rates(chunks: DataFrame) -> DataFrame:
-    """The rate that enters each chunk; one summary row per chunk, folded per route."""
-    kind = chunks.schema["route"].dataType.simpleString()
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_chunk")
-        entering, rate = [], 0.0
-        for local, keep in zip(part["rate"], part["keep"]):
-            entering.append(rate)
-            rate = local + keep * rate
-        return pd.DataFrame({"route": part["route"], "_chunk": part["_chunk"], "entering": entering})
+def ewma_rate(samples: DataFrame, route: str, ts: str, total: str, tau: float = TAU_SECONDS) -> DataFrame:
+    """Smoothed rate per cumulative sample: ``alpha = 1 - exp(-dt/tau)``, first sample 0.
 
-    return chunks.groupBy("route").applyInPandas(fold, f"route {kind}, _chunk long, entering double")
+    A falling count gives rate 0.  The first sample of a route has decay 0, which also keeps
+    the routes of one global scan apart.
+    """
+    linked = _linked(samples, route, ts, total)
+    dt = seconds_between(F.col("_at"), F.col("_prev.at"))
+    grown = F.greatest(F.col(total) - F.col("_prev.value"), F.lit(0)).cast("double")
+    decay = F.when(F.col("_prev").isNull(), 0.0).when(dt > 0, F.exp(-dt / tau)).otherwise(1.0)
+    gain = F.when(dt > 0, (1 - F.exp(-dt / tau)) * grown / dt).otherwise(0.0)
+    steps = linked.select("_g", route, ts, total, decay.alias("decay"), gain.alias("gain"))
+    return linear_scan(steps, [route, ts, total]).select(route, ts, total, F.col("x").alias("rate"))
 
 
-def elapsed_and_average(
-    samples: DataFrame, route: str, ts: str, total: str, chunk_seconds: float = 60.0
-) -> DataFrame:
+def elapsed_and_average(samples: DataFrame, route: str, ts: str, total: str) -> DataFrame:
     """Messages, seconds from start to the last growth, and the average rate; stable when idle."""
-    linked = with_previous(samples, route, ts, total, chunk_seconds)
+    linked = _linked(samples, route, ts, total)
     grew = F.col("_prev").isNull() | (F.col(total) > F.col("_prev.value"))
     timed = linked.groupBy(route).agg(
-        F.max_by(total, "_at").alias("messages"),
+        F.max_by(total, "_g").alias("messages"),
         seconds_between(F.max(F.when(grew, F.col("_at"))), F.min("_at")).alias("elapsed_s"),
     )
     average = F.when(F.col("elapsed_s") > 0, F.col("messages") / F.col("elapsed_s")).otherwise(0.0)
@@ -145,12 +135,11 @@ def outcome(read: Column, delivered: Column, failed: Column) -> Column:
     )
 
 
-def route_status(samples: DataFrame, route: str, ts: str, total: str, **options) -> DataFrame:
+def route_status(samples: DataFrame, route: str, ts: str, total: str, tau: float = TAU_SECONDS) -> DataFrame:
     """One row per route: messages, current rate, elapsed and average."""
-    rates = ewma_rate(samples, route, ts, total, **options)
-    now = rates.groupBy(route).agg(F.max_by("rate", ts).alias("messages_per_second"))
-    chunk = {k: v for k, v in options.items() if k == "chunk_seconds"}
-    return elapsed_and_average(samples, route, ts, total, **chunk).join(now, route)
+    rates = ewma_rate(samples, route, ts, total, tau)
+    now = rates.groupBy(route).agg(F.max_by("rate", F.struct(ts, total)).alias("messages_per_second"))
+    return elapsed_and_average(samples, route, ts, total).join(now, route)
 
 
 def quantiles(

@@ -42,13 +42,18 @@ def _differences(left: DataFrame, right: DataFrame, weight: int = 1) -> DataFram
 
 
 def parity(left: DataFrame, right: DataFrame, column: str | None = None, numeric: bool = False) -> DataFrame:
-    """Records whose number differs between two outputs; empty means the same records."""
-    found = _differences(
-        left.select(record_form(left, column, numeric).alias("record")),
-        right.select(record_form(right, column, numeric).alias("record")),
-    )
-    return found.select(
-        F.split_part("record", F.lit("\x1f"), F.lit(1)).alias("record"),
+    """Records whose number differs between two outputs; empty means the same records.
+
+    Only 128-bit digests are shuffled and counted.  The text of the records that differ is
+    fetched afterwards, by the few digests that did.
+    """
+    texts = [df.select(record_form(df, column, numeric).alias("text")) for df in (left, right)]
+    keyed = [t.select(F.md5("text").alias("record"), "text") for t in texts]
+    found = _differences(keyed[0].select("record"), keyed[1].select("record"))
+    shown = keyed[0].unionByName(keyed[1]).join(found.select("record"), "record", "left_semi")
+    shown = shown.groupBy("record").agg(F.first("text").alias("text"))
+    return found.join(shown, "record").select(
+        F.split_part("text", F.lit("\x1f"), F.lit(1)).alias("record"),
         F.col("expected_n").alias("left_n"), F.col("actual_n").alias("right_n"),
     )
 

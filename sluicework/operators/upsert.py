@@ -18,16 +18,14 @@ def _names(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def _merge(target: DataFrame, source: DataFrame, keys: list[str], take_source: Column) -> DataFrame:
-    """One full outer join on the key; every column comes from one side as a whole."""
-    columns = target.columns
-    old = target.select(F.struct("*").alias("t"), *[F.col(k).alias(f"t_{k}") for k in keys])
-    new = source.select(columns).select(F.struct("*").alias("s"), *[F.col(k).alias(f"s_{k}") for k in keys])
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(f"t_{k}") == F.col(f"s_{k}"))
-    joined = old.join(new, same, "full_outer")
-    return joined.select(F.when(take_source, F.col("s")).otherwise(F.col("t")).alias("r")).select("r.*")
+def _absent(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """Source rows whose key the target lacks.
+
+    The target is first reduced to the keys of the source.  When the source is small enough
+    for Spark to broadcast, a large target is only scanned and never shuffled.
+    """
+    hits = target.select(keys).join(source.select(keys), keys, "left_semi")
+    return source.join(hits, keys, "left_anti").select(source.columns)
 
 
 def upsert(
@@ -44,22 +42,26 @@ def upsert(
     ``update``: the last row of a key by ``order`` wins.  With ``version`` a row only wins
     when its version is greater than the stored one; an absent stored version is the floor.
     """
-    keys = _names(key)
-    source_present, target_absent = F.col("s").isNotNull(), F.col("t").isNull()
+    keys, columns = _names(key), target.columns
     if mode == "ignore":
-        return _merge(target, first_per_key(source, keys, order), keys, source_present & target_absent)
+        first = first_per_key(source, keys, order).select(columns)
+        return target.unionByName(_absent(first, target, keys))
     if mode != "update":
         raise ValueError(f"mode must be ignore or update, not {mode}")
     if not version:
-        return _merge(target, latest_per_key(source, keys, order), keys, source_present)
+        last = latest_per_key(source, keys, order).select(columns)
+        return target.join(last.select(keys), keys, "left_anti").select(columns).unionByName(last)
+    filled = {f"_v{i}": F.coalesce(F.col(v), F.lit(0)) for i, v in enumerate(version)}
+    newest = latest_per_key(source.withColumns(filled), keys, [*filled, *order]).select(columns)
 
     def at(side: str) -> Column:
         return F.struct(*[F.coalesce(F.col(f"{side}.{v}"), F.lit(0)).alias(v) for v in version])
 
-    filled = [F.coalesce(F.col(v), F.lit(0)) for v in version]
-    keyed = source.withColumns({f"_v{i}": c for i, c in enumerate(filled)})
-    newest = latest_per_key(keyed, keys, [f"_v{i}" for i in range(len(filled))] + list(order))
-    return _merge(target, newest, keys, source_present & (target_absent | (at("s") > at("t"))))
+    new = newest.select(F.struct("*").alias("s"), *keys)
+    paired = target.select(F.struct("*").alias("t"), *keys).join(new, keys, "left")
+    wins = F.col("s").isNotNull() & (at("s") > at("t"))
+    stored = paired.select(F.when(wins, F.col("s")).otherwise(F.col("t")).alias("r"))
+    return stored.select("r.*").unionByName(_absent(newest, target, keys))
 
 
 def collapse(df: DataFrame, key: str | Sequence[str], version: Sequence[str]) -> DataFrame:
@@ -75,7 +77,7 @@ def require_key(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
 def _insertable(target: DataFrame, source: DataFrame, keys: list[str], order: Sequence[str]) -> DataFrame:
     """First source row of every key the target lacks."""
-    return first_per_key(source, keys, order).join(target.select(keys), keys, "left_anti").select(source.columns)
+    return _absent(first_per_key(source, keys, order), target, keys).select(source.columns)
 
 
 def insert_strict(

@@ -12,7 +12,6 @@ from sluicework.operators.dedup import latest_per_key
 from sluicework.plans.fixtures import doubled_events, orders_text, with_views
 from sluicework.plans.registry import query, table
 
-DAY = 86_400.0
 TAU = 7_200.0
 
 
@@ -73,7 +72,7 @@ _EWMA = f"""WITH RECURSIVE {_SAMPLES},
 
 @query("ewma_rate", _EWMA + "SELECT event_type, tick, total, round(rate, 9) AS rate FROM walk")
 def ewma_rate(spark, sf):
-    rates = metrics.ewma_rate(_samples(spark, sf), "event_type", "tick", "total", TAU, DAY)
+    rates = metrics.ewma_rate(_samples(spark, sf), "event_type", "tick", "total", TAU)
     return rates.withColumn("rate", F.round("rate", 9))
 
 
@@ -85,7 +84,7 @@ _ELAPSED_SQL = """SELECT event_type, max(total) AS messages,
 
 @query("elapsed_and_average", f"WITH {_SAMPLES} {_ELAPSED_SQL}")
 def elapsed_and_average(spark, sf):
-    done = metrics.elapsed_and_average(_samples(spark, sf), "event_type", "tick", "total", DAY)
+    done = metrics.elapsed_and_average(_samples(spark, sf), "event_type", "tick", "total")
     return done.withColumn("average_per_second", F.round("average_per_second", 9))
 
 
@@ -96,7 +95,7 @@ def elapsed_and_average(spark, sf):
     SELECT done.*, messages_per_second FROM done JOIN now USING (event_type)""",
 )
 def route_status(spark, sf):
-    status = metrics.route_status(_samples(spark, sf), "event_type", "tick", "total", tau=TAU, chunk_seconds=DAY)
+    status = metrics.route_status(_samples(spark, sf), "event_type", "tick", "total", tau=TAU)
     return status.withColumns({c: F.round(c, 9) for c in ("average_per_second", "messages_per_second")})
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterator, Sequence
 from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ def read_raw(
 
     Plain files are split into ranges.  A declared codec must match the bytes, and compressed
     bytes without a declared codec fail the job.  ``.gz`` is read natively; other frames are
-    opened one file per row, so keep such objects below 2 GB.
+    streamed by the task that owns the file, in constant memory.
     """
     separator = line_separator(delimiter)
     if compression == "none":
@@ -43,25 +46,65 @@ def read_raw(
         return lines.select(
             F.when(compressed | named, refuse).otherwise(F.col("value")).alias("payload")
         )
-    frames = spark.read.format("binaryFile").load(path).select("content")
+    frames = _stored_frames(spark, path)
     if compression == "gzip" and all(name.endswith(".gz") for name in frames.inputFiles()):
         lines = spark.read.option("lineSep", separator).text(path)
         return lines.withColumnRenamed("value", "payload")
-    return _lines_of_frames(frames, compression, separator)
+    return _lines_of_files(frames, compression, separator)
 
 
-def _lines_of_frames(frames: DataFrame, compression: str, separator: str = "\n") -> DataFrame:
-    """Open each binary frame and give its lines, a bounded number per Arrow batch."""
+def _uri(path: str) -> str:
+    """A path as Spark names it, as Arrow's file systems name it."""
+    return re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", path))
+
+
+def _opened(path: str, compression: str) -> pa.NativeFile:
+    """A decompressing stream over one stored frame; the leading bytes must match the codec."""
+    filesystem, name = fs.FileSystem.from_uri(_uri(path))
+    with filesystem.open_input_stream(name, compression=None) as head:
+        begun = head.read(4)
+    if begun and not begun.startswith(MAGIC[compression]):
+        raise ValueError(f"{path} is not {compression} data")
+    return filesystem.open_input_stream(name, compression=compression if begun else None)
+
+
+def _split(stream: pa.NativeFile, separator: bytes) -> Iterator[list[str]]:
+    """Records of a stream, a megabyte at a time."""
+    rest = b""
+    while chunk := stream.read(1 << 20):
+        *whole, rest = (rest + chunk).split(separator)
+        yield [r.decode("utf-8") for r in whole]
+    if rest:
+        yield [rest.decode("utf-8")]
+
+
+def _stored_frames(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Paths of the frames.  Content is not selected, so Spark only lists and balances them."""
+    return spark.read.format("binaryFile").load(path).select("path")
+
+
+def _lines_of_files(frames: DataFrame, compression: str, separator: str) -> DataFrame:
+    mark = separator.encode()
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                with _opened(path, compression) as stream:
+                    for records in _split(stream, mark):
+                        yield pd.DataFrame({"payload": pd.Series(records, dtype=object)})
+
+    return frames.mapInPandas(lines, "payload string")
+
+
+def _lines_of_cells(frames: DataFrame, compression: str) -> DataFrame:
+    """Lines of frames held in a ``content`` column; such a frame holds one batch of lines."""
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
                 text = unpack(bytes(content), compression).decode("utf-8")
-                if not text:
-                    continue
-                rows = text.removesuffix(separator).split(separator)
-                for start in range(0, len(rows), 10_000):
-                    yield pd.DataFrame({"payload": rows[start : start + 10_000]})
+                if text:
+                    yield pd.DataFrame({"payload": text.removesuffix("\n").split("\n")})
 
     return frames.mapInPandas(lines, "payload string")
 
@@ -100,13 +143,13 @@ def _csv_of_frames(spark, path, columns, compression: str) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                text = io.StringIO(unpack(bytes(content), compression).decode("utf-8"), newline="")
-                reader = csv.DictReader(text)
-                while chunk := list(islice(reader, 10_000)):
-                    yield pd.DataFrame({n: [r[n] for r in chunk] for n in names})
+            for path in batch["path"]:
+                with _opened(path, compression) as stream:
+                    reader = csv.DictReader(io.TextIOWrapper(stream, encoding="utf-8", newline=""))
+                    while chunk := list(islice(reader, 10_000)):
+                        yield pd.DataFrame({n: [r[n] for r in chunk] for n in names})
 
-    frames = spark.read.format("binaryFile").load(path).select("content")
+    frames = _stored_frames(spark, path)
     return frames.mapInPandas(rows, ", ".join(f"`{n}` string" for n in names)).na.fill("")
 
 
@@ -141,7 +184,7 @@ def read_envelope(
 def read_encrypted(spark: SparkSession, path: str, keys: dict[str, bytes], compression: str = "none") -> DataFrame:
     """Lines of sealed frames (see ``write_encrypted``): decrypt, decompress, split."""
     frames = decrypt_payload(spark.read.parquet(path).select("content"), keys, "content")
-    return _lines_of_frames(frames, compression)
+    return _lines_of_cells(frames, compression)
 
 
 def after_key(df: DataFrame, key: str | None) -> DataFrame:

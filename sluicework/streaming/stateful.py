@@ -147,8 +147,8 @@ def apply_changes_stream(
     keys = [key] if isinstance(key, str) else list(key)
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.where(F.col(op) != "truncate")
-        newest = latest_per_key(rows, keys, order).unionByName(batch.where(F.col(op) == "truncate"))
+        # The last change per key, and the last truncate, in one pass.
+        newest = latest_per_key(batch, [*keys, F.col(op) == "truncate"], order)
         newest.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
 
     writer = sdf.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)

@@ -111,11 +111,12 @@ def _samples(spark, points):
     return df.selectExpr("route", "timestamp_micros(us) as at", "total")
 
 
-@pytest.mark.parametrize("chunk", [0.5, 3.0, 1000.0])
-def test_ewma_does_not_depend_on_chunks(spark, chunk):
+@pytest.mark.parametrize("chunk", [2, 3, 512])
+def test_ewma_does_not_depend_on_chunks(spark, monkeypatch, chunk):
     import math
+    monkeypatch.setattr(metrics, "CHUNK", chunk)
     points = [("a", 100 + i * 0.2, n) for i, n in enumerate([0, 10, 30, 30, 5, 9, 100, 100, 100, 150])] + [("b", 1.0, 7)]
-    got = {(r.route, r.total, r.at): r.rate for r in metrics.ewma_rate(_samples(spark, points), "route", "at", "total", 0.5, chunk).collect()}
+    got = {(r.route, r.total, r.at): r.rate for r in metrics.ewma_rate(_samples(spark, points), "route", "at", "total", 0.5).collect()}
     rate, expected = 0.0, [0.0]
     series = [n for r, _, n in points if r == "a"]
     for before, now in zip(series, series[1:]):
@@ -126,13 +127,13 @@ def test_ewma_does_not_depend_on_chunks(spark, chunk):
     assert mine == pytest.approx(expected)
     assert [v for k, v in got.items() if k[0] == "b"] == [0.0]
     timing = {r.route: (r.messages, r.elapsed_s) for r in
-              metrics.elapsed_and_average(_samples(spark, points), "route", "at", "total", chunk).collect()}
+              metrics.elapsed_and_average(_samples(spark, points), "route", "at", "total").collect()}
     assert timing["a"] == (150, pytest.approx(1.8)) and timing["b"] == (7, 0.0)
 
 
 def test_status_stays_stable_after_idle(spark):
     points = [("a", 0.0, 0), ("a", 1.0, 50), ("a", 2.0, 100), ("a", 60.0, 100)]
-    row = metrics.route_status(_samples(spark, points), "route", "at", "total", tau=0.5, chunk_seconds=10).first()
+    row = metrics.route_status(_samples(spark, points), "route", "at", "total", tau=0.5).first()
     assert (row.messages, row.elapsed_s, row.average_per_second) == (100, 2.0, 50.0)
     assert row.messages_per_second == pytest.approx(0, abs=1e-6)
     label = spark.range(1).select(
