@@ -18,6 +18,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 from pyspark.sql import functions as F  # noqa: E402
 
 from sluicework.operators import correlate, dedup, filtering, metrics, parity, retention, routing, shaping, upsert  # noqa: E402
+from sluicework.functions.envelopes import to_envelope  # noqa: E402
 from sluicework.functions.texts import payload_profile  # noqa: E402
 from sluicework.plans.fixtures import change_feed, change_target, event_docs, event_envelopes  # noqa: E402
 from sluicework.session import local_session  # noqa: E402
@@ -57,8 +58,12 @@ def main() -> None:
     raw = lines.repartition(8)
     sinks.write_raw(raw, f"{staged}/raw")
     sinks.write_raw(raw, f"{staged}/zstd", "zstd")
+    envelopes = to_envelope(raw, message_id=F.concat_ws("-", "l_orderkey", "l_linenumber"))
     for encoding in ("json", "normal", "text"):
-        sinks.write_envelope(event_envelopes(spark, SF_DIR).repartition(8), f"{staged}/{encoding}", encoding)
+        sinks.write_envelope(envelopes, f"{staged}/{encoding}", encoding)
+    # Several files, as a table of any size has; the driver's table is a single row group.
+    raw.write.parquet(f"{staged}/table")
+    spread = spark.read.parquet(f"{staged}/table")
 
     def csv():
         return sources.read_csv(spark, f"{staged}/csv", LINE_COLUMNS, splittable=True)
@@ -83,13 +88,14 @@ def main() -> None:
         "csv_to_jsonl_typed": (n_lines, lambda: sinks.write_raw(typed(), out())),
         "csv_projection_to_jsonl": (n_lines, lambda: sinks.write_raw(
             shaping.project(csv(), ["l_orderkey", "l_partkey", "l_quantity", "l_shipdate"]), out())),
-        "table_to_csv": (n_lines, lambda: sinks.write_csv(lines, out())),
-        "table_to_jsonl": (n_lines, lambda: sinks.write_raw(lines, out())),
+        "table_to_csv": (n_lines, lambda: sinks.write_csv(spread, out())),
+        "table_to_normal": (n_lines, lambda: sinks.write_envelope(to_envelope(spread, message_id=F.col("l_orderkey")), out())),
+        "table_to_jsonl": (n_lines, lambda: sinks.write_raw(spread, out())),
         "read_csv": (n_lines, lambda: sinks.drain(csv())),
         "read_raw": (n_lines, lambda: sinks.drain(sources.read_raw(spark, f"{staged}/raw"))),
-        "read_json_envelope": (n_events, lambda: sinks.drain(sources.read_envelope(spark, f"{staged}/json", "json"))),
-        "read_normal_envelope": (n_events, lambda: sinks.drain(sources.read_envelope(spark, f"{staged}/normal", "normal"))),
-        "read_text_envelope": (n_events, lambda: sinks.drain(sources.read_envelope(spark, f"{staged}/text", "text"))),
+        "read_json_envelope": (n_lines, lambda: sinks.drain(sources.read_envelope(spark, f"{staged}/json", "json"))),
+        "read_normal_envelope": (n_lines, lambda: sinks.drain(sources.read_envelope(spark, f"{staged}/normal", "normal"))),
+        "read_text_envelope": (n_lines, lambda: sinks.drain(sources.read_envelope(spark, f"{staged}/text", "text"))),
         "zstd_round_trip": (n_lines, lambda: sinks.write_raw(
             sources.read_raw(spark, f"{staged}/zstd", compression="zstd"), out(), "zstd")),
         "filter_pushdown": (n_lines, lambda: sinks.drain(
@@ -109,7 +115,7 @@ def main() -> None:
         "apply_changes": (n_orders, lambda: sinks.drain(
             upsert.apply_changes(change_target(spark, SF_DIR), change_feed(spark, SF_DIR), "key"))),
         "keep_last": (n_events, lambda: sinks.drain(retention.keep_last(events, 20, "event_type", ["ts", "event_id"]))),
-        "parity": (2 * n_lines, lambda: sinks.drain(parity.parity(lines, lines))),
+        "parity": (2 * n_lines, lambda: sinks.drain(parity.parity(spread, spread))),
         "latency_quantiles": (n_events, lambda: sinks.drain(metrics.latency_quantiles(events, "value", ["event_type"]))),
         "payload_profile": (table("pages").count(), lambda: sinks.drain(payload_profile(table("pages"), "html"))),
     }

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluicework.operators.segments import _same_keys, _small, order_value, positions
+from sluicework.operators.segments import same_keys, small, order_value, positions
 from sluicework.session import cut_lineage
 
 # The sampling tick and the smoothing time constant, in seconds.
@@ -170,9 +170,9 @@ def quantiles(
     )
     low = ranked.select(F.col("_g").alias("low"), F.col("_v").alias("low_v"))
     high = ranked.select(F.col("_g").alias("high"), F.col("_v").alias("high_v"))
-    placed = _small(wanted)
+    placed = small(wanted)
     lows = low.join(placed, "low").select(*keys, "p", "part", "high", "low_v")
-    both = high.join(_small(cut_lineage(lows)), "high")
+    both = high.join(small(cut_lineage(lows)), "high")
     return both.select(*keys, "p", (F.col("low_v") + F.col("part") * (F.col("high_v") - F.col("low_v"))).alias("v"))
 
 
@@ -198,4 +198,4 @@ def run_stats(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame
     )
     if not keys:
         return spread.withColumn("median", middle.select("median").scalar())
-    return spread.join(middle, _same_keys(keys, "q")).drop(*[f"q_{k}" for k in keys])
+    return spread.join(middle, same_keys(keys, "q")).drop(*[f"q_{k}" for k in keys])

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicework.operators.segments import small
+from sluicework.session import cut_lineage
+
 
 def record_form(df: DataFrame, column: str | None = None, numeric: bool = False) -> Column:
     """A row (or one JSON text column) as comparable text, independent of key order.
@@ -49,8 +52,11 @@ def parity(left: DataFrame, right: DataFrame, column: str | None = None, numeric
     """
     texts = [df.select(record_form(df, column, numeric).alias("text")) for df in (left, right)]
     keyed = [t.select(F.md5("text").alias("record"), "text") for t in texts]
-    found = _differences(keyed[0].select("record"), keyed[1].select("record"))
-    shown = keyed[0].unionByName(keyed[1]).join(found.select("record"), "record", "left_semi")
+    # Counted first, so that texts are only read again when there are differences to show.
+    found = cut_lineage(_differences(keyed[0].select("record"), keyed[1].select("record")))
+    if found.isEmpty():
+        return found.select("record", F.col("expected_n").alias("left_n"), F.col("actual_n").alias("right_n"))
+    shown = keyed[0].unionByName(keyed[1]).join(small(found.select("record")), "record", "left_semi")
     shown = shown.groupBy("record").agg(F.first("text").alias("text"))
     return found.join(shown, "record").select(
         F.split_part("text", F.lit("\x1f"), F.lit(1)).alias("record"),

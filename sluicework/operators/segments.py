@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from sluicework.session import cut_lineage
 
 HOT_ROWS = 1_000_000
+BATCH_ROWS = 50_000
 _NONE = np.iinfo(np.int64).max
 _MASK = (1 << 33) - 1
 
@@ -85,8 +86,8 @@ def segment(
     hot = hot_keys(df, keys, hot_rows)
     if hot is None:
         return _segment_ordinary(df, keys, order, tie, bounds, branch)
-    same = _same_keys(keys, "k")
-    renamed = _small(hot.select(*[F.col(k).alias(f"k_{k}") for k in keys]))
+    same = same_keys(keys, "k")
+    renamed = small(hot.select(*[F.col(k).alias(f"k_{k}") for k in keys]))
     ordinary = df.join(renamed, same, "left_anti")
     heavy = df.join(renamed, same, "left_semi")
     return _segment_ordinary(ordinary, keys, order, tie, bounds, branch).unionByName(
@@ -101,7 +102,7 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
-def _same_keys(keys: list[str], prefix: str) -> Column:
+def same_keys(keys: list[str], prefix: str) -> Column:
     condition = F.lit(True)
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"{prefix}_{k}"))
@@ -111,7 +112,7 @@ def _same_keys(keys: list[str], prefix: str) -> Column:
 BROADCAST_ROWS = 100_000
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """Broadcast a written lookup only when its counted size allows; else leave it to AQE."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -232,11 +233,13 @@ def _segment_ordinary(df, keys, order, tie, bounds: Bounds, branch) -> DataFrame
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        rows, wanted = 0, BATCH_ROWS
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             held.append(batch)
-            if sum(b.num_rows for b in held) < 50_000:
+            rows += batch.num_rows
+            if rows < wanted:
                 continue
             table = pa.Table.from_batches(held)
             group = _groups(table, keys)
@@ -244,8 +247,9 @@ def _segment_ordinary(df, keys, order, tie, bounds: Bounds, branch) -> DataFrame
             if cut:
                 yield from solve(table.slice(0, cut), group[:cut])
                 held = table.slice(cut).combine_chunks().to_batches()
-            else:
-                held = table.combine_chunks().to_batches()
+            rows = table.num_rows - cut
+            # A long last group is looked at again only once it has doubled.
+            wanted = max(BATCH_ROWS, 2 * rows)
         if held:
             table = pa.Table.from_batches(held)
             yield from solve(table, _groups(table, keys))
@@ -290,7 +294,7 @@ def _segment_hot(df, keys, order, tie, bounds: Bounds, branch, block_rows: int)
     ranked = positions(slim, [*map(F.col, keys), F.col("_at"), F.col("_tie")], partitions=spread)
     edge = ranked.groupBy(*keys).agg(F.min("_g").alias("_first"), F.max("_g").alias("_last"))
     edge = cut_lineage(edge.select(*[F.col(k).alias(f"e_{k}") for k in keys], "_first", "_last"))
-    ranked = ranked.join(_small(edge), _same_keys(keys, "e"), "inner").drop(*[f"e_{k}" for k in keys])
+    ranked = ranked.join(small(edge), same_keys(keys, "e"), "inner").drop(*[f"e_{k}" for k in keys])
     if bounds.only_rows:
         step = (F.col("_g") - F.col("_first")) % bounds.max_rows
         solved = ranked.withColumn("run_start", step == 0).withColumn("_s", F.col("_g") - step)
@@ -304,7 +308,7 @@ def _segment_hot(df, keys, order, tie, bounds: Bounds, branch, block_rows: int)
     named = solved.join(heads, "_s").select(
         *[F.col(k).alias(f"r_{k}") for k in keys], "_tie", "run_start", "run_id", "run_complete"
     )
-    joined = df.join(named, _same_keys(keys, "r") & (F.col(tie) == F.col("_tie")))
+    joined = df.join(named, same_keys(keys, "r") & (F.col(tie) == F.col("_tie")))
     return joined.select(*df.columns, "run_start", "run_id", "run_complete")
 
 
@@ -478,7 +482,7 @@ def _follow(edges: DataFrame, block_rows: int) -> DataFrame:
     ends = marked.groupBy(block.alias("_b")).agg(F.max("start").alias("_end"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = cut_lineage(ends.select("_b", F.max("_end").over(before).alias("_carried")))
-    filled = marked.withColumn("_b", block).join(_small(carried), "_b").select(
+    filled = marked.withColumn("_b", block).join(small(carried), "_b").select(
         F.col("node").alias("_g"), "run_start", F.coalesce("start", "_carried").alias("_s")
     )
     return edges.join(filled, "_g")

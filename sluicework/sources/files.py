@@ -163,16 +163,13 @@ def read_envelope(
     """
     lines = read_raw(spark, path, compression=compression).withColumnRenamed("payload", "line")
     metadata = F.coalesce(F.col("e.metadata"), F.expr(EMPTY_METADATA)).alias("metadata")
+    parsed = lines.select("line", F.from_json("line", ENVELOPE_JSON, {"mode": "FAILFAST"}).alias("e"))
     if encoding == "json":
-        doc = lines.select(F.parse_json("line").alias("d"))
-        return doc.select(
-            F.try_variant_get("d", "$.message_id", "string").alias("message_id"),
-            F.to_json(F.try_variant_get("d", "$.payload", "variant")).alias("payload"),
-            F.coalesce(
-                F.try_variant_get("d", "$.metadata", "map<string,string>"), F.expr(EMPTY_METADATA)
-            ).alias("metadata"),
-        )
-    parsed = lines.select(F.from_json("line", ENVELOPE_JSON, {"mode": "FAILFAST"}).alias("e"))
+        # A nested value comes back as its own text, but a string comes back without quotes, so
+        # lines where the payload may be a string take the exact way through a VARIANT.
+        exact = F.to_json(F.try_variant_get(F.parse_json("line"), "$.payload", "variant"))
+        payload = F.when(F.col("line").rlike(r'"payload"\s*:\s*"'), exact).otherwise(F.col("e.payload"))
+        return parsed.select("e.message_id", payload.alias("payload"), metadata)
     if encoding == "text":
         return parsed.select("e.message_id", "e.payload", metadata)
     if encoding != "normal":
