@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 
 from sluicework.session import cut_lineage
 
-HOT_ROWS = 1_000_000
+# Rows of one key that a task may hold at once, with their payloads.
+HOT_ROWS = 200_000
 BATCH_ROWS = 50_000
 _NONE = np.iinfo(np.int64).max
 _MASK = (1 << 33) - 1
@@ -296,22 +297,27 @@ def _segment_hot(df, keys, order, tie, bounds: Bounds, branch, block_rows: int)
     edge = cut_lineage(edge.select(*[F.col(k).alias(f"e_{k}") for k in keys], "_first", "_last"))
     ranked = ranked.join(small(edge), same_keys(keys, "e"), "inner").drop(*[f"e_{k}" for k in keys])
     if bounds.only_rows:
-        step = (F.col("_g") - F.col("_first")) % bounds.max_rows
-        solved = ranked.withColumn("run_start", step == 0).withColumn("_s", F.col("_g") - step)
-        solved = solved.withColumn("_complete", F.col("_g") + bounds.max_rows <= F.col("_last") + 1)
+        solved = _every(ranked, bounds.max_rows)
     else:
         solved = _follow(_pointers(ranked, keys, bounds, spread), block_rows)
-    solved = cut_lineage(solved.select(*keys, "_tie", "_g", "_s", "run_start", "_complete"))
-    heads = solved.where("run_start").select(
-        F.col("_g").alias("_s"), F.col("_tie").alias("run_id"), F.col("_complete").alias("run_complete")
-    )
-    named = solved.join(heads, "_s").select(
+    named = solved.select(
         *[F.col(k).alias(f"r_{k}") for k in keys], "_tie", "run_start", "run_id", "run_complete"
     )
     joined = df.join(named, same_keys(keys, "r") & (F.col(tie) == F.col("_tie")))
     return joined.select(*df.columns, "run_start", "run_id", "run_complete")
 
 
+def _every(ranked: DataFrame, rows: int) -> DataFrame:
+    """Runs of a fixed number of rows follow from positions alone."""
+    step = (F.col("_g") - F.col("_first")) % rows
+    full = F.col("_g") - step + rows <= F.col("_last") + 1
+    placed = cut_lineage(
+        ranked.withColumns({"run_start": step == 0, "_s": F.col("_g") - step, "run_complete": full})
+    )
+    heads = placed.where("run_start").select(F.col("_g").alias("_s"), F.col("_tie").alias("run_id"))
+    return placed.join(heads, "_s")
+
+
 def _pointers(ranked: DataFrame, keys, bounds: Bounds, spread: int) -> DataFrame:
     """Add ``_next`` (position that would start the next run, or NULL) and ``_complete``."""
     out = ranked.withColumn(
@@ -468,22 +474,30 @@ def _follow(edges: DataFrame, block_rows: int) -> DataFrame:
         g, _, local = _local(table)
         entered = np.flatnonzero(table.column("_entered").to_numpy(zero_copy_only=False))
         is_start = _visited(_jumps(local), entered) if len(entered) else np.zeros(len(g), bool)
-        start = np.maximum.accumulate(np.where(is_start, g, -1))
-        return pa.table({"node": g, "run_start": is_start, "start": pa.array(start, mask=start < 0)})
+        start = np.maximum.accumulate(np.where(is_start, np.arange(len(g)), -1))
+        at = pa.array(start, mask=start < 0)
+        return pa.table({
+            "_g": g, "run_start": is_start, "run_id": table.column("_tie").take(at),
+            "run_complete": table.column("_complete").take(at), "found": start >= 0,
+        })
 
     flagged = edges.join(
         reached.select(F.col("node").alias("_g"), F.lit(True).alias("_hit")), "_g", "left"
     ).withColumn("_entered", F.coalesce("_hit", F.lit(False)))
-    marked = cut_lineage(
-        _per_block(flagged, block_rows, ["_next", "_entered"], "node long, run_start boolean, start long", marks)
-    )
+    kind = edges.schema["_tie"].dataType.simpleString()
+    marked = cut_lineage(_per_block(
+        flagged, block_rows, ["_next", "_entered", "_tie", "_complete"],
+        f"_g long, run_start boolean, run_id {kind}, run_complete boolean, found boolean", marks,
+    ))
     # One row per block: the last start before it, for rows whose run began in an earlier block.
-    block = F.expr(f"node div {block_rows}")
-    ends = marked.groupBy(block.alias("_b")).agg(F.max("start").alias("_end"))
+    block = F.expr(f"_g div {block_rows}")
+    head = F.struct("run_id", "run_complete")
+    ends = marked.groupBy(block.alias("_b")).agg(F.max_by(head, F.when(F.col("run_start"), F.col("_g"))).alias("_end"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = cut_lineage(ends.select("_b", F.max("_end").over(before).alias("_carried")))
+    carried = cut_lineage(ends.select("_b", F.last("_end", ignorenulls=True).over(before).alias("_carried")))
     filled = marked.withColumn("_b", block).join(small(carried), "_b").select(
-        F.col("node").alias("_g"), "run_start", F.coalesce("start", "_carried").alias("_s")
+        "_g", "run_start",
+        *[F.when(F.col("found"), F.col(c)).otherwise(F.col(f"_carried.{c}")).alias(c) for c in ("run_id", "run_complete")],
     )
     return edges.join(filled, "_g")
 

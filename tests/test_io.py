@@ -243,3 +243,34 @@ def test_bench_rows_are_repeatable(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len({r.id for r in a}) == 50
     assert json.loads(a[0].attributes)["tier"] in generators.TIERS
     assert generators.static_rows(spark, "x", 3, {"a": "b"}).where("metadata['a'] = 'b'").count() == 3
+
+
+def test_schema_file_and_endpoint(spark, work):
+    from pyspark.sql.datasource import DataSource, DataSourceReader
+
+    from sluicework.functions.rules import load_schema, struct_type
+    from sluicework.operators.handlers import register_endpoint
+
+    with open(f"{work}/s.json", "w") as f:
+        json.dump({"properties": {"id": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string"}}}}, f)
+    assert struct_type(load_schema(f"{work}/s.json")).simpleString() == "struct<id:bigint,tags:array<string>>"
+    with pytest.raises(FileNotFoundError):
+        load_schema(f"{work}/none.json")
+
+    class Reader(DataSourceReader):
+        def read(self, partition):
+            yield (1, "a")
+
+    class Endpoint(DataSource):
+        @classmethod
+        def name(cls):
+            return "two_cells"
+
+        def schema(self):
+            return "id int, t string"
+
+        def reader(self, schema):
+            return Reader()
+
+    register_endpoint(spark, Endpoint)
+    assert [tuple(r) for r in spark.read.format("two_cells").load().collect()] == [(1, "a")]
