@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluicework.operators.segments import same_keys, small, positions
+from sluicework.operators.segments import positions, same_keys, small
+from sluicework.session import cut_lineage
 
 # Up to this many rows per key Spark drops the rest before the shuffle (its group limit).
 GROUP_LIMIT = 1000
@@ -26,7 +27,7 @@ def keep_last(df: DataFrame, n: int, route: str | Sequence[str], order: Sequence
         return ranked.where(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("bigint"))
     placed = positions(df, [*map(F.col, keys), *map(F.col, order)])
     last = placed.groupBy(*keys).agg(F.max("_g").alias("_last"))
-    last = last.select(*[F.col(k).alias(f"l_{k}") for k in keys], "_last")
+    last = cut_lineage(last.select(*[F.col(k).alias(f"l_{k}") for k in keys], "_last"))
     ranked = placed.join(small(last), same_keys(keys, "l"))
     ranked = ranked.withColumn("rank", F.col("_last") - F.col("_g") + 1)
     return ranked.where(F.col("rank") <= n).select(*df.columns, "rank")

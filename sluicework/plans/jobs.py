@@ -95,11 +95,10 @@ def _drained(sdf, name):
 
 @query("stream_growing_file", "SELECT o_orderkey, o_totalprice FROM orders")
 def stream_growing_file(spark, sf):
-    """A file of lines read as byte ranges by a stream that stops when it has caught up."""
+    """Files of lines read as byte ranges by a stream that stops when it has caught up."""
     base = staging_path(spark, "growing")
-    write_raw(table(spark, sf, "orders").select("o_orderkey", "o_totalprice").coalesce(1), base)
-    path = spark.read.text(base).select(F.max("_metadata.file_path")).first()[0]
-    lines = _drained(filestream.stream_file(spark, path, range_bytes=256 << 10), "growing-out")
+    write_raw(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), base)
+    lines = _drained(filestream.stream_file(spark, base, range_bytes=256 << 10), "growing-out")
     row = F.from_json("payload", "o_orderkey bigint, o_totalprice double")
     return lines.select(row.alias("r")).select("r.*")
 
@@ -161,9 +160,8 @@ def stream_changes_applied(spark, sf):
 def stream_start_latest(spark, sf):
     """A tail that starts at the end of the backlog sees none of it."""
     base = staging_path(spark, "tail")
-    write_raw(table(spark, sf, "events").select("event_id").coalesce(1), base)
-    path = spark.read.text(base).select(F.max("_metadata.file_path")).first()[0]
-    lines = _drained(filestream.stream_file(spark, path, start="latest"), "tail-out")
+    write_raw(table(spark, sf, "events").select("event_id"), base)
+    lines = _drained(filestream.stream_file(spark, base, start="latest"), "tail-out")
     return lines.select(F.get_json_object("payload", "$.event_id").cast("bigint").alias("event_id"))
 
 

@@ -134,12 +134,24 @@ def test_growing_file_ranges_lose_no_line(spark, work):
     for size in (1, 7, 10, 64, 100000):
         sdf = filestream.stream_file(spark, path, range_bytes=size) if size > 20 else None
         reader = filestream.GrowingFileReader({"path": path, "rangebytes": str(size)})
-        got = [p for part in reader.partitions({"at": 0}, reader.latestOffset())
+        got = [p for part in reader.partitions(reader.initialOffset(), reader.latestOffset())
                for batch in reader.read(part) for p in batch.column(0).to_pylist()]
         assert [json.loads(g)["id"] for g in got] == list(range(500))
         assert sdf is None or sdf.isStreaming
 
 
+def test_growing_folder_takes_new_files(spark, work):
+    import os
+    os.makedirs(f"{work}/logs")
+    _append(f"{work}/logs/a.jsonl", 1, 2)
+    moved = []
+    for name, ids in (("a", []), ("b", [3]), ("a", [4])):
+        _append(f"{work}/logs/{name}.jsonl", *ids)
+        moved.append(copy(spark, {"kind": "growing_file", "path": f"{work}/logs", "group": "g"}, {"kind": "raw", "path": f"{work}/out"},
+                          steps=[lambda df: df.select("payload")], state_dir=f"{work}/state").rows)
+    assert moved == [2, 1, 1] and _lines(spark.read.text(f"{work}/out")) == [1, 2, 3, 4]
+
+
 def test_tail_reads_only_new_lines(spark, work):
     path = f"{work}/log.jsonl"
     _append(path, 1, 2)
