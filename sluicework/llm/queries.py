@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from sluicework.llm import packing, token_files
+from sluicework.llm import chat, decontamination, language, licences, nearest, packing, token_files
 from sluicework.llm.frames import documents, staging_path
 
 QUERIES: dict[str, Callable] = {}
@@ -34,3 +34,53 @@ def op1_token_files(spark, sf_dir: str) -> DataFrame:
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_licence_scan")
+def op7_licence_scan(spark, sf_dir: str) -> DataFrame:
+    found = licences.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "permissive")
+
+
+@query("op8_decontamination")
+def op8_decontamination(spark, sf_dir: str) -> DataFrame:
+    found = decontamination.overlaps(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), decontamination.is_contaminated().alias("contaminated"),
+    )
+
+
+@query("op4_language_bitmask")
+def op4_language_bitmask(spark, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = language.identify(docs.select("doc_id", "text"), language.train(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op5_exact_top_k",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+                  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+       s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+             FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+       SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
+)
+def op5_exact_top_k(spark, sf_dir: str) -> DataFrame:
+    vectors = nearest.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return nearest.top_k(vectors.where("vec_id % 50 = 0"), vectors)
+
+
+@query(
+    "op10_chat_collapse",
+    """WITH t AS (SELECT conv_id, row_number() OVER w AS place, struct_pack(r := role, t := text) AS s,
+                         '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS piece
+                  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+       c AS (SELECT conv_id, count(*) AS n_turns, list(s ORDER BY place) AS turns, string_agg(piece, '' ORDER BY place) AS text FROM t GROUP BY conv_id),
+       u AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, turns, any_value(text) AS text FROM c GROUP BY turns, n_turns),
+       p AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM u))
+       SELECT conv_id, n_turns, n_copies, text FROM u ANTI JOIN p USING (turns)""",
+)
+def op10_chat_collapse(spark, sf_dir: str) -> DataFrame:
+    return chat.render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
