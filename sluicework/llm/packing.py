@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sluicework.llm.frames import staged
 from sluicework.llm.text import chunks
-from sluicework.llm.tokens import encoder
+from sluicework.llm.tokens import ENCODE_BYTES, encoder
 
 PIECE = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 BINS = "sequence_id long, fill int, closed boolean, members binary"
@@ -59,7 +59,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, end: int, capacity: int):
     """Members of each task's documents, as arrays of PIECE."""
 
     def cut(batches):
-        for part in chunks(batches, "text", 4 << 20):
+        for part in chunks(batches, "text", ENCODE_BYTES):
             tokens, offsets = encoder(vocabulary, lower=True).encode(part.column("text"), end)
             counts = np.diff(offsets)
             of = np.repeat(np.arange(len(counts)), -(-counts // capacity))

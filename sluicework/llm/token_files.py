@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluicework.llm.frames import file_system, tasks
 from sluicework.llm.text import chunks
-from sluicework.llm.tokens import encoder
+from sluicework.llm.tokens import ENCODE_BYTES, encoder
 
 # Fixed values of the seekable zstandard format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -138,7 +138,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 2, widt
         shard = TaskContext.get().partitionId()
         target = f"{folder}/shard-{shard:06d}.tok"
         writer = None
-        for part in chunks(batches, "text", 4 << 20):
+        for part in chunks(batches, "text", ENCODE_BYTES):
             if writer is None:
                 where.create_dir(folder, recursive=True)
                 beginning = f"{target}.{uuid.uuid4().hex}"
