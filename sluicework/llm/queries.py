@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from sluicework.llm import chat, decontamination, language, licences, nearest, packing, token_files
+from sluicework.llm import chat, decontamination, language, licences, near_duplicates, nearest, packing, substrings, token_files
 from sluicework.llm.frames import documents, staging_path
 
 QUERIES: dict[str, Callable] = {}
@@ -84,3 +84,14 @@ def op5_exact_top_k(spark, sf_dir: str) -> DataFrame:
 )
 def op10_chat_collapse(spark, sf_dir: str) -> DataFrame:
     return chat.render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op2_hyperminhash")
+def op2_hyperminhash(spark, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(documents(spark, sf_dir), size=3, part=85, whole=100)
+
+
+@query("op6_suffix_automata")
+def op6_suffix_automata(spark, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), window=20)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
