@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from sluicework.llm import chat, decontamination, language, licences, near_duplicates, nearest, packing, substrings, token_files
+from sluicework.llm import chat, decontamination, language, licences, near_duplicates, nearest, packing, quality, substrings, token_files
 from sluicework.llm.frames import documents, staging_path
 
 QUERIES: dict[str, Callable] = {}
@@ -95,3 +95,11 @@ def op2_hyperminhash(spark, sf_dir: str) -> DataFrame:
 def op6_suffix_automata(spark, sf_dir: str) -> DataFrame:
     left = substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), window=20)
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_ordinal_quality")
+def op3_ordinal_quality(spark, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, quality.ratings_of(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    graded = quality.grade(docs.select("doc_id", "text"), model)
+    return graded.select("doc_id", "expected_grade", "tails", quality.is_accepted().alias("accepted"))

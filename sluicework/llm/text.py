@@ -102,14 +102,18 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.heads) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, *prefixes: int) -> np.ndarray | list[np.ndarray]:
+        """A 64-bit hash of each word's bytes; with ``prefixes``, also of the words' first so many bytes."""
         n = len(self.data)
         up, down = _powers(n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        lengths = (self.ends - self.starts).astype(np.uint64)
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + lengths)
+
+        def upto(ends: np.ndarray) -> np.ndarray:
+            return mix((sums[ends] - sums[self.starts]) * down[self.starts] + (ends - self.starts).astype(np.uint64))
+
+        whole = upto(self.ends)
+        return [whole, *(upto(np.minimum(self.ends, self.starts + k)) for k in prefixes)] if prefixes else whole
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
