@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from sluicework.operators.segments import HOT_ROWS, Bounds, segment
 
-# A branch name becomes an object member, so the set of them is a fixed, small configuration.
-MAX_BRANCHES = 1000
-
 
 def correlate(
     df: DataFrame,
@@ -34,7 +31,9 @@ def correlate(
     branches, or with ``expected_count`` different ones.  A group opens at its first row and
     closes ``timeout_seconds`` later; an incomplete one is emitted (``fire``) or dropped
     (``discard``).  At the end of a batch open groups count as timed out when a timeout is set,
-    and are dropped otherwise, since they would still be waiting.
+    and are dropped otherwise, since they would still be waiting.  A row with a null branch is a
+    member of its group and counts in ``n``, but is no branch.  Rows without a time form a group
+    of their own, before the others of their key.
     """
     if on_timeout not in ("fire", "discard"):
         raise ValueError(f"on_timeout must be fire or discard, not {on_timeout}")
@@ -47,11 +46,7 @@ def correlate(
     elif required:
         bounds = Bounds(max_span=span, required=tuple(required))
     else:
-        names = [r[0] for r in df.select(branch_by).distinct().limit(MAX_BRANCHES + 1).collect()]
-        if len(names) > MAX_BRANCHES:
-            raise ValueError(f"{branch_by} has over {MAX_BRANCHES} values; it cannot name branches")
-        known = tuple(sorted(n for n in names if n is not None))
-        bounds = Bounds(max_span=span, branches=known, branch_count=expected_count)
+        bounds = Bounds(max_span=span, branch_count=expected_count)
     runs = segment(df, keys, ts, tie, bounds, branch_by, hot_rows)
     if on_timeout == "discard" or span is None:
         runs = runs.where("run_complete")
@@ -71,7 +66,9 @@ def correlate(
         F.max_by(doc, F.struct(ts, tie)).alias("_doc"), F.count(F.lit(1)).alias("_n")
     )
     named = last.groupBy(*keys, "group_id", "run_complete").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(branch_by, "_doc")))).alias("docs"),
+        F.map_from_entries(
+            F.array_sort(F.collect_list(F.when(F.col(branch_by).isNotNull(), F.struct(branch_by, "_doc"))))
+        ).alias("docs"),
         F.sum("_n").alias("n"),
     )
     return named.select(*keys, "group_id", F.col("run_complete").alias("complete"), "n", "docs")

@@ -139,7 +139,9 @@ def route_status(samples: DataFrame, route: str, ts: str, total: str, tau: float
     """One row per route: messages, current rate, elapsed and average."""
     rates = ewma_rate(samples, route, ts, total, tau)
     now = rates.groupBy(route).agg(F.max_by("rate", F.struct(ts, total)).alias("messages_per_second"))
-    return elapsed_and_average(samples, route, ts, total).join(now, route)
+    now = now.withColumnRenamed(route, f"r_{route}")
+    averages = elapsed_and_average(samples, route, ts, total)
+    return averages.join(now, same_keys([route], "r")).drop(f"r_{route}")
 
 
 def quantiles(

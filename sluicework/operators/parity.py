@@ -5,9 +5,11 @@ Both sides go through one grouped count with map-side combining; no join and no
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,11 +18,41 @@ from sluicework.operators.segments import small
 from sluicework.session import cut_lineage
 
 
-def record_form(df: DataFrame, column: str | None = None, numeric: bool = False) -> Column:
-    """A row (or one JSON text column) as comparable text, independent of key order.
+def _leaf(value, numeric: bool):
+    """A parsed JSON value in which every number is text that tells its kind and value."""
+    if isinstance(value, dict):
+        return {k: _leaf(v, numeric) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_leaf(v, numeric) for v in value]
+    if isinstance(value, bool) or value is None:
+        return value
+    if isinstance(value, str):
+        return "s" + value
+    if isinstance(value, float) and numeric and value.is_integer():
+        value = int(value)
+    return ("i" if isinstance(value, int) and not numeric else "n") + repr(value)
 
-    Types count: ``7.0`` differs from ``7`` unless ``numeric`` is set.
-    """
+
+def comparable(text: Column, numeric: bool) -> Column:
+    """JSON text with sorted keys and tagged leaves; other text and null as they are, told apart."""
+
+    @F.pandas_udf("string")
+    def form(texts: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None:
+                return "null"
+            try:
+                return "j" + json.dumps(_leaf(json.loads(x), numeric), sort_keys=True, separators=(",", ":"))
+            except ValueError:
+                return "t" + x
+
+        return texts.map(one)
+
+    return form(text)
+
+
+def record_form(df: DataFrame, column: str | None = None, numeric: bool = False) -> Column:
+    """A row (or one JSON text column) as text to show, independent of key order."""
     if column is None:
         kinds = {f.name: f.dataType for f in df.schema}
         members = [
@@ -28,11 +60,7 @@ def record_form(df: DataFrame, column: str | None = None, numeric: bool = False)
             for c in sorted(df.columns)
         ]
         return F.to_json(F.struct(*members), {"ignoreNullFields": "false"})
-    parsed = F.try_parse_json(column)
-    canonical = F.coalesce(F.to_json(parsed), F.col(column))
-    if numeric:
-        return canonical
-    return F.concat_ws("\x1f", canonical, F.schema_of_variant(parsed))
+    return F.coalesce(F.to_json(F.try_parse_json(column)), F.col(column))
 
 
 def _differences(left: DataFrame, right: DataFrame, weight: int = 1) -> DataFrame:
@@ -47,11 +75,13 @@ def _differences(left: DataFrame, right: DataFrame, weight: int = 1) -> DataFram
 def parity(left: DataFrame, right: DataFrame, column: str | None = None, numeric: bool = False) -> DataFrame:
     """Records whose number differs between two outputs; empty means the same records.
 
+    Types count: ``7.0`` differs from ``7``, but not from ``70e-1``; with ``numeric`` all three are
+    equal.  A null record is a record, and differs from an empty one.
     Only 128-bit digests are shuffled and counted.  The text of the records that differ is
     fetched afterwards, by the few digests that did.
     """
-    texts = [df.select(record_form(df, column, numeric).alias("text")) for df in (left, right)]
-    keyed = [t.select(F.md5("text").alias("record"), "text") for t in texts]
+    texts = [df.select(record_form(df, column, numeric).alias("text"), *([F.col(column).alias("own")] if column else [])) for df in (left, right)]
+    keyed = [t.select(F.md5(comparable(F.col("own"), numeric) if column else F.col("text")).alias("record"), "text") for t in texts]
     # Counted first, so that texts are only read again when there are differences to show.
     found = cut_lineage(_differences(keyed[0].select("record"), keyed[1].select("record")))
     if found.isEmpty():
@@ -59,8 +89,7 @@ def parity(left: DataFrame, right: DataFrame, column: str | None = None, numeric
     shown = keyed[0].unionByName(keyed[1]).join(small(found.select("record")), "record", "left_semi")
     shown = shown.groupBy("record").agg(F.first("text").alias("text"))
     return found.join(shown, "record").select(
-        F.split_part("text", F.lit("\x1f"), F.lit(1)).alias("record"),
-        F.col("expected_n").alias("left_n"), F.col("actual_n").alias("right_n"),
+        F.col("text").alias("record"), F.col("expected_n").alias("left_n"), F.col("actual_n").alias("right_n"),
     )
 
 

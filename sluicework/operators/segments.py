@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sluicework.session import cut_lineage
 
@@ -29,31 +30,30 @@ from sluicework.session import cut_lineage
 HOT_ROWS = 200_000
 BATCH_ROWS = 50_000
 _NONE = np.iinfo(np.int64).max
+# A row without a time stands before all others of its key, in a run of its own.
+NO_TIME = -(1 << 62)
 _MASK = (1 << 33) - 1
 
 
 @dataclass(frozen=True)
 class Bounds:
     """When a run closes: after ``max_rows``, ``max_span`` order units after its first row, or
-    once all ``required`` branches (or any ``branch_count`` of ``branches``) were seen."""
+    once all ``required`` branches, or any ``branch_count`` different ones, were seen.  A null
+    branch is none of them."""
 
     max_rows: int | None = None
     max_span: int | None = None
     required: tuple[str, ...] = ()
-    branches: tuple[str, ...] = ()
     branch_count: int | None = None
 
-    @property
-    def watched(self) -> tuple[str, ...]:
-        return self.required or self.branches
-
     @property
     def only_rows(self) -> bool:
-        return self.max_rows is not None and self.max_span is None and not self.watched
+        return self.max_rows is not None and self.max_span is None and not (self.required or self.branch_count)
 
 
 def order_value(df: DataFrame, column: str) -> Column:
-    """The order column as BIGINT: microseconds for timestamps, the number itself otherwise.
+    """The order column as BIGINT: microseconds for timestamps, the number itself otherwise,
+    ``NO_TIME`` for null.
 
     A timestamp without zone is counted from its own calendar fields, so the session's zone
     and its clock changes cannot reorder rows.
@@ -61,12 +61,14 @@ def order_value(df: DataFrame, column: str) -> Column:
     kind = df.schema[column].dataType
     ts = F.col(column)
     if isinstance(kind, T.TimestampType):
-        return F.unix_micros(ts)
-    if isinstance(kind, T.TimestampNTZType):
+        value = F.unix_micros(ts)
+    elif isinstance(kind, T.TimestampNTZType):
         days = F.unix_date(ts.cast("date")).cast("bigint")
         minutes = days * 1440 + F.hour(ts) * 60 + F.minute(ts)
-        return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
-    return ts.cast("bigint")
+        value = minutes * 60_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+    else:
+        value = ts.cast("bigint")
+    return F.coalesce(value, F.lit(NO_TIME))
 
 
 def segment(
@@ -81,7 +83,8 @@ def segment(
     """Add ``run_start`` (first row of a run), ``run_id`` (``tie`` of that row) and
     ``run_complete`` (closed by count or branches, not by time or end of data).
 
-    ``tie`` must be unique within a key.
+    ``tie`` must be unique within a key.  Rows without a time come first and form a run of
+    their own, however large the key is.
     """
     keys = list(keys)
     hot = hot_keys(df, keys, hot_rows)
@@ -110,12 +113,15 @@ def same_keys(keys: list[str], prefix: str) -> Column:
     return condition
 
 
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast a written lookup only when its counted size allows; else leave it to AQE."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Broadcast a written lookup only when its measured size allows; else leave it to AQE, which
+    splits the skewed side of a join."""
+    width = F.octet_length(F.to_json(F.struct("*")))
+    size = df.agg(F.sum(width + 32).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 # --- array rules shared by both ways --------------------------------------------------------
@@ -127,19 +133,38 @@ def _next_occurrence(is_branch: np.ndarray, positions: np.ndarray) -> np.ndarray
     return np.minimum.accumulate(marked[::-1])[::-1]
 
 
-def _close_by_branches(nexts: list[np.ndarray], bounds: Bounds) -> np.ndarray:
-    """First position after the run that has seen enough branches."""
-    stacked = np.stack(nexts)
-    if bounds.required:
-        last = stacked.max(axis=0)
-    else:
-        wanted = min(bounds.branch_count or len(nexts), len(nexts)) - 1
-        last = np.partition(stacked, wanted, axis=0)[wanted]
-        if bounds.branch_count and bounds.branch_count > len(nexts):
-            last = np.full(stacked.shape[1], _NONE)
+def _close_by_branches(nexts: list[np.ndarray]) -> np.ndarray:
+    """First position after the run that has seen every branch."""
+    last = np.stack(nexts).max(axis=0)
     return np.where(last == _NONE, _NONE, last + 1)
 
 
+def _close_by_count(group: np.ndarray, branch: np.ndarray, wanted: int) -> np.ndarray:
+    """Per row, the first position after a run from there that has seen ``wanted`` different branches.
+
+    The end only moves forward within a group, so one pass with two pointers finds all.
+    """
+    n = len(group)
+    out = np.full(n, _NONE)
+    tags, groups = branch.tolist(), group.tolist()
+    seen: dict = {}
+    end = 0
+    for here in range(n):
+        if here and groups[here] != groups[here - 1]:
+            seen, end = {}, here
+        while len(seen) < wanted and end < n and groups[end] == groups[here]:
+            if tags[end] is not None:
+                seen[tags[end]] = seen.get(tags[end], 0) + 1
+            end += 1
+        if len(seen) >= wanted:
+            out[here] = end
+        if tags[here] is not None:
+            seen[tags[here]] -= 1
+            if not seen[tags[here]]:
+                del seen[tags[here]]
+    return out
+
+
 def _jumps(pointer: np.ndarray) -> list[np.ndarray]:
     """Pointer tables for 1, 2, 4, ... steps; ``len(pointer)`` is the fixed end node."""
     tables = [np.append(pointer, len(pointer))]
@@ -166,12 +191,14 @@ def _solve(group: np.ndarray, at: np.ndarray, branch: np.ndarray | None, bounds:
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     end = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
     by_rows = here + bounds.max_rows if bounds.max_rows is not None else np.full(n, _NONE)
-    if bounds.watched:
+    if bounds.required:
         nexts = []
-        for name in bounds.watched:
+        for name in bounds.required:
             near = _next_occurrence(branch == name, here)
             nexts.append(np.where(near >= end, _NONE, near))
-        by_rows = np.minimum(by_rows, _close_by_branches(nexts, bounds))
+        by_rows = np.minimum(by_rows, _close_by_branches(nexts))
+    elif bounds.branch_count:
+        by_rows = np.minimum(by_rows, _close_by_count(group, branch, bounds.branch_count))
     by_time = np.full(n, _NONE)
     if bounds.max_span is not None:
         ranks = np.unique(np.concatenate([at, at + bounds.max_span]), return_inverse=True)[1]
@@ -224,7 +251,7 @@ def _segment_ordinary(df, keys, order, tie, bounds: Bounds, branch) -> DataFrame
 
     def solve(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = table.column("_at").to_numpy()
-        tags = table.column(branch).to_pandas().to_numpy() if branch else None
+        tags = np.array(table.column(branch).to_pylist(), dtype=object) if branch else None
         is_start, start, complete = _solve(group, at, tags, bounds)
         out = table.select(names)
         out = out.append_column("run_start", pa.array(is_start))
@@ -303,7 +330,7 @@ def _segment_hot(df, keys, order, tie, bounds: Bounds, branch, block_rows: int)
     named = solved.select(
         *[F.col(k).alias(f"r_{k}") for k in keys], "_tie", "run_start", "run_id", "run_complete"
     )
-    joined = df.join(named, same_keys(keys, "r") & (F.col(tie) == F.col("_tie")))
+    joined = df.join(named, same_keys(keys, "r") & F.col(tie).eqNullSafe(F.col("_tie")))
     return joined.select(*df.columns, "run_start", "run_id", "run_complete")
 
 
@@ -323,8 +350,10 @@ def _pointers(ranked: DataFrame, keys, bounds: Bounds, spread: int) -> DataFrame
     out = ranked.withColumn(
         "_rows", (F.col("_g") + bounds.max_rows) if bounds.max_rows is not None else F.lit(_NONE)
     )
-    if bounds.watched:
+    if bounds.required:
         out = _branch_closes(out, bounds, spread)
+    elif bounds.branch_count:
+        out = _count_closes(out, bounds.branch_count, spread)
     if bounds.max_span is not None:
         out = _time_closes(out, keys, bounds.max_span, spread)
     else:
@@ -382,19 +411,102 @@ def _scan_down(
 
 def _branch_closes(ranked: DataFrame, bounds: Bounds, spread: int) -> DataFrame:
     kept = ranked.columns
-    marks = {str(i): F.when(F.col("_branch") == name, F.col("_g")) for i, name in enumerate(bounds.watched)}
+    marks = {str(i): F.when(F.col("_branch") == name, F.col("_g")) for i, name in enumerate(bounds.required)}
     schema = T.StructType(list(ranked.schema.fields))
 
     def use(table, lowest):
         last = table.column("_last").to_numpy()
         near = [np.where(low > last, _NONE, low) for low in lowest]
-        rows = np.minimum(table.column("_rows").to_numpy(), _close_by_branches(near, bounds))
+        rows = np.minimum(table.column("_rows").to_numpy(), _close_by_branches(near))
         out = table.select(kept)
         return out.set_column(kept.index("_rows"), "_rows", pa.array(rows))
 
     return _scan_down(ranked, [F.col("_g").desc()], marks, spread, schema, use)
 
 
+class _Nearest:
+    """The ``wanted`` different branches that come next, nearest first, on a walk from the end."""
+
+    def __init__(self, wanted: int, known: list[tuple]):
+        self.wanted, self.places = wanted, dict(reversed(known))
+
+    def pass_by(self, branch, position: int) -> None:
+        if branch is None:
+            return
+        self.places.pop(branch, None)
+        self.places[branch] = position
+        if len(self.places) > self.wanted:
+            del self.places[next(iter(self.places))]
+
+    def last(self) -> int:
+        """Position of the ``wanted``-th branch."""
+        return next(iter(self.places.values())) if len(self.places) == self.wanted else _NONE
+
+    def known(self) -> list[tuple]:
+        return list(self.places.items())[::-1]
+
+
+def _count_closes(ranked: DataFrame, wanted: int, spread: int) -> DataFrame:
+    """Close runs at the ``wanted``-th different branch, however many branches there are.
+
+    Rows are walked from the end; a partition hands on at most ``wanted`` branches.
+    """
+    kept = ranked.columns
+    placed = cut_lineage(
+        ranked.repartitionByRange(spread, F.col("_g").desc()).sortWithinPartitions(F.col("_g").desc())
+        .withColumn("_pos", F.monotonically_increasing_id())
+    )
+    kind = ranked.schema["_branch"].dataType.simpleString()
+
+    def parts(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            if batch.num_rows:
+                ids = batch.column("_pos").to_numpy() >> 33
+                cuts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+                for begin, end in zip(cuts, np.append(cuts[1:], len(ids))):
+                    yield int(ids[begin]), batch.slice(begin, end - begin)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: dict[int, _Nearest] = {}
+        for pid, part in parts(batches):
+            state = near.setdefault(pid, _Nearest(wanted, []))
+            for branch, g in zip(part.column("_branch").to_pylist(), part.column("_g").to_pylist()):
+                state.pass_by(branch, g)
+        for pid, state in near.items():
+            known = state.known()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([pid] * len(known), pa.int64()), pa.array([b for b, _ in known], placed_kind), pa.array([g for _, g in known], pa.int64())],
+                names=["pid", "branch", "g"],
+            )
+
+    placed_kind = to_arrow_type(ranked.schema["_branch"].dataType)
+    found: dict[int, list[tuple]] = {}
+    for row in placed.mapInArrow(gather, f"pid long, branch {kind}, g long").collect():
+        found.setdefault(row["pid"], []).append((row["branch"], row["g"]))
+    carried, state = {}, _Nearest(wanted, [])
+    pids = sorted(r["pid"] for r in placed.select(F.shiftright("_pos", 33).alias("pid")).distinct().collect())
+    for pid in pids:
+        carried[pid] = state.known()
+        for branch, g in sorted(found.get(pid, []), key=lambda known: -known[1]):
+            state.pass_by(branch, g)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, near = None, None
+        for here, part in parts(batches):
+            if here != pid:
+                pid, near = here, _Nearest(wanted, carried[here])
+            closes = []
+            for branch, g, last in zip(*(part.column(c).to_pylist() for c in ("_branch", "_g", "_last"))):
+                near.pass_by(branch, g)
+                at = near.last()
+                closes.append(at + 1 if at <= last else _NONE)
+            out = pa.Table.from_batches([part]).select(kept)
+            rows = np.minimum(out.column("_rows").to_numpy(), np.array(closes, np.int64))
+            yield from out.set_column(kept.index("_rows"), "_rows", pa.array(rows)).to_batches()
+
+    return placed.mapInArrow(close, T.StructType(list(ranked.schema.fields)))
+
+
 def _time_closes(ranked: DataFrame, keys, span: int, spread: int) -> DataFrame:
     """For each row, the first row of its key at or after ``_at + span``: rows and probes are
     sorted together, newest first, and a probe reads the last row passed before it."""
@@ -493,8 +605,7 @@ def _follow(edges: DataFrame, block_rows: int) -> DataFrame:
     block = F.expr(f"_g div {block_rows}")
     head = F.struct("run_id", "run_complete")
     ends = marked.groupBy(block.alias("_b")).agg(F.max_by(head, F.when(F.col("run_start"), F.col("_g"))).alias("_end"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = cut_lineage(ends.select("_b", F.last("_end", ignorenulls=True).over(before).alias("_carried")))
+    carried = _carry(ends)
     filled = marked.withColumn("_b", block).join(small(carried), "_b").select(
         "_g", "run_start",
         *[F.when(F.col("found"), F.col(c)).otherwise(F.col(f"_carried.{c}")).alias(c) for c in ("run_id", "run_complete")],
@@ -502,6 +613,23 @@ def _follow(edges: DataFrame, block_rows: int) -> DataFrame:
     return edges.join(filled, "_g")
 
 
+def _carry(ends: DataFrame) -> DataFrame:
+    """Per block, the last ``_end`` of the blocks before it; one row per partition is gathered."""
+    placed = cut_lineage(
+        ends.repartitionByRange("_b").sortWithinPartitions("_b").withColumn("_part", F.shiftright(F.monotonically_increasing_id(), 33))
+    )
+    lasts = placed.groupBy("_part").agg(F.max_by("_end", F.when(F.col("_end").isNotNull(), F.col("_b"))).alias("_end"))
+    rows, known = [], None
+    for row in sorted(lasts.collect(), key=lambda r: r["_part"]):
+        rows.append((row["_part"], known))
+        known = row["_end"] if row["_end"] is not None else known
+    schema = T.StructType([T.StructField("_part", T.LongType()), T.StructField("_earlier", ends.schema["_end"].dataType)])
+    starts = F.broadcast(ends.sparkSession.createDataFrame(rows, schema))
+    before = Window.partitionBy("_part").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.last("_end", ignorenulls=True).over(before)
+    return cut_lineage(placed.join(starts, "_part").select("_b", F.coalesce(inside, "_earlier").alias("_carried")))
+
+
 def _reachable(graph: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes on the chains from ``roots``; the number of rounds is the log of the chain length."""
     reached = cut_lineage(roots)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,11 +41,14 @@ def local_session(cores: int | str = "*", app: str = "sluicework", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``.
 
-    Where it is unset (single-machine tests) a fresh temporary folder is made and set.
+    Where it is unset a fresh temporary folder is made and set, on a single machine only: on a
+    cluster every machine would have its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
+    if not configured and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="sluicework-")
     if not spark.sparkContext.getCheckpointDir():
@@ -57,6 +61,13 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "staging", f"{name}-{uuid.uuid4().hex}")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, resolved as Spark does, in the spelling of Arrow's file systems."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = location.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(location).toString()
+    return re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", whole))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whatever file system it names."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sluicework.functions.codecs import ALGORITHMS, encrypt_payload, pack
 from sluicework.functions.envelopes import envelope_json
-from sluicework.session import path_exists
+from sluicework.session import path_exists, qualified
 
 # File name endings per format and codec.
 FORMAT_EXTENSION = {"raw": "jsonl", "json": "jsonl", "normal": "jsonl", "text": "jsonl", "csv": "csv"}
@@ -54,21 +55,30 @@ def write_lines(lines: DataFrame, path: str, compression: str = "none", mode: st
         writer = lines.write.mode(mode)
         (writer.option("compression", "gzip") if compression == "gzip" else writer).text(path)
         return
-    _write_frames(lines, path, compression)
+    _write_frames(lines, path, compression, mode)
 
 
 def _write_frames(
-    lines: DataFrame, path: str, compression: str, ending: str = "jsonl", header: str = ""
+    lines: DataFrame, path: str, compression: str, mode: str, ending: str = "jsonl", header: str = ""
 ) -> None:
     """Each task streams its rows into one frame file; only finished attempts are published.
 
     A lost or repeated attempt leaves an unpublished file below ``_pending`` and no duplicate.
+    ``mode`` is Spark's: with ``overwrite`` the files of before go once the new ones are there.
     """
     ending += CODEC_EXTENSION[compression]
     run = uuid.uuid4().hex[:12]
-    filesystem, root = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    target = qualified(lines.sparkSession, path)
+    filesystem, root = fs.FileSystem.from_uri(target)
+    listed = filesystem.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    earlier = [f.path for f in listed if f.type == fs.FileType.File and not f.base_name.startswith("_")]
+    if mode not in ("append", "overwrite", "ignore", "error", "errorifexists"):
+        raise ValueError(f"unknown mode {mode}")
+    if earlier and mode == "ignore":
+        return
+    if earlier and mode in ("error", "errorifexists"):
+        raise ValueError(f"{path} holds files already")
     filesystem.create_dir(f"{root}/_pending", recursive=True)
-    target = path if "://" in path else os.path.abspath(path)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remote, base = fs.FileSystem.from_uri(target)
@@ -91,6 +101,9 @@ def _write_frames(
     # One row per task comes back: the names of the files to publish.
     for done in lines.select("value").mapInArrow(store, "name string, rows long").collect():
         filesystem.move(f"{root}/_pending/{done['name']}", f"{root}/{done['name']}")
+    if mode == "overwrite":
+        for name in earlier:
+            filesystem.delete_file(name)
 
 
 def write_raw(df: DataFrame, path: str, compression: str = "none", mode: str = "append") -> None:
@@ -105,13 +118,21 @@ def write_envelope(
 
 
 def write_csv(df: DataFrame, path: str, compression: str = "none", mode: str = "append") -> None:
-    """One header per file, values as text in column order; null is an empty cell."""
+    """One header per file, values as text in column order; null is an empty cell.
+
+    Blanks around a value stay.  Where a frame has one column, an empty cell is quoted, since a
+    blank line would be no row.
+    """
     text = df.select([F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+    options = {
+        "escape": '"', "emptyValue": '""' if len(df.columns) == 1 else "",
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    }
     if compression in ("lz4", "zstd"):
-        line = F.to_csv(F.struct("*"), {"escape": '"', "emptyValue": ""}).alias("value")
-        _write_frames(text.select(line), path, compression, "csv", ",".join(df.columns) + "\n")
+        header = ",".join('"' + c.replace('"', '""') + '"' if set(c) & set(',"\n\r') else c for c in df.columns)
+        _write_frames(text.select(F.to_csv(F.struct("*"), options).alias("value")), path, compression, mode, "csv", header + "\n")
         return
-    writer = text.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "")
+    writer = text.write.mode(mode).option("header", True).options(**options)
     (writer.option("compression", "gzip") if compression == "gzip" else writer).csv(path)
 
 
@@ -148,7 +169,11 @@ def write_objects(
 
 def write_idempotent(df: DataFrame, directory: str, batch_id: int | str, encoding: str = "raw") -> None:
     """A folder per batch id, replaced whole: a replay of the batch leaves the same files."""
-    encoded(df, encoding).write.mode("overwrite").text(f"{directory}/batch={batch_id}")
+    name = str(batch_id)
+    if not re.fullmatch(r"[A-Za-z0-9_.-]{1,100}", name):
+        # A position may be a path or any text; a folder's name may not.
+        name = hashlib.sha256(name.encode()).hexdigest()[:32]
+    encoded(df, encoding).write.mode("overwrite").text(f"{directory}/batch={name}")
 
 
 def drain(df: DataFrame) -> None:

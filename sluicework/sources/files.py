@@ -18,6 +18,9 @@ from sluicework.functions.codecs import MAGIC, decrypt_payload, unpack
 from sluicework.functions.envelopes import EMPTY_METADATA, ENVELOPE_JSON
 
 
+CODECS = ("none", "gzip", "lz4", "zstd")
+
+
 def line_separator(delimiter: str) -> str:
     """A single character, or a byte written as ``0x1e``."""
     text = chr(int(delimiter, 16)) if delimiter.lower().startswith("0x") else delimiter
@@ -120,8 +123,12 @@ def read_csv(
 
     Quoted cells may hold line breaks, so a file is one split by default.  Pass
     ``splittable=True`` for data known to have none: large files are then read in ranges.
-    Give ``columns`` to skip the header probe.
+    ``columns`` picks columns by their name in the header; a name that it lacks is refused, and so
+    is a file whose header differs from the first one's.  The declared compression must be the
+    files' own.
     """
+    if compression not in CODECS:
+        raise ValueError(f"unknown compression {compression}")
     if compression in ("lz4", "zstd"):
         return _csv_of_frames(spark, path, columns, compression)
     reader = (
@@ -129,10 +136,19 @@ def read_csv(
         .option("escape", '"')
         .option("multiLine", not splittable)
         .option("encoding", "UTF-8")
+        .option("enforceSchema", False)
     )
-    if columns:
-        reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
-    return reader.csv(path).na.fill("")
+    found = reader.csv(path)
+    missing = [c for c in columns or [] if c not in found.columns]
+    if missing:
+        raise ValueError(f"the header has no column {', '.join(missing)}")
+    if not found.columns:
+        return found
+    # A plan may drop the column of this check, so a filter holds it.
+    wrong = F.input_file_name().rlike(r"\.(zst|lz4)$") | (F.input_file_name().rlike(r"\.gz$") != F.lit(compression == "gzip"))
+    refuse = F.raise_error(F.lit(f"input is not what the declared compression {compression} says")).cast("boolean")
+    checked = found.where(F.when(wrong, refuse).otherwise(F.lit(True))).na.fill("")
+    return checked.select(*[f"`{c}`" for c in columns]) if columns else checked
 
 
 def _csv_of_frames(spark, path, columns, compression: str) -> DataFrame:
@@ -141,13 +157,20 @@ def _csv_of_frames(spark, path, columns, compression: str) -> DataFrame:
         raise ValueError("reading framed CSV needs the column names")
     names = list(columns)
 
+    def picked(row: dict, name: str) -> str:
+        if name not in row:
+            raise ValueError(f"the header has no column {name}")
+        return row[name]
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
                 with _opened(path, compression) as stream:
+                    # A cell may be as long as a value can be.
+                    csv.field_size_limit((1 << 31) - 1)
                     reader = csv.DictReader(io.TextIOWrapper(stream, encoding="utf-8", newline=""))
-                    while chunk := list(islice(reader, 10_000)):
-                        yield pd.DataFrame({n: [r[n] for r in chunk] for n in names})
+                    while chunk := list(islice(reader, 1_000)):
+                        yield pd.DataFrame({n: [picked(r, n) for r in chunk] for n in names})
 
     frames = _stored_frames(spark, path)
     return frames.mapInPandas(rows, ", ".join(f"`{n}` string" for n in names)).na.fill("")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sluicework.operators.dedup import latest_per_key
+from sluicework.operators.segments import order_value
 from sluicework.operators.upsert import apply_changes
 from sluicework.session import ROCKSDB, path_exists
 
@@ -31,17 +32,63 @@ def late_rows(query) -> int:
     return sum(per_batch.values())
 
 
-def dedup_stream(sdf: DataFrame, key: str | Sequence[str], ts: str, ttl: str) -> DataFrame:
-    """One row per key within ``ttl``, in keyed state shared by all tasks."""
+class Seen(StatefulProcessor):
+    """The time of a key's accepted row; rows less than ``ttl_us`` away from it are its duplicates."""
+
+    def __init__(self, ttl_us: int, columns: list[str], keep_ms: int | None):
+        self.ttl_us, self.columns, self.keep_ms = ttl_us, columns, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.accepted = handle.getValueState("accepted", "at long", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        accepted = self.accepted.get()[0] if self.accepted.exists() else None
+        begun = accepted
+        for part in rows:
+            times = part["at"].tolist()
+            kept = []
+            for i in sorted(range(len(times)), key=times.__getitem__):
+                if accepted is None or abs(times[i] - accepted) >= self.ttl_us:
+                    accepted = times[i]
+                    kept.append(i)
+            if kept:
+                yield part.iloc[sorted(kept)][self.columns]
+        if accepted != begun:
+            self.accepted.update((accepted,))
+
+    def close(self) -> None:
+        pass
+
+
+def dedup_stream(
+    sdf: DataFrame, key: str | Sequence[str], ts: str, ttl: str, keep_state: str | None = None
+) -> DataFrame:
+    """One row per key within ``ttl`` of event time, in keyed state shared by all tasks.
+
+    A key's state is its own: how far other keys have come drops nothing, so a late row that was
+    never seen is kept.  Rows of a key are taken a batch of Arrow rows at a time, each in time
+    order; a null time counts as one time of its own.  ``keep_state`` forgets a key so long after
+    its last accepted row, by the clock; without it state grows with the number of keys.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    return sdf.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
+    sdf.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    micros = [round(pd.Timedelta(t).total_seconds() * 1_000_000) if t else None for t in (ttl, keep_state)]
+    keep_ms = micros[1] // 1000 if micros[1] else None
+    # Names that are no identifiers would not reach the state's rows, so columns go by number.
+    numbered = [f"c{i}" for i in range(len(sdf.columns))]
+    timed = sdf.select("*", order_value(sdf, ts)).toDF(*numbered, "at")
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(numbered, sdf.schema, strict=True))
+    kept = timed.groupBy(*[numbered[sdf.columns.index(k)] for k in keys]).transformWithStateInPandas(
+        Seen(micros[0], numbered, keep_ms), schema, "Append", "ProcessingTime" if keep_ms else "None"
+    )
+    return kept.toDF(*sdf.columns)
 
 
 class Correlator(StatefulProcessor):
     """Members of one key until the group is complete or its time has passed."""
 
-    def __init__(self, expected_count, required, timeout_ms, fire):
-        self.expected_count, self.required = expected_count, tuple(required)
+    def __init__(self, expected_count, required, by_branch, timeout_ms, fire):
+        self.expected_count, self.required, self.by_branch = expected_count, tuple(required), by_branch
         self.timeout_ms, self.fire = timeout_ms, fire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -51,6 +98,8 @@ class Correlator(StatefulProcessor):
     def _complete(self, members) -> bool:
         if self.required:
             return set(self.required) <= {m[1] for m in members}
+        if self.by_branch:
+            return len({m[1] for m in members if m[1] is not None}) >= self.expected_count
         return len(members) >= self.expected_count
 
     @staticmethod
@@ -72,9 +121,11 @@ class Correlator(StatefulProcessor):
                 if self.fire:
                     yield self._row(key, members, False)
                 members = []
-            if self.required:
+            # Every member carries the time at which its group opened.
+            opened = members[0][0] if members else int(ts)
+            if self.by_branch:
                 members = [m for m in members if m[1] != branch]
-            members.append((int(ts), branch, doc))
+            members.append((opened, branch, doc))
             if self._complete(members):
                 yield self._row(key, members, True)
                 members = []
@@ -105,7 +156,8 @@ def correlate_stream(
     """Correlation with members kept in the checkpoint, so a crash loses none.
 
     Rows join in event time within a micro-batch; an open group times out on the watermark.
-    State per key is bounded: ``expected_count`` members, or one per required branch.
+    State per key is bounded: ``expected_count`` members, or the last one of each branch; with
+    ``branch_by`` and ``expected_count`` a group needs that many different branches.
     """
     if not required and not expected_count:
         raise ValueError("give expected_count or required")
@@ -125,7 +177,7 @@ def correlate_stream(
         slim = slim.where(F.col("branch").isin(list(required)))
     timed = slim.withWatermark("at", lateness) if timeout_ms is not None else slim
     return timed.groupBy("key").transformWithStateInPandas(
-        Correlator(expected_count, required, timeout_ms, on_timeout == "fire"),
+        Correlator(expected_count, required, branch_by is not None, timeout_ms, on_timeout == "fire"),
         f"key {kind}, complete boolean, n long, branches array<string>, docs array<string>",
         "Append", "EventTime" if timeout_ms is not None else "None",
     )

@@ -274,3 +274,43 @@ def test_schema_file_and_endpoint(spark, work):
 
     register_endpoint(spark, Endpoint)
     assert [tuple(r) for r in spark.read.format("two_cells").load().collect()] == [(1, "a")]
+
+
+def test_csv_keeps_blanks_blank_rows_and_long_cells(spark, work):
+    rows = [(1, "  lead"), (2, "trail  "), (3, ""), (4, 'a "q", b'), (5, "two\nlines"), (6, "x" * 1_000_000), (7, None)]
+    df = spark.createDataFrame(rows, "id int, note string")
+    for codec in ("none", "gzip", "zstd"):
+        sinks.write_csv(df, f"{work}/{codec}", codec)
+        back = sources.read_csv(spark, f"{work}/{codec}", ["note", "id"], compression=codec)
+        assert back.columns == ["note", "id"]
+        assert {int(r.id): r.note for r in back.collect()} == {i: n or "" for i, n in rows}
+        sinks.write_csv(df.select("note").where("id in (3, 4)"), f"{work}/one-{codec}", codec)
+        assert sorted(r.note for r in sources.read_csv(spark, f"{work}/one-{codec}", ["note"], compression=codec).collect()) == ["", 'a "q", b']
+
+
+def test_csv_refuses_unknown_columns_and_other_codecs(spark, work):
+    df = spark.createDataFrame([(1, "a")], "id int, t string")
+    for codec in ("none", "gzip", "zstd"):
+        sinks.write_csv(df, f"{work}/{codec}", codec)
+        with pytest.raises(Exception, match="no column"):
+            sources.read_csv(spark, f"{work}/{codec}", ["nope"], compression=codec).collect()
+        for other in {"none", "gzip", "zstd"} - {codec}:
+            with pytest.raises(Exception):
+                sources.read_csv(spark, f"{work}/{codec}", ["id", "t"], compression=other).select("t").collect()
+
+
+def test_framed_sinks_honour_the_mode(spark, work):
+    df = spark.createDataFrame([(1,)], "id int")
+    for mode, n in (("append", 1), ("append", 2), ("overwrite", 1), ("ignore", 1)):
+        sinks.write_raw(df, f"{work}/m", "zstd", mode)
+        assert sources.read_raw(spark, f"{work}/m", compression="zstd").count() == n
+    with pytest.raises(ValueError):
+        sinks.write_raw(df, f"{work}/m", "zstd", "error")
+
+
+def test_batch_folders_have_plain_names(spark, work):
+    df = spark.createDataFrame([(1,)], "id int")
+    for _ in range(2):
+        sinks.write_idempotent(df, f"{work}/b", "copy-file:/x/y.txt")
+    assert [n.startswith("batch=") for n in os.listdir(f"{work}/b")] == [True]
+    assert spark.read.text(f"{work}/b").count() == 1

@@ -221,8 +221,10 @@ def test_stream_dedup_and_lateness(spark, work):
     schema = "id long, s long"
     sdf = _stream(spark, work, "d", schema, [(1, 0), (2, 0), (1, 5)], [(2, 8), (3, 100)], [(5, 101)], [(4, 1)])
     sdf = sdf.withColumn("ts", F.timestamp_seconds(F.col("s") + 1000))
-    out, query = _collect(stateful.dedup_stream(sdf, "id", "ts", "20 seconds").select("id"), work, "d")
-    assert sorted(r.id for r in out.collect()) == [1, 2, 3, 5]
+    out, _ = _collect(stateful.dedup_stream(sdf, "id", "ts", "20 seconds").select("id"), work, "d")
+    assert sorted(r.id for r in out.collect()) == [1, 2, 3, 4, 5]
+    timed = stateful.with_lateness(sdf, "ts", "20 seconds").groupBy(F.window("ts", "10 seconds")).count()
+    _, query = _collect(timed.select("count"), work, "w")
     assert stateful.late_rows(query) == 1
 
 
@@ -241,6 +243,14 @@ def test_stream_correlation_keeps_members(spark, work):
     assert sorted((r.key, tuple(r.docs)) for r in out.collect()) == [("g", ("a", "b")), ("z", ("q", "w"))]
 
 
+def test_stream_correlation_counts_different_branches(spark, work):
+    schema = "cid string, s long, source string, doc string"
+    sdf = _stream(spark, work, "b", schema, [("g", 1, "a", "x"), ("g", 2, "a", "y")], [("g", 3, "b", "z")])
+    sdf = sdf.withColumn("ts", F.timestamp_seconds("s"))
+    out, _ = _collect(stateful.correlate_stream(sdf, "cid", "ts", "doc", branch_by="source", expected_count=2), work, "b")
+    assert [(r.key, r.complete, sorted(r.docs)) for r in out.collect()] == [("g", True, ["y", "z"])]
+
+
 def test_change_stream_is_idempotent(spark, work):
     schema = "op string, key long, amount long, lsn long, ordinal long"
     sdf = _stream(spark, work, "f", schema,

@@ -173,3 +173,23 @@ def test_parity_reports(spark):
     found = parity.exactly_once(ids, ids.where("id > 0").unionByName(ids.where("id = 3")), ["id"])
     assert rows(found, "id", "problem") == [(0, "lost"), (3, "repeated")]
     assert parity.branch_accounting(ids, [ids, ids], 2, ["id"]).count() == 0
+
+
+def test_parity_tells_nulls_kinds_and_spellings(spark):
+    def differ(left, right, numeric):
+        sides = [spark.createDataFrame([(x,)], "r string") for x in (left, right)]
+        return parity.parity(*sides, "r", numeric).count() > 0
+
+    cases = [  # left, right, differ by type, differ by value
+        (None, "", True, True), ('{"a":null}', '{"a":""}', True, True), ("[7,7.0]", "[7.0,7]", True, False),
+        ("1e3", "1000", True, False), ("1e3", "1000.0", False, False), ('{"a":1,"b":2}', '{"b":2,"a":1}', False, False),
+        ("no json", "no json", False, False), ('"7"', "7", True, True), ("x\x1fy", "x", True, True),
+    ]
+    for left, right, by_type, by_value in cases:
+        assert (differ(left, right, False), differ(left, right, True)) == (by_type, by_value), (left, right)
+
+
+def test_route_status_keeps_a_null_route(spark):
+    rows = [("a", 0, 1), ("a", 1, 5), (None, 0, 2)]
+    df = spark.createDataFrame(rows, "route string, s long, total long").selectExpr("route", "timestamp_seconds(s) as ts", "total")
+    assert {r.route for r in metrics.route_status(df, "route", "ts", "total").collect()} == {"a", None}

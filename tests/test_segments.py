@@ -24,13 +24,16 @@ def model(rows, bounds):
             members, seen, complete = [], set(), False
             while i < len(items):
                 _, t, tie, branch = items[i]
-                if members and bounds.max_span is not None and t >= members[0][1] + bounds.max_span:
+                first = members[0][1] if members else t
+                apart = (t is None) != (first is None) or (t is not None and bounds.max_span is not None and t >= first + bounds.max_span)
+                if members and bounds.max_span is not None and apart:
                     break
                 members.append(items[i])
-                seen.add(branch)
+                if branch is not None:
+                    seen.add(branch)
                 i += 1
                 by_branch = (bounds.required and set(bounds.required) <= seen) or (
-                    not bounds.required and bounds.branch_count and len(seen & set(bounds.branches)) >= bounds.branch_count
+                    not bounds.required and bounds.branch_count and len(seen) >= bounds.branch_count
                 )
                 if (bounds.max_rows and len(members) >= bounds.max_rows) or by_branch:
                     complete = True
@@ -46,7 +49,8 @@ BOUNDS = [
     Bounds(max_rows=4, max_span=9),
     Bounds(required=("a", "b")),
     Bounds(required=("a", "b", "c"), max_span=12),
-    Bounds(branches=("a", "b", "c"), branch_count=2, max_span=20),
+    Bounds(branch_count=2, max_span=20),
+    Bounds(branch_count=3),
 ]
 
 
@@ -70,13 +74,18 @@ def _random_rows(seed, n):
              rng.randrange(0, n // 2), i, rng.choice("abc")) for i in range(n)]
 
 
+def _with_nulls(rows):
+    """Some times and branches missing, in hot and in ordinary keys."""
+    return [(k, None if i % 13 == 0 else t, i, None if i % 7 == 0 else b) for k, t, i, b in rows]
+
+
 @pytest.mark.parametrize("bounds", BOUNDS, ids=str)
 @pytest.mark.parametrize("hot_rows", [10_000, 40])
 def test_segments_match_the_model(spark, bounds, hot_rows):
-    rows = _random_rows(7, 400)
+    rows = _with_nulls(_random_rows(7, 400))
     df = spark.createDataFrame(rows, "k string, t long, id long, b string").repartition(3)
-    out = segment(df, ["k"], "t", "id", bounds, "b" if bounds.watched else None, hot_rows).collect()
-    ordered = sorted(rows, key=lambda r: (r[0] or "", r[1], r[2]))
+    out = segment(df, ["k"], "t", "id", bounds, "b" if bounds.required or bounds.branch_count else None, hot_rows).collect()
+    ordered = sorted(rows, key=lambda r: (r[0] or "", -1 if r[1] is None else r[1], r[2]))
     expected = model(ordered, bounds)
     assert len(out) == len(rows)
     assert {(r.k, r.id): (r.run_id, r.run_complete) for r in out} == expected
@@ -95,6 +104,23 @@ def test_dedup_ttl_and_batches_agree_for_hot_and_ordinary(spark):
         assert got == {i: s for (_, i), (s, _) in expected.items()}
 
 
+@pytest.mark.parametrize("hot_rows", [10_000, 1])
+def test_any_number_of_branches_and_null_ones(spark, hot_rows):
+    rows = [("g", i, i, f"b{i}") for i in range(1500)] + [("g", 1500, 1500, None), ("h", 1, 9000, None), ("h", 2, 9001, "x")]
+    df = spark.createDataFrame(rows, "cid string, s long, id long, source string").selectExpr(
+        "cid", "timestamp_seconds(s) as ts", "id", "source", "concat('d', id) as doc")
+    got = correlate(df, "cid", "ts", "id", branch_by="source", expected_count=1500, timeout_seconds=10_000, hot_rows=hot_rows).collect()
+    assert {(r.cid, r.group_id): (r.complete, r.n, len(r.docs)) for r in got} == {
+        ("g", 0): (True, 1500, 1500), ("g", 1500): (False, 1, 0), ("h", 9000): (False, 2, 1)}
+
+
+@pytest.mark.parametrize("hot_rows", [10_000, 1])
+def test_a_null_time_never_hides_another_row(spark, hot_rows):
+    df = spark.createDataFrame([("k", 0, 1), ("k", None, 2), ("k", 5, 3)], "k string, s long, id long").selectExpr(
+        "k", "timestamp_seconds(s) as ts", "id")
+    assert sorted(r.id for r in dedup_ttl(df, "k", "ts", "id", 60, hot_rows).collect()) == [1, 2]
+
+
 def test_correlate_modes(spark):
     rows = [("g", 1, 1, "inventory"), ("g", 2, 2, "pricing"), ("g", 3, 3, "pricing"), ("h", 1, 4, "pricing"), ("g", 90, 5, "inventory")]
     df = spark.createDataFrame(rows, "cid string, s long, id long, source string").selectExpr(
