@@ -19,9 +19,11 @@ from pyspark.sql.streaming import StreamingQuery
 from sluicework.functions.texts import SECRET_NAMES, SECRET_WORDS
 from sluicework.operators import dedup as dedup_ops
 from sluicework.operators import routing, shaping
+from sluicework.operators.correlate import correlate
 from sluicework.operators.filtering import filter_rows
-from sluicework.session import path_exists, shared_dir
+from sluicework.session import path_exists, shared_dir, staging_path
 from sluicework.sinks import files as file_sinks
+from sluicework.sinks.records import kafka_sink
 from sluicework.sources import files as file_sources
 from sluicework.sources import tables
 from sluicework.streaming.filestream import group_checkpoint, stream_file, stream_files
@@ -110,6 +112,30 @@ class PositionStore:
         frame.write.mode("append").partitionBy("id_hash").parquet(self.path)
 
 
+#: Cursor types whose values a position can hold; others are refused before anything is read.
+CURSOR_KINDS = ("tinyint", "smallint", "int", "bigint", "string")
+
+
+def check_cursor_type(df: DataFrame, cursor: str) -> None:
+    kind = df.schema[cursor].dataType.simpleString()
+    if kind not in CURSOR_KINDS:
+        raise ValueError(f"a cursor of type {kind} cannot be stored; cast {cursor} to bigint or string")
+
+
+class LossyCopy(Exception):
+    """Rows were rejected and had nowhere to go."""
+
+
+class Rejecting:
+    """A step that may reject rows: ``split`` gives (good, rejects); ``sink`` takes the rejects.
+
+    Without a sink a rejected row makes the copy fail, with the count, and no position is stored.
+    """
+
+    def __init__(self, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]], sink: dict | None = None):
+        self.split, self.sink = split, sink
+
+
 def safe_position(results: DataFrame, cursor: str, ok: str) -> DataFrame:
     """The furthest position before the first failed row."""
     first_failed = F.min(F.when(~F.col(ok), F.col(cursor)))
@@ -177,6 +203,26 @@ def open_sink(sink: dict) -> Callable[[DataFrame, str], None]:
         return lambda df, batch: file_sinks.write_idempotent(df, path, batch)
     if kind == "jdbc":
         return lambda df, _: tables.write_jdbc(df, sink["url"], sink["table"])
+    if kind == "kafka":
+        return lambda df, _: kafka_sink(df, sink["servers"], sink["topic"], sink.get("partition_key"), **sink.get("options", {}))
+    if kind == "fanout":
+        writers = [open_sink(s) for s in sink["sinks"]]
+
+        def all_of(df: DataFrame, batch: str) -> None:
+            for one in writers:
+                one(df, batch)
+
+        return all_of
+    if kind == "switch":
+        branches = {name: open_sink(s) for name, s in sink["sinks"].items()}
+        rule = {k: sink[k] for k in ("key", "cases", "when", "default") if k in sink}
+
+        def one_of(df: DataFrame, batch: str) -> None:
+            routed = routing.switch(df, **rule)
+            for name, one in branches.items():
+                one(routing.branch_rows(routed, name), batch)
+
+        return one_of
     if kind == "named":
         return lambda df, _: routing.named(sink["name"])(df)
     raise ValueError(f"unknown sink kind {kind}")
@@ -189,6 +235,7 @@ def open_sink(sink: dict) -> Callable[[DataFrame, str], None]:
 class CopyReport:
     rows: int = 0
     read: int = 0
+    rejected: int = 0
     elapsed_s: float = 0.0
     delivery: str = ""
     identity: str = ""
@@ -201,6 +248,7 @@ class CopyReport:
 
     def summary(self) -> str:
         kept = f"{self.rows} rows" if self.rows == self.read else f"{self.rows} of {self.read} rows"
+        kept += f" ({self.rejected} rejected)" if self.rejected else ""
         return f"copied {kept} in {self.elapsed_s:.2f} s ({self.rows_per_second} rows/s, {self.delivery})"
 
 
@@ -220,6 +268,9 @@ def copy(
     With ``resume`` a later run continues where this one ended: by the last cursor value, or
     by the checkpoint of a stream.  A position is stored only after the sink has accepted the
     rows, so a crash repeats rows and never skips any.
+
+    ``rows`` of the report are those that reached the sink.  A ``Rejecting`` step sends what it
+    rejects to its own sink, or the copy fails.
     """
     kind = resume_kind(source) if resume else None
     identity = copy_identity(source, sink, filter)
@@ -237,10 +288,29 @@ def copy(
     return _copy_batch(spark, source, write, filter, steps, kind, PositionStore(spark, f"{state}/positions"), report)
 
 
-def _shape(df: DataFrame, filter: str | None, steps) -> DataFrame:
+def _delivered(flow: DataFrame, filter: str | None, steps, write, batch: str) -> tuple[int, int]:
+    """Filter, shape and write; (rows delivered, rows rejected), counted by the writes themselves."""
+    flow = filter_rows(flow, filter) if filter else flow
+    rejects: list[tuple[DataFrame, dict | None, Observation]] = []
     for step in steps:
-        df = df.transform(step)
-    return df
+        if isinstance(step, Rejecting):
+            # Both sides are written, so the rows before the split are settled once.
+            settled = staging_path(flow.sparkSession, "split")
+            flow.write.parquet(settled)
+            flow, bad = step.split(flow.sparkSession.read.schema(flow.schema).parquet(settled))
+            count = Observation()
+            rejects.append((bad.observe(count, F.count(F.lit(1)).alias("n")), step.sink, count))
+        else:
+            flow = flow.transform(step)
+    rejected = 0
+    for bad, sink, count in rejects:
+        open_sink(sink or {"kind": "null"})(bad, batch)
+        rejected += count.get["n"]
+        if count.get["n"] and sink is None:
+            raise LossyCopy(f"{count.get['n']} rows were rejected and there is no dead-letter sink")
+    delivered = Observation()
+    write(flow.observe(delivered, F.count(F.lit(1)).alias("n")), batch)
+    return delivered.get["n"], rejected
 
 
 def _copy_batch(spark, source, write, filter, steps, kind, store: PositionStore, report: CopyReport) -> CopyReport:
@@ -250,6 +320,7 @@ def _copy_batch(spark, source, write, filter, steps, kind, store: PositionStore,
     if kind == "cursor":
         key = f"{source['kind']}:{source.get('cursor_id', report.identity)}"
         report.position = store.get(key)
+        check_cursor_type(rows, cursor)
         # A text cursor over CSV keys would compare as text, so its type is the frame's own.
         rows = tables.read_incremental(rows, cursor, report.position)
         measures.append(F.max(cursor).alias("p"))
@@ -259,11 +330,10 @@ def _copy_batch(spark, source, write, filter, steps, kind, store: PositionStore,
         rows = file_sources.read_objects(spark, source["path"], report.position, source.get("max_object_bytes"))
         measures.append(F.max("object_key").alias("p"))
     # Counts and the new position come from the write itself: the source is read once.
-    read, kept = Observation(), Observation()
-    flow = rows.observe(read, *measures)
-    flow = (filter_rows(flow, filter) if filter else flow).observe(kept, F.count(F.lit(1)).alias("n"))
-    write(_shape(flow, filter, steps), report.identity if report.position is None else f"{report.identity}-{report.position}")
-    report.read, report.rows = read.get["n"], kept.get["n"]
+    read = Observation()
+    batch = report.identity if report.position is None else f"{report.identity}-{report.position}"
+    report.rows, report.rejected = _delivered(rows.observe(read, *measures), filter, steps, write, batch)
+    report.read = read.get["n"]
     if key and read.get.get("p") is not None:
         report.position = read.get["p"]
         store.put(key, report.position)
@@ -274,15 +344,14 @@ def _copy_batch(spark, source, write, filter, steps, kind, store: PositionStore,
 
 def _copy_stream(spark, source, write, filter, steps, checkpoint, drain, poll, report: CopyReport):
     rows = open_source(spark, source)
-    counts = {"read": 0, "rows": 0}
+    counts = {"read": 0, "rows": 0, "rejected": 0}
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        read, kept = Observation(), Observation()
-        flow = batch.observe(read, F.count(F.lit(1)).alias("n"))
-        flow = (filter_rows(flow, filter) if filter else flow).observe(kept, F.count(F.lit(1)).alias("n"))
-        write(_shape(flow, filter, steps), str(batch_id))
+        read = Observation()
+        rows, rejected = _delivered(batch.observe(read, F.count(F.lit(1)).alias("n")), filter, steps, write, str(batch_id))
         counts["read"] += read.get["n"]
-        counts["rows"] += kept.get["n"]
+        counts["rows"] += rows
+        counts["rejected"] += rejected
 
     writer = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if not drain:
@@ -290,7 +359,7 @@ def _copy_stream(spark, source, write, filter, steps, checkpoint, drain, poll, r
     begun = time.monotonic()
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
-    report.read, report.rows = counts["read"], counts["rows"]
+    report.read, report.rows, report.rejected = counts["read"], counts["rows"], counts["rejected"]
     report.elapsed_s = time.monotonic() - begun
     log.info(report.summary())
     return report
@@ -308,13 +377,19 @@ def _step_of(item: dict) -> Callable[[DataFrame], DataFrame]:
     if name == "columns":
         return lambda df: shaping.project(df, options)
     if name == "types":
-        return lambda df: shaping.split_by_error(shaping.type_columns(df, options))[0]
+        rules = {k: v for k, v in options.items() if k != "dead_letters"}
+        return Rejecting(lambda df: shaping.split_by_error(shaping.type_columns(df, rules)), options.get("dead_letters"))
     if name == "transform":
-        wanted = {**options, "on_error": options.get("on_error", "reject")}
-        reject = wanted["on_error"] == "reject"
-        return lambda df: shaping.transform(df, **wanted)[0] if reject else shaping.transform(df, **wanted)
+        wanted = {k: v for k, v in options.items() if k != "dead_letters"}
+        if wanted.get("on_error", "reject") == "reject":
+            return Rejecting(lambda df: shaping.transform(df, **wanted), options.get("dead_letters"))
+        return lambda df: shaping.transform(df, **wanted)
     if name == "dedup":
         return lambda df: dedup_ops.dedup(df, options["key"], options["order"])
+    if name == "dedup_ttl":
+        return lambda df: dedup_ops.dedup_ttl(df, options["key"], options["ts"], options["tie"], options["ttl_seconds"])
+    if name == "correlate":
+        return lambda df: correlate(df, **options)
     if name == "switch":
         return lambda df: routing.switch(df, **options)
     if name == "step":

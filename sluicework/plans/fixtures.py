@@ -74,6 +74,14 @@ def change_target(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def all_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per customer."""
+    return table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("amount"),
+        (F.col("c_custkey") * 3).alias("lsn"), F.lit(0).cast("bigint").alias("ordinal"),
+    )
+
+
 def doubled_events(spark: SparkSession, sf: str) -> DataFrame:
     """Events plus a repeat of every fifth one ten seconds later."""
     events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
@@ -100,6 +108,8 @@ SQL = {
                     ELSE 'replace' END AS op,
                o_custkey AS key, o_totalprice AS amount, o_orderkey AS lsn, o_custkey % 3 AS ordinal
         FROM orders)""",
+    "all_customers": """all_customers AS (
+        SELECT c_custkey AS key, c_acctbal AS amount, c_custkey * 3 AS lsn, CAST(0 AS BIGINT) AS ordinal FROM customer)""",
     "change_target": """change_target AS (
         SELECT c_custkey AS key, c_acctbal AS amount, c_custkey * 3 AS lsn, CAST(0 AS BIGINT) AS ordinal
         FROM customer WHERE c_custkey % 2 = 0)""",

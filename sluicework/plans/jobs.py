@@ -128,7 +128,7 @@ def _as_stream(df, name):
 def stream_dedup(spark, sf):
     rows = doubled_events(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     sdf = _as_stream(rows, "dedup-in")
-    return _drained(stateful.dedup_stream(sdf, "event_id", "ts", "40 days").select("event_id"), "dedup-out")
+    return _drained(stateful.dedup_stream(sdf, "event_id", "ts", "20 seconds").select("event_id"), "dedup-out")
 
 
 @query("stream_correlate", "SELECT user_id, count(*) // 3 AS groups, (count(*) // 3) * 3 AS members FROM events GROUP BY user_id")
@@ -156,12 +156,17 @@ def stream_changes_applied(spark, sf):
     return stateful.read_applied(spark, base, change_target(spark, sf), "key").select("key", "amount", "lsn")
 
 
-@query("stream_start_latest", "SELECT event_id FROM events WHERE false")
+@query("stream_start_latest", "SELECT event_id FROM events")
 def stream_start_latest(spark, sf):
-    """A tail that starts at the end of the backlog sees none of it."""
-    base = staging_path(spark, "tail")
-    write_raw(table(spark, sf, "events").select("event_id"), base)
-    lines = _drained(filestream.stream_file(spark, base, start="latest"), "tail-out")
+    """A tail that starts at the end of the backlog sees what is appended later, and only that."""
+    base, out = staging_path(spark, "tail"), staging_path(spark, "tail-out")
+    write_raw(table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id")), base)
+    for appended in (False, True):
+        if appended:
+            write_raw(table(spark, sf, "events").select("event_id"), base)
+        tail = filestream.stream_file(spark, base, start="latest").writeStream.format("parquet")
+        tail.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    lines = spark.read.schema("payload string").parquet(f"{out}/rows")
     return lines.select(F.get_json_object("payload", "$.event_id").cast("bigint").alias("event_id"))
 
 

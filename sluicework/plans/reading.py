@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluicework.plans.fixtures import change_feed, change_target, event_envelopes, with_views
+from sluicework.plans.fixtures import change_feed, all_customers, event_envelopes, with_views
 from sluicework.plans.registry import query, table
 from sluicework.session import staging_path
 from sluicework.sinks.files import write_csv, write_envelope, write_raw
@@ -147,30 +147,30 @@ def scan_changes(spark, sf):
 
 
 _SNAPSHOT_SQL = (
-    with_views("change_feed", "change_target")
-    + """, snapshot AS (SELECT 'insert' AS op, key, amount, CAST(0 AS BIGINT) AS lsn, CAST(0 AS BIGINT) AS ordinal FROM change_target),
+    with_views("change_feed", "all_customers")
+    + """, snapshot AS (SELECT 'insert' AS op, key, amount, CAST(0 AS BIGINT) AS lsn, CAST(0 AS BIGINT) AS ordinal FROM all_customers),
     both_parts AS (SELECT * FROM snapshot UNION ALL SELECT op, key, amount, lsn, ordinal FROM change_feed) """
 )
 
 
 @query("capture_all", _SNAPSHOT_SQL + "SELECT op, key, amount, lsn, ordinal FROM both_parts")
 def capture_all(spark, sf):
-    snapshot = change_target(spark, sf).select("key", "amount")
+    snapshot = all_customers(spark, sf).select("key", "amount")
     return tables.capture("capture_all", snapshot, change_feed(spark, sf)).select("op", "key", "amount", "lsn", "ordinal")
 
 
-@query("capture_snapshot", with_views("change_target") + "SELECT key, amount FROM change_target")
+@query("capture_snapshot", with_views("all_customers") + "SELECT key, amount FROM all_customers")
 def capture_snapshot(spark, sf):
-    return tables.capture("snapshot", change_target(spark, sf), change_feed(spark, sf)).select("key", "amount")
+    return tables.capture("snapshot", all_customers(spark, sf), change_feed(spark, sf)).select("key", "amount")
 
 
 @query(
     "capture_new",
-    with_views("change_feed", "change_target")
-    + "SELECT op, key, lsn FROM change_feed WHERE lsn > (SELECT max(lsn) FROM change_target)",
+    with_views("change_feed", "all_customers")
+    + "SELECT op, key, lsn FROM change_feed WHERE lsn > (SELECT max(lsn) FROM all_customers)",
 )
 def capture_new(spark, sf):
-    target = change_target(spark, sf)
+    target = all_customers(spark, sf)
     since = target.agg(F.max("lsn")).first()[0]
     return tables.capture("capture_new", target, change_feed(spark, sf), since).select("op", "key", "lsn")
 

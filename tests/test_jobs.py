@@ -195,7 +195,7 @@ def test_routes_from_data(spark, work):
              "output": {"kind": "raw", "path": f"{work}/out"}}
     with open(f"{work}/routes.json", "w") as f:
         json.dump({"routes": {"orders": route, "off": {**route, "enabled": False}}}, f)
-    assert run_route(spark, f"{work}/routes.json", "orders").rows == 5
+    assert run_route(spark, f"{work}/routes.json", "orders").rows == 3
     assert _lines(spark.read.text(f"{work}/out")) == [3, 4, 5]
     assert list(run_routes(spark, {"orders": route, "off": {**route, "enabled": False}})) == ["orders"]
     with pytest.raises(ValueError, match="unknown middleware"):
@@ -283,3 +283,32 @@ def test_kafka_options():
     assert "subscribePattern" in build("s", "a.*")
     with pytest.raises(ValueError):
         build("s", "t", start="sometimes")
+
+
+def test_a_copy_accounts_for_rejected_rows(spark, work):
+    spark.createDataFrame([("1", "2.5"), ("x", "9")], "id string, amount string").write.parquet(f"{work}/in")
+    rules = {"properties": {"id": {"type": "integer"}}}
+    route = {"input": {"kind": "table", "path": f"{work}/in"}, "output": {"kind": "raw", "path": f"{work}/out"}}
+    with pytest.raises(copyjob.LossyCopy):
+        copyjob.run_route(spark, {"r": {**route, "middlewares": [{"types": rules}]}})
+    kept = {**rules, "dead_letters": {"kind": "raw", "path": f"{work}/dead"}}
+    report = copyjob.run_route(spark, {"r": {**route, "middlewares": [{"types": kept}]}})
+    assert (report.read, report.rows, report.rejected) == (2, 1, 1)
+    assert spark.read.text(f"{work}/out").count() == 1 and spark.read.text(f"{work}/dead").count() == 1
+
+
+def test_a_cursor_that_cannot_be_stored_is_refused_first(spark, work):
+    spark.createDataFrame([(1, 5)], "id int, s long").selectExpr("id", "timestamp_seconds(s) as ts").write.parquet(f"{work}/in")
+    source = {"kind": "table", "path": f"{work}/in", "cursor_column": "ts"}
+    with pytest.raises(ValueError, match="cursor of type"):
+        copyjob.copy(spark, source, {"kind": "raw", "path": f"{work}/out"}, resume=True, state_dir=f"{work}/s")
+    assert not os.path.exists(f"{work}/out")
+
+
+def test_fanout_and_switch_are_sinks(spark, work):
+    spark.createDataFrame([(1,), (5,), (9,)], "id int").write.parquet(f"{work}/in")
+    parts = {"small": {"kind": "raw", "path": f"{work}/small"}, "large": {"kind": "raw", "path": f"{work}/large"}}
+    sink = {"kind": "fanout", "sinks": [
+        {"kind": "raw", "path": f"{work}/all"}, {"kind": "switch", "when": [("id > 4", "large")], "default": "small", "sinks": parts}]}
+    copyjob.copy(spark, {"kind": "table", "path": f"{work}/in"}, sink)
+    assert [spark.read.text(f"{work}/{n}").count() for n in ("all", "small", "large")] == [3, 1, 2]
