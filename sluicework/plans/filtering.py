@@ -81,3 +81,24 @@ def document_guard(spark, sf):
 def pushed(spark, sf):
     orders = filter_rows(table(spark, sf, "orders"), "o_totalprice > 1000 and o_orderstatus in ['O','F']")
     return orders.select("o_orderkey", "o_totalprice")
+
+
+# The payload's fields are paths into its JSON; every case reads all events.
+DOCUMENTS = [
+    ("filter_document_number", "value > 50 and user_id < 100", "value > 50 AND user_id < 100"),
+    ("filter_document_text", "event_type in ['click','purchase'] or startsWith(event_type, 'v')", "event_type IN ('click', 'purchase') OR event_type LIKE 'v%'"),
+    ("filter_document_metadata", "meta.kind == 'purchase' and number(meta.retry_count) >= 3", "event_type = 'purchase' AND event_id % 7 >= 3"),
+    ("filter_document_kinds", "event_type > 3 or not value or len(event_type) == 5", "length(event_type) = 5"),
+]
+
+
+def _register_document(name: str, expression: str, condition: str) -> None:
+    def run(spark, sf):
+        kept = filter_rows(event_envelopes(spark, sf), expression)
+        return kept.select("message_id", F.get_json_object("payload", "$.event_type").alias("event_type"))
+
+    query(name, f"SELECT CAST(event_id AS VARCHAR) AS message_id, event_type FROM events WHERE {condition}")(run)
+
+
+for _case in DOCUMENTS:
+    _register_document(*_case)

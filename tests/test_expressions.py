@@ -19,6 +19,7 @@ ROWS = [
     (2, 12500, "pro", ["b"], False, "urgent", ("refunded",), {"kind": "b", "retry_count": "9"}),
     (3, 50, "pro", [], True, "later", ("new",), {"kind": "a", "retry_count": "5"}),
 ]
+# The published matrix of rows, expressions and the ids they keep.
 CASES = [
     ("amount > 100", [2]),
     ("amount >= 50", [2, 3]),
@@ -93,3 +94,21 @@ def test_non_document_fails_the_job(spark):
     assert require_document(df.limit(1), "payload").count() == 1
     with pytest.raises(Exception, match="not a JSON object"):
         require_document(df, "payload").collect()
+
+
+@pytest.mark.parametrize("form", ["string", "binary"])
+def test_the_matrix_holds_for_documents(spark, form):
+    rows = spark.createDataFrame(ROWS, SCHEMA)
+    payload = F.to_json(F.struct(*[c for c in rows.columns if c != "metadata"]), {"ignoreNullFields": "false"})
+    docs = rows.select(payload.cast(form).alias("payload"), "metadata")
+    for expression, ids in CASES:
+        kept = filter_rows(docs, expression).select(F.get_json_object(F.col("payload").cast("string"), "$.id").cast("int").alias("id"))
+        assert sorted(r.id for r in kept.collect()) == ids, expression
+
+
+def test_document_values_of_another_kind_are_unknown(spark):
+    payloads = ['{"a":"25","b":null}', '{"a":25}', '{"a":[1]}', '{"a":{"x":1}}', '{"b":1}', "no json", "[1]", None]
+    docs = spark.createDataFrame([(p,) for p in payloads], "payload string")
+    for expression, n in [("a > 1", 1), ("a != 7", 1), ("a == '25'", 1), ("number(a) == 25", 2), ("b == null", 1), ("b != null", 1),
+                          ("a.x == 1", 1), ("len(a) == 1", 1), ("a", 0), ("not a", 0), ("7 < a", 1), ("a in [25, 26]", 1)]:
+        assert filter_rows(docs, expression).count() == n, expression
