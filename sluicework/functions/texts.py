@@ -18,6 +18,12 @@ SECRET_NAMES = ["authorization", "cookie", "access_key"]
 AUTHORITY_PASSWORD = r"^(.*?://[^:/#]*):[^/#]*(@[^/#@]*)"
 
 
+def is_secret(option: str) -> bool:
+    """Whether an option's name says that its value is a credential."""
+    name = option.lower()
+    return name in SECRET_NAMES or any(word in name for word in SECRET_WORDS)
+
+
 def payload_kind(text: Column) -> Column:
     """``json``, ``xml``, ``hex`` (binary) or ``text``."""
     body = F.regexp_replace(text, r"^\s+|\s+$", "")

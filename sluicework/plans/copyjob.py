@@ -5,18 +5,18 @@ from __future__ import annotations
 import hashlib
 import json
 import logging
-import re
 import time
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sluicework.functions.texts import SECRET_NAMES, SECRET_WORDS
+from sluicework.functions.texts import is_secret
 from sluicework.operators import dedup as dedup_ops
 from sluicework.operators import routing, shaping
 from sluicework.operators.correlate import correlate
@@ -38,27 +38,25 @@ IDEMPOTENT_SINKS = ("upsert", "idempotent")
 # --- identity and positions -----------------------------------------------------------------
 
 
-def _blank(value: Any, key: str = "", parent: str = "") -> Any:
-    """The definition without credentials and absent options, so neither changes the identity."""
+def _facts(value: Any, path: tuple[str, ...] = ()) -> list[tuple[str, str]]:
+    """(path, text) of everything a definition states, without credentials and unset options."""
+    if value is None or any(is_secret(name) for name in path):
+        return []
     if isinstance(value, dict):
-        return {k: _blank(v, k.lower(), key) for k, v in sorted(value.items()) if v is not None}
+        return [fact for name, inner in value.items() for fact in _facts(inner, (*path, str(name)))]
     if isinstance(value, (list, tuple)):
-        return [_blank(v, key, parent) for v in value]
-    secret = (
-        key in SECRET_NAMES or any(w in key for w in SECRET_WORDS)
-        or (key == "key" and parent == "encryption") or parent == "decrypt_keys"
-    )
-    if secret:
-        return "[redacted]"
-    if isinstance(value, str):
-        return re.sub(r"^(\w[\w+.-]*://[^:/@]*):[^/@]*@", r"\1@", value)
-    return value
+        return [fact for i, inner in enumerate(value) for fact in _facts(inner, (*path, str(i)))]
+    text = value
+    if isinstance(value, str) and "://" in value:
+        address = urlsplit(value)
+        text = address._replace(netloc=address.netloc.rpartition("@")[2]).geturl()
+    return [("/".join(path), json.dumps(text, default=str))]
 
 
 def copy_identity(source: dict, sink: dict, filter: str | None = None) -> str:
     """``copy-<32 hex>`` over what the job means."""
-    definition = _blank({"source": source, "sink": sink, "filter": filter})
-    digest = hashlib.sha256(json.dumps(definition, sort_keys=True, default=str).encode()).hexdigest()
+    stated = sorted(_facts({"source": source, "sink": sink, "filter": filter}))
+    digest = hashlib.sha256(json.dumps(stated).encode()).hexdigest()
     return f"copy-{digest[:32]}"
 
 

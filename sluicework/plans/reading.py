@@ -201,14 +201,14 @@ def static_rows(spark, sf):
          ('0x' || substr(md5('42:tag:' || id), 1, 8))::BIGINT % 3 AS d_tag,
          ('0x' || substr(md5('42:tags:' || id), 1, 8))::BIGINT % 3 AS d_tags FROM ids)
        SELECT id,
-         (['Ada','Bo','Chen','Dinesh','Eve','Farah','Gus','Hana','Ivan','Juno','Kato','Lena','Mira','Nils','Omar','Priya'])[d_name + 1] AS first_name,
-         (['US','GB','DE','IN','JP','BR','NG','CA','AU','FR'])[d_country + 1] AS country,
+         printf('person%02d', d_name) AS first_name,
+         'C' || d_country AS country,
          round((d_amount + 100) / 100.0, 2)::DOUBLE AS amount,
          strftime(make_timestamp((1577836800 + id * 45 + d_second) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS created_at,
          CASE WHEN d_active = 1 THEN 'true' ELSE 'false' END AS active,
-         (['free','pro','enterprise'])[d_tier + 1] AS tier,
+         (['basic','plus','team'])[d_tier + 1] AS tier,
          (d_score / 1000.0)::DOUBLE AS score,
-         array_to_string(list_slice(['alpha','beta','gamma','delta','epsilon'], d_tag + 1, d_tag + 1 + d_tags), ',') AS tags
+         array_to_string(list_slice(['tag0','tag1','tag2','tag3','tag4'], d_tag + 1, d_tag + 1 + d_tags), ',') AS tags
        FROM draws""",
 )
 def bench_rows(spark, sf):

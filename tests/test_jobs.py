@@ -1,11 +1,13 @@
 """Copy jobs, positions and streams over several runs."""
 
 import json
+import os
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from sluicework.plans import copyjob
 from sluicework.plans.copyjob import (
     PositionStore, check_cursor, copy, copy_identity, delivery_label, resume_kind, run_route, run_routes, safe_position,
 )
