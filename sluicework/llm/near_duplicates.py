@@ -11,6 +11,9 @@ Equal sets are one class first, so copies are never compared. Within a band's gr
 are tried: the first round compares members with one pivot, later rounds take 16 times as many
 pivots each and only members whose component still differs from the pivot's, until no such pair is
 left. So every link between different components is found, as if all pairs had been tried.
+Large families of copies hold many that are too far from all others; for groups of over ``SMALL``
+members whose components differ, each member's shingles that any other such member may hold are
+counted. No intersection is larger than that count, so most such members drop out unpaired.
 
 Defined cases: text that is null or without words has an empty set and no links; with fewer words
 than a shingle the whole sequence is the one shingle; a document with a null doc_id has no links
@@ -37,6 +40,10 @@ BANDS = BUCKETS // BAND
 MARGIN = 0.2
 #: Times as many pivots in each round.
 WIDEN = 16
+#: Groups of as many members are compared at once after the first round.
+SMALL = 64
+#: Bits of the table of shared shingles, in so many slices; a full table only drops fewer members.
+SHARED_BITS, SLICES = 1 << 27, 256
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,15 +117,65 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(doc_id, band, key) of every band that isn't empty."""
+    """(doc_id, n_shingles, band, key) of every band that isn't empty."""
 
     def band(batches):
         for part in batches:
             keys = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.int64).reshape(-1, BANDS)
             row, at = np.nonzero(keys)
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").take(pa.array(row)), "band": pa.array(at, pa.int32()), "key": pa.array(keys[row, at])})
+            taken = part.select(["doc_id", "n_shingles"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(at, pa.int32()), pa.array(keys[row, at])], names=["doc_id", "n_shingles", "band", "key"])
 
-    return classes.select("doc_id", "registers").mapInArrow(band, "doc_id long, band int, key long")
+    return classes.select("doc_id", "n_shingles", "registers").mapInArrow(band, "doc_id long, n_shingles long, band int, key long")
+
+
+def _slice_and_bit(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(hashes + np.uint64(0x2545F4914F6CDD1D))
+    return (h >> np.uint64(56)).astype(np.int64), (h % np.uint64(SHARED_BITS // SLICES)).astype(np.int64)
+
+
+def shared_counts(texts: DataFrame, size: int) -> DataFrame:
+    """Per document of ``texts``: doc_id, and at most how many of its shingles another one holds.
+
+    Hashes go to the slices of a bit table of fixed size; a slice marks bits met by two documents.
+    """
+
+    def deal(batches):
+        for part in chunks(batches, "text"):
+            slices, bits = _slice_and_bit(shingle_sets(part.column("text"), size)[0])
+            order = np.argsort(slices, kind="stable")
+            cuts = np.searchsorted(slices[order], np.arange(SLICES + 1))
+            dealt = bits[order].astype(np.int32)
+            here = np.flatnonzero(np.diff(cuts))
+            yield pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), pa.array([dealt[cuts[i] : cuts[i + 1]].tobytes() for i in here], pa.binary())], names=["slice", "bits"])
+
+    def mark(batches):
+        tables: dict[int, np.ndarray] = {}
+        for part in batches:
+            for i, data in zip(part.column("slice").to_pylist(), part.column("bits").to_pylist(), strict=True):
+                bits, n = np.unique(np.frombuffer(data, np.int32), return_counts=True)
+                once, twice = tables.setdefault(i, np.zeros((2, SHARED_BITS // SLICES), bool))
+                twice[bits[once[bits] | (n > 1)]] = True
+                once[bits] = True
+        for i, (_, twice) in tables.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()])], names=["slice", "twice"])
+
+    dealt = texts.mapInArrow(deal, "slice int, bits binary").repartition(SLICES, "slice")
+    rows = {r["slice"]: bytes(r["twice"]) for r in dealt.mapInArrow(mark, "slice int, twice binary").toLocalIterator()}
+    nothing = bytes(SHARED_BITS // SLICES // 8)
+    held = texts.sparkSession.sparkContext.broadcast(b"".join(rows.get(i, nothing) for i in range(SLICES)))
+
+    def count(batches):
+        table = np.frombuffer(held.value, np.uint8)
+        for part in chunks(batches, "text"):
+            hashes, bounds = shingle_sets(part.column("text"), size)
+            slices, bits = _slice_and_bit(hashes)
+            at = slices * (SHARED_BITS // SLICES) + bits
+            met = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            running = np.concatenate([[0], np.cumsum(met)])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(running[bounds]).astype(np.int64))], names=["doc_id", "shared"])
+
+    return texts.mapInArrow(count, "doc_id long, shared long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -161,37 +218,59 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, part: int, whole: i
 
 def links_of(docs: DataFrame, classes: DataFrame, size: int, part: int, whole: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between classes that connect every component, and the classes' labels (node, label)."""
+    least = part / whole
     order = F.xxhash64(F.lit(3), "doc_id")
     bands = _bands(classes)
     groups = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(order.alias("u"), "doc_id")).alias("pivot"))
     groups = groups.where("members > 1").select("band", "key", "members", F.col("pivot.doc_id").alias("pivot"))
     bands = staged(bands.join(groups, ["band", "key"]), "bands")
-    tried = links = labels = None
-    pivots = 1
-    while True:
-        if labels is None:
-            pairs = bands.select(F.col("doc_id").alias("x"), F.col("pivot").alias("y"))
-        else:
-            own = bands.join(labels, bands.doc_id == labels.node, "left").select("band", "key", "members", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-            mixed = own.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key")
-            own = staged(own.join(mixed, ["band", "key"]), "mixed")
-            # Group members whose hash lies in the part that this round's pivots take.
-            chosen = own.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.col("members")) < pivots)
-            chosen = chosen.select("band", "key", F.col("doc_id").alias("y"), F.col("label").alias("other"))
-            pairs = own.join(chosen, ["band", "key"]).where("label <> other").select(F.col("doc_id").alias("x"), "y")
+
+    def fits(one: str, other: str) -> "F.Column":
+        """Whether two members' shared counts and sizes allow the similarity."""
+        return F.least(f"s{one}", f"s{other}") * F.lit(1 + least) >= (F.col(f"n{one}") + F.col(f"n{other}")) * F.lit(least - 1e-9)
+
+    def confirm(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        likely = staged(_estimated(pairs, classes, part / whole), "likely")
+        pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        likely = staged(_estimated(pairs, classes, least), "likely")
         found = staged(_confirmed(likely, docs, size, part, whole), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if labels is None or found.limit(1).count():
+        return (pairs if tried is None else tried.unionByName(pairs)), found
+
+    tried, links = confirm(bands.select(F.col("doc_id").alias("x"), F.col("pivot").alias("y")), None)
+    labels = components(links)
+    left = bands.select("band", "key", "members", "doc_id", F.col("n_shingles").alias("nx"), F.col("n_shingles").alias("sx"))
+    pivots, counted = WIDEN, False
+    while True:
+        # Members of groups that still hold two components.
+        own = left.join(labels, left.doc_id == labels.node, "left").select(*left.columns, F.coalesce("label", "doc_id").alias("label"))
+        mixed = own.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key")
+        own = staged(own.join(mixed, ["band", "key"]), "mixed")
+        if not counted:
+            counted = True
+            many = own.where(F.col("members") > SMALL).select("doc_id").distinct()
+            texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+            counts = shared_counts(staged(texts.join(many, "doc_id", "left_semi"), "crowded"), size)
+            counts = staged(counts.groupBy("doc_id").agg(F.max("shared").alias("shared")), "shared")
+            own = own.join(counts, "doc_id", "left").withColumn("sx", F.least("sx", F.coalesce("shared", "sx"))).drop("shared")
+            # The smallest partner that a group offers, and that the similarity allows.
+            smallest = own.groupBy("band", "key").agg(F.min("nx").alias("smallest"))
+            own = own.join(smallest, ["band", "key"]).withColumns({"sy": F.col("sx"), "ny": F.greatest("smallest", F.col("nx") * F.lit(least))})
+            own = own.where(F.col("sx") * F.lit(1 + least) >= (F.col("nx") + F.col("ny")) * F.lit(least - 1e-9)).drop("smallest", "sy", "ny")
+            own = staged(own, "able")
+        widest = own.agg(F.max("members")).first()[0] or 0
+        if not widest:
+            return links, labels
+        # The members whose hash lies in the part that this round's pivots take.
+        chosen = own.where((F.col("members") <= SMALL) | (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.col("members")) < pivots))
+        chosen = chosen.select("band", "key", F.col("doc_id").alias("y"), F.col("nx").alias("ny"), F.col("sx").alias("sy"), F.col("label").alias("other"))
+        pairs = own.join(chosen, ["band", "key"]).where((F.col("label") != F.col("other")) & fits("x", "y"))
+        tried, found = confirm(pairs.select(F.col("doc_id").alias("x"), "y"), tried)
+        if found.limit(1).count():
+            links = links.unionByName(found)
             labels = components(links)
-        widest = (bands if pivots == 1 else own).agg(F.max("members")).first()[0] or 0
         if pivots >= widest:
             return links, labels
+        left = own.where(F.col("members") > SMALL).drop("label")
         pivots *= WIDEN
 
 
