@@ -24,6 +24,8 @@ from sluicework.llm.frames import tasks
 
 LEVELS = (4, 16)
 BLOCK = 1024
+#: Pairs whose vectors are held at once for exact scores.
+PAIRS = 16_384
 #: Doubles hold whole numbers up to here; beyond it scores are taken in 64-bit integers.
 EXACT = float(1 << 53)
 
@@ -59,9 +61,13 @@ class Best:
         self.most = float(np.abs(vectors).max(initial=0))
 
     def scores(self, q: np.ndarray, c: np.ndarray, vectors: np.ndarray, exact: bool) -> np.ndarray:
-        if exact:
-            return np.einsum("ij,ij->i", self.vectors[q].astype(float), vectors[c].astype(float)).astype(np.int64)
-        return np.einsum("ij,ij->i", self.vectors[q], vectors[c])
+        out = np.zeros(len(q), np.int64)
+        for i in range(0, len(q), PAIRS):
+            a, b = self.vectors[q[i : i + PAIRS]], vectors[c[i : i + PAIRS]]
+            if exact:
+                a, b = a.astype(float), b.astype(float)
+            out[i : i + PAIRS] = np.einsum("ij,ij->i", a, b)
+        return out
 
     def offer(self, ids: np.ndarray, vectors: np.ndarray):
         if not len(ids) or not vectors.shape[1]:
@@ -80,10 +86,14 @@ class Best:
             q, c = np.repeat(np.arange(len(self.ids)), self.k + 1), first.ravel()
             s = np.where(other[q, c], self.scores(q, c, vectors, exact).astype(float), -np.inf).reshape(-1, self.k + 1)
             self.floor = np.maximum(self.floor, np.sort(s, axis=1)[:, -self.k])
-        q, c = np.nonzero(other & (coarse + slack >= self.floor[:, None]))
-        fine = np.einsum("ij,ij->i", self.levels[1][q], levels[1][c])
-        left = fine + 1e-9 * (1 + np.abs(fine)) >= self.floor[q]
-        q, c = q[left], c[left]
+        alive = other & (coarse + slack >= self.floor[:, None])
+        # Queries and candidates without any pair left need no finer bounds.
+        rows, columns = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+        fine = self.levels[1][rows] @ levels[1][columns].T
+        slack = 1e-9 * (1 + np.abs(fine).max(initial=0))
+        left = alive[np.ix_(rows, columns)] & (fine + slack >= self.floor[rows, None])
+        q, c = np.nonzero(left)
+        q, c = rows[q], columns[c]
         self._take(q, c, self.scores(q, c, vectors, exact), ids)
 
     def _take(self, q: np.ndarray, c: np.ndarray, s: np.ndarray, ids: np.ndarray):
