@@ -219,11 +219,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, part: int, whole: i
 def links_of(docs: DataFrame, classes: DataFrame, size: int, part: int, whole: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between classes that connect every component, and the classes' labels (node, label)."""
     least = part / whole
-    order = F.xxhash64(F.lit(3), "doc_id")
     bands = _bands(classes)
-    groups = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(order.alias("u"), "doc_id")).alias("pivot"))
-    groups = groups.where("members > 1").select("band", "key", "members", F.col("pivot.doc_id").alias("pivot"))
+    groups = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     bands = staged(bands.join(groups, ["band", "key"]), "bands")
+    # The pivot is the member with the most company over all bands, the original of most copies.
+    company = bands.groupBy("doc_id").agg(F.sum("members").alias("company"))
+    central = F.min(F.struct((-F.col("company")).alias("c"), F.xxhash64(F.lit(3), "doc_id").alias("u"), "doc_id"))
+    first = bands.join(company, "doc_id").groupBy("band", "key").agg(central.alias("pivot"))
+    stars = bands.select("band", "key", "doc_id").join(first.select("band", "key", F.col("pivot.doc_id").alias("pivot")), ["band", "key"])
 
     def fits(one: str, other: str) -> "F.Column":
         """Whether two members' shared counts and sizes allow the similarity."""
@@ -236,7 +239,7 @@ def links_of(docs: DataFrame, classes: DataFrame, size: int, part: int, whole: i
         found = staged(_confirmed(likely, docs, size, part, whole), "links")
         return (pairs if tried is None else tried.unionByName(pairs)), found
 
-    tried, links = confirm(bands.select(F.col("doc_id").alias("x"), F.col("pivot").alias("y")), None)
+    tried, links = confirm(stars.select(F.col("doc_id").alias("x"), F.col("pivot").alias("y")), None)
     labels = components(links)
     left = bands.select("band", "key", "members", "doc_id", F.col("n_shingles").alias("nx"), F.col("n_shingles").alias("sx"))
     pivots, counted = WIDEN, False
