@@ -127,10 +127,14 @@ def fit(rows: np.ndarray, found: np.ndarray, grades: np.ndarray) -> Model:
     kinds = int(grades.max(initial=0)) + 1
     if len(grades) == 0 or (grades == grades[0]).all():
         return Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros(0), int(grades[0]) if len(grades) else 0)
-    wanted, at, n = np.unique(found, return_inverse=True, return_counts=True)
-    shift = np.bincount(at, grades[rows], len(wanted)) / n - grades.mean()
+    wanted, n = np.unique(found, return_counts=True)
+    wanted, n = wanted[n >= LEAST], n[n >= LEAST]
+    at = np.searchsorted(wanted, found).astype(np.int32)
+    used = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == found) if len(wanted) else np.zeros(0, np.int64)
+    rows, at = rows[used], at[used]
+    shift = np.bincount(at, grades[rows], len(wanted)) / np.maximum(1, n) - grades.mean()
     clear = np.abs(shift) / grades.std() * np.sqrt(n)
-    keep = np.flatnonzero((n >= LEAST) & (clear >= CLEAR))
+    keep = np.flatnonzero(clear >= CLEAR)
     keep = np.sort(keep[np.argsort(-clear[keep], kind="stable")[:MOST]])
     place = np.full(len(wanted), -1)
     place[keep] = np.arange(len(keep))
@@ -165,7 +169,7 @@ def fit(rows: np.ndarray, found: np.ndarray, grades: np.ndarray) -> Model:
     return Model(wanted[keep], weights, thresholds)
 
 
-def train(docs: DataFrame, ratings: DataFrame, sample: int = 12_000) -> Model:
+def train(docs: DataFrame, ratings: DataFrame, sample: int = 6_000) -> Model:
     """Fit to ``ratings`` (doc_id, grade) of ``docs``."""
     rated = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("grade").cast("int")).alias("grade"))
     total = rated.count()
@@ -183,8 +187,10 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = 12_000) -> Model:
     joined = texts.join(F.broadcast(few), "doc_id").select("text", "grade")
     got = joined.mapInArrow(take, "grade int, found binary").toPandas()
     parts = [np.frombuffer(x, np.uint32) for x in got.found]
-    rows = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-    return fit(rows, np.concatenate([np.zeros(0, np.uint32), *parts]), got.grade.to_numpy(np.int64))
+    rows = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
+    found, grades = np.concatenate([np.zeros(0, np.uint32), *parts]), got.grade.to_numpy(np.int64)
+    del got, parts
+    return fit(rows, found, grades)
 
 
 def grade(docs: DataFrame, model: Model) -> DataFrame:

@@ -35,6 +35,8 @@ ANCHOR = 5
 #: Anchors that occur as often have a shard for each window instead of one for all.
 FREQUENT = 1000
 SLICES = 256
+#: Bytes of text within which equal windows are sent once.
+SEND_BYTES = 2 << 20
 
 
 class SuffixAutomaton:
@@ -267,7 +269,7 @@ def repeated_windows(docs: DataFrame, window: int, filter_bits: int = 1 << 26) -
     held = docs.sparkSession.sparkContext.broadcast(_anchor_filter(docs, window, filter_bits))
 
     def send(batches):
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", SEND_BYTES):
             yield from _stretches(part, window, held.value)
 
     def look_up(batches):

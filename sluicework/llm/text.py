@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy pass takes; a longer document is a pass of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,7 +41,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         up[0] = down[0] = 1
         np.multiply.accumulate(up, out=up)
         np.multiply.accumulate(down, out=down)
-        if size > 4 * CHUNK_BYTES:
+        if size > 16 * CHUNK_BYTES:
             return up, down
         _POWERS["up"], _POWERS["down"] = up, down
     return _POWERS["up"], _POWERS["down"]
