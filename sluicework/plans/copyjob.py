@@ -250,6 +250,19 @@ class CopyReport:
         return f"copied {kept} in {self.elapsed_s:.2f} s ({self.rows_per_second} rows/s, {self.delivery})"
 
 
+class Grouping:
+    """A step whose result for a row depends on other rows, so that it needs all of them at once.
+
+    Cut into micro-batches or resumed runs it would lose open groups and let repeats through.
+    """
+
+    def __init__(self, name: str, step: Callable[[DataFrame], DataFrame]):
+        self.name, self.step = name, step
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.step(df)
+
+
 def copy(
     spark: SparkSession,
     source: dict,
@@ -268,8 +281,12 @@ def copy(
     rows, so a crash repeats rows and never skips any.
 
     ``rows`` of the report are those that reached the sink.  A ``Rejecting`` step sends what it
-    rejects to its own sink, or the copy fails.
+    rejects to its own sink, or the copy fails.  A ``Grouping`` step keeps no state between
+    batches, so it is refused with ``resume`` or a stream source.
     """
+    for step in steps:
+        if isinstance(step, Grouping) and (resume or source["kind"] in STREAMS):
+            raise ValueError(f"{step.name} needs all rows at once; it can't take a stream source or resume")
     kind = resume_kind(source) if resume else None
     identity = copy_identity(source, sink, filter)
     state = state_dir or f"{shared_dir(spark)}/copy-state"
@@ -385,9 +402,10 @@ def _step_of(item: dict) -> Callable[[DataFrame], DataFrame]:
     if name == "dedup":
         return lambda df: dedup_ops.dedup(df, options["key"], options["order"])
     if name == "dedup_ttl":
-        return lambda df: dedup_ops.dedup_ttl(df, options["key"], options["ts"], options["tie"], options["ttl_seconds"])
+        names = ("key", "ts", "tie", "ttl_seconds")
+        return Grouping(name, lambda df: dedup_ops.dedup_ttl(df, *(options[n] for n in names)))
     if name == "correlate":
-        return lambda df: correlate(df, **options)
+        return Grouping(name, lambda df: correlate(df, **options))
     if name == "switch":
         return lambda df: routing.switch(df, **options)
     if name == "step":

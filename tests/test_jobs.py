@@ -314,3 +314,14 @@ def test_fanout_and_switch_are_sinks(spark, work):
         {"kind": "raw", "path": f"{work}/all"}, {"kind": "switch", "when": [("id > 4", "large")], "default": "small", "sinks": parts}]}
     copyjob.copy(spark, {"kind": "table", "path": f"{work}/in"}, sink)
     assert [spark.read.text(f"{work}/{n}").count() for n in ("all", "small", "large")] == [3, 1, 2]
+
+
+@pytest.mark.parametrize("source,resume", [({"kind": "folder"}, False), ({"kind": "growing_file"}, True), ({"kind": "parquet", "cursor_column": "s"}, True)])
+@pytest.mark.parametrize("step", [
+    {"dedup_ttl": {"key": "id", "ts": "s", "tie": "id", "ttl_seconds": 9}},
+    {"correlate": {"group_by": "id", "ts": "s", "expected_count": 2}},
+])
+def test_routes_refuse_to_cut_what_needs_all_rows(spark, work, source, resume, step):
+    route = {"input": {**source, "path": f"{work}/none"}, "middlewares": [step], "resume": resume, "state_dir": work}
+    with pytest.raises(ValueError, match="needs all rows at once"):
+        copyjob.run_route(spark, {"r": route})
