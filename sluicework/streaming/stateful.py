@@ -33,28 +33,38 @@ def late_rows(query) -> int:
 
 
 class Seen(StatefulProcessor):
-    """The time of a key's accepted row; rows less than ``ttl_us`` away from it are its duplicates."""
+    """The times of a key's accepted rows; rows less than ``ttl_us`` away from one are its duplicates.
+
+    Accepted times lie at least ``ttl_us`` apart, so a slot of that width holds one at most.
+    """
 
     def __init__(self, ttl_us: int, columns: list[str], keep_ms: int | None):
         self.ttl_us, self.columns, self.keep_ms = ttl_us, columns, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.accepted = handle.getValueState("accepted", "at long", self.keep_ms)
+        self.slots = handle.getMapState("slots", "slot string", "at long", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        accepted = self.accepted.get()[0] if self.accepted.exists() else None
-        begun = accepted
-        for part in rows:
-            times = part["at"].tolist()
-            kept = []
-            for i in sorted(range(len(times)), key=times.__getitem__):
-                if accepted is None or abs(times[i] - accepted) >= self.ttl_us:
-                    accepted = times[i]
-                    kept.append(i)
-            if kept:
-                yield part.iloc[sorted(kept)][self.columns]
-        if accepted != begun:
-            self.accepted.update((accepted,))
+        arrived = pd.concat(list(rows), ignore_index=True)
+        times = arrived["at"].tolist()
+        known: dict[int, int | None] = {}
+
+        def at(slot: int) -> int | None:
+            if slot not in known:
+                name = (str(slot),)
+                known[slot] = self.slots.getValue(name)[0] if self.slots.containsKey(name) else None
+            return known[slot]
+
+        kept = []
+        for i in sorted(range(len(times)), key=times.__getitem__):
+            own = times[i] // max(1, self.ttl_us)
+            near = [at(slot) for slot in (own - 1, own, own + 1)]
+            if all(t is None or abs(times[i] - t) >= self.ttl_us for t in near):
+                known[own] = times[i]
+                self.slots.updateValue((str(own),), (times[i],))
+                kept.append(i)
+        if kept:
+            yield arrived.iloc[sorted(kept)][self.columns]
 
     def close(self) -> None:
         pass
@@ -66,9 +76,10 @@ def dedup_stream(
     """One row per key within ``ttl`` of event time, in keyed state shared by all tasks.
 
     A key's state is its own: how far other keys have come drops nothing, so a late row that was
-    never seen is kept.  Rows of a key are taken a batch of Arrow rows at a time, each in time
-    order; a null time counts as one time of its own.  ``keep_state`` forgets a key so long after
-    its last accepted row, by the clock; without it state grows with the number of keys.
+    never seen is kept, and a row is compared with the accepted ones before and after it.  All rows
+    of a key in a micro-batch are taken in time order, those of one time as they arrive; a null time
+    counts as one time of its own.  ``keep_state`` forgets an accepted row so long after it came, by
+    the clock; without it state grows with the accepted rows.
     """
     keys = [key] if isinstance(key, str) else list(key)
     sdf.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

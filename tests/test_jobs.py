@@ -230,6 +230,20 @@ def test_stream_dedup_and_lateness(spark, work):
     assert stateful.late_rows(query) == 1
 
 
+def test_stream_dedup_of_rows_out_of_order(spark, work):
+    """A late row doesn't make a key forget the newer one, and Arrow batches don't count."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "2")
+    try:
+        sdf = _stream(spark, work, "o", "id long, s long", [(1, 100), (2, 255), (2, 240), (2, 230), (2, 245)], [(1, 10)], [(1, 105), (1, 29), (1, 30)])
+        sdf = sdf.withColumn("ts", F.timestamp_seconds("s"))
+        out, _ = _collect(stateful.dedup_stream(sdf, "id", "ts", "20 seconds").select("id", "s"), work, "o")
+    finally:
+        spark.conf.set(size, before)
+    assert sorted(map(tuple, out.collect())) == [(1, 10), (1, 30), (1, 100), (2, 230), (2, 255)]
+
+
 def test_stream_correlation_keeps_members(spark, work):
     schema = "cid string, s long, source string, doc string"
     first = [("g", 1, "inventory", "a"), ("h", 1, "pricing", "x")]
