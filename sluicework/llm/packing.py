@@ -1,9 +1,14 @@
 """Best-fit packing in hierarchical rounds.
 
-Every task packs its own pieces best-fit, longest first, and emits the bins that are nearly full.
-Underfull bins go on as items: tasks merge eight to one, and each merged task runs best-fit again,
-until one is left. A task hands on at most ``carry`` underfull bins and closes the fullest beyond
-that, so the last task is bounded too; nothing is lost by it, such bins are just not topped up.
+Pieces, without their tokens, are dealt to tasks of about ``SPREAD`` so that each gets the same mix
+of lengths, however the table is split. Every task packs its own best-fit, longest first, and emits
+the bins that are nearly full. Underfull bins go on as items: tasks merge eight to one, and each
+merged task runs best-fit again, until one is left.
+
+Any two bins of a task hold more than one bin does, so at most one of them is up to half full, and
+two bins only merge if one of them is. With n first tasks, at most n bins are ever topped up. A task
+with more than ``carry`` underfull bins therefore closes those over half full of which it hands on
+n of the same fill; the others come out as if all had been handed on, and the last task is bounded.
 
 Defined cases: null text is empty, so the document is its end id alone; a null doc_id is kept as
 null; repeated rows are packed one by one; an empty table gives no rows.
@@ -27,6 +32,8 @@ from sluicework.llm.tokens import ENCODE_BYTES, encoder
 PIECE = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 BINS = "sequence_id long, fill int, closed boolean, members binary"
 FAN_IN = 8
+#: Pieces that a first task packs.
+SPREAD = 1 << 18
 
 
 def best_fit(lengths: Iterable[int], capacity: int) -> list[list[int]]:
@@ -78,15 +85,17 @@ def pieces_of(docs: DataFrame, vocabulary: str, end: int, capacity: int):
     return cut
 
 
-def _pack(groups: list[np.ndarray], level: int, capacity: int, slack: int, carry: int | None):
-    """Record batches of bins made of ``groups`` of members."""
+def _pack(groups: list[np.ndarray], level: int, capacity: int, slack: int, carry: int | None, first_tasks: int):
+    """Record batches of bins made of ``groups`` of members; all are closed where ``carry`` is None."""
     fills = [int(g["length"].sum()) for g in groups]
     bins = best_fit(fills, capacity)
     totals = np.array([sum(fills[i] for i in b) for b in bins], np.int64)
     closed = totals >= capacity - slack if carry is not None else np.ones(len(bins), bool)
     if carry is not None and (~closed).sum() > carry:
-        waiting = np.flatnonzero(~closed)
-        closed[waiting[np.argsort(-totals[waiting], kind="stable")[: len(waiting) - carry]]] = True
+        waiting = np.flatnonzero(~closed & (2 * totals > capacity))
+        waiting = waiting[np.argsort(totals[waiting], kind="stable")]
+        same = np.arange(len(waiting)) - np.searchsorted(totals[waiting], totals[waiting])
+        closed[waiting[same >= first_tasks]] = True
     first = (level << 56) | (TaskContext.get().partitionId() << 32)
     for begin in range(0, len(bins), 2048):
         rows = range(begin, min(begin + 2048, len(bins)))
@@ -105,25 +114,42 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int = 4096, s
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = pieces_of(narrow, vocabulary, end, capacity)
 
+    def cut_up(batches):
+        for pieces in cut(batches):
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(pieces)], pa.int64()), "members": pa.array([pieces.tobytes()], pa.binary())})
+
+    pieces = staged(narrow.mapInArrow(cut_up, "n long, members binary"), "pieces")
+    first_tasks = width = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // SPREAD))
+
+    def deal(batches):
+        for data in (m for b in batches for m in b.column("members").to_pylist()):
+            own = np.frombuffer(data, PIECE)
+            own = own[np.argsort(-own["length"], kind="stable")]
+            hands = range(min(first_tasks, len(own)))
+            yield pa.RecordBatch.from_pydict({
+                "task": pa.array([(zlib.crc32(data) + i) % first_tasks for i in hands], pa.int32()),
+                "members": pa.array([own[i::first_tasks].tobytes() for i in hands], pa.binary()),
+            })
+
     def first(batches):
-        members = np.concatenate([*cut(batches), np.zeros(0, PIECE)])
-        yield from _pack(np.split(members, len(members)) if len(members) else [], 0, capacity, slack, carry)
+        members = np.concatenate([*(np.frombuffer(m, PIECE) for b in batches for m in b.column("members").to_pylist()), np.zeros(0, PIECE)])
+        members = members[np.lexsort((members["crc"], members["piece"], members["doc_id"], members["null"]))]
+        groups = np.split(members, len(members)) if len(members) else []
+        yield from _pack(groups, 0, capacity, slack, None if first_tasks == 1 else carry, first_tasks)
 
-    rounds = [staged(narrow.mapInArrow(first, BINS), "bins")]
-    width = max(1, narrow.rdd.getNumPartitions())
+    dealt = pieces.mapInArrow(deal, "task int, members binary").repartitionById(first_tasks, F.col("task"))
+    rounds = [staged(dealt.mapInArrow(first, BINS), "bins")]
     level = 0
-    while True:
+    while width > 1:
         width, level = -(-width // FAN_IN), level + 1
         last = width == 1
 
         def merge(batches, level=level, last=last):
             groups = [np.frombuffer(m, PIECE) for b in batches for m in b.column("members").to_pylist()]
-            yield from _pack(groups, level, capacity, slack, None if last else carry)
+            yield from _pack(groups, level, capacity, slack, None if last else carry, first_tasks)
 
         waiting = rounds[-1].where(~F.col("closed")).coalesce(width)
         rounds.append(staged(waiting.mapInArrow(merge, BINS), "bins"))
-        if last:
-            break
 
     def rows(batches):
         for part in batches:

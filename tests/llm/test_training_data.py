@@ -292,6 +292,28 @@ def test_a_small_carry_loses_no_piece(spark, docs):
     assert sorted(map(tuple, few.select(columns).collect())) == sorted(map(tuple, many.select(columns).collect()))
 
 
+def test_packing_tops_up_long_documents_of_one_split(spark, monkeypatch):
+    """More underfull bins in one split than a task may carry, and short documents in others."""
+    monkeypatch.setattr(packing, "SPREAD", 3000, raising=False)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    long = [(i, "the " * (36 + i % 5)) for i in range(4500)]
+    short = [(10_000 + i, "the " * (5 + i % 3)) for i in range(2500)]
+    rows = frame(spark, long, 1).unionByName(frame(spark, short, 3))
+    got = packing.pack(rows, path, capacity=64).select("length", "sequence_id").collect()
+    assert len(got) == 7000 and {r.length for r in got if r.length > 30} == set(range(37, 42))
+    # Three tasks, so at most three bins more than one best-fit over all.
+    least = len(packing.best_fit([r.length for r in got], 64))
+    assert least == 4500 and len({r.sequence_id for r in got}) <= least + 3
+
+
+def test_closing_by_carry_costs_no_sequence(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SPREAD", 300, raising=False)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = frame(spark, [(i, "the " * (34 + i % 11 if i % 40 else 12)) for i in range(2000)])
+    few, all_ = (packing.pack(rows, path, capacity=64, carry=c).select("sequence_id").distinct().count() for c in (2, 1 << 30))
+    assert few == all_
+
+
 def test_best_fit_takes_the_least_room():
     assert packing.best_fit([6, 5, 4, 3, 2], 10) == [[0, 2], [1, 3, 4]]
     assert packing.best_fit([], 10) == []
