@@ -13,7 +13,8 @@ pivots each and only members whose component still differs from the pivot's, unt
 left. So every link between different components is found, as if all pairs had been tried.
 Large families of copies hold many that are too far from all others; for groups of over ``SMALL``
 members whose components differ, each member's shingles that any other such member may hold are
-counted. No intersection is larger than that count, so most such members drop out unpaired.
+counted. No intersection within those groups is larger than that count, so most such members drop
+out of them unpaired; in its other groups a member stays.
 
 Defined cases: text that is null or without words has an empty set and no links; with fewer words
 than a shingle the whole sequence is the one shingle; a document with a null doc_id has no links
@@ -254,7 +255,9 @@ def links_of(docs: DataFrame, classes: DataFrame, size: int, part: int, whole: i
             texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             counts = shared_counts(staged(texts.join(many, "doc_id", "left_semi"), "crowded"), size)
             counts = staged(counts.groupBy("doc_id").agg(F.max("shared").alias("shared")), "shared")
-            own = own.join(counts, "doc_id", "left").withColumn("sx", F.least("sx", F.coalesce("shared", "sx"))).drop("shared")
+            # Only in the large groups are all partners counted; in others every shingle may be shared.
+            bound = F.when(F.col("members") > SMALL, F.least("sx", F.coalesce("shared", "sx"))).otherwise(F.col("sx"))
+            own = own.join(counts, "doc_id", "left").withColumn("sx", bound).drop("shared")
             # The smallest partner that a group offers, and that the similarity allows.
             smallest = own.groupBy("band", "key").agg(F.min("nx").alias("smallest"))
             own = own.join(smallest, ["band", "key"]).withColumns({"sy": F.col("sx"), "ny": F.greatest("smallest", F.col("nx") * F.lit(least))})

@@ -117,6 +117,24 @@ def test_near_duplicates_in_crowded_groups(spark, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute.near_duplicates(rows, 3, 85, 100)
 
 
+def test_near_duplicates_of_a_crowded_and_an_uncrowded_member(spark):
+    """x shares one word with a crowd and is y's draft; in all their groups the pivot is a third text, far from both."""
+    import pyarrow as pa
+
+    made = [f"w{i}" for i in range(6000)]
+    by_band = {}
+    for word, h in zip(made, near_duplicates.shingle_sets(pa.array(made), 1)[0].tolist(), strict=True):
+        by_band.setdefault((h >> (64 - near_duplicates.BUCKET_BITS)) // near_duplicates.BAND, []).append(word)
+    common, (crowd, *_), friends = [by_band[b][0] for b in range(8)], by_band[8], [by_band[b][0] for b in range(9, 31)]
+    own = by_band[31]
+    texts = [[*common, crowd], common, [*common, *friends]]
+    texts += [[*friends, own[i]] for i in range(40)] + [[crowd, own[40 + i]] for i in range(near_duplicates.SMALL + 6)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: tuple(r)[1:] for r in near_duplicates.near_duplicates(frame(spark, rows), 1, 80, 100).collect()}
+    assert got[1] == (8, 0, False)
+    assert got == brute.near_duplicates(rows, 1, 80, 100)
+
+
 def test_near_duplicates_without_ids_or_rows(spark):
     rows = [(None, "a b c d e"), (None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e")]
     got = near_duplicates.near_duplicates(frame(spark, rows), 3).collect()
