@@ -71,3 +71,25 @@ def test_contract(spark):
     result = con.execute(oracle["flagship"])
     columns, expected = [d[0] for d in result.description], sorted(result.fetchall())
     assert sorted(map(tuple, contract.entry(spark).select(columns).collect())) == expected
+
+
+def test_registry_without_the_training_data_folders(work):
+    """A copy without ``sluicework/llm`` and ``tests/llm`` (with or without ``corpus_pipeline.py``) keeps every other query."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    expected = {k for k in contract.queries() if not k.startswith("op") and k != "pipeline"}
+    for keep_pipeline in (True, False):
+        copy = os.path.join(work, f"copy-{keep_pipeline}")
+        shutil.copytree(os.path.join(root, "sluicework"), os.path.join(copy, "sluicework"), ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        shutil.copy(os.path.join(root, "__spark_entry__.py"), copy)
+        if keep_pipeline:
+            shutil.copy(os.path.join(root, "corpus_pipeline.py"), copy)
+        code = "import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); print(','.join(sorted(q)))"
+        out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=300,
+                             env={**os.environ, "PYTHONPATH": copy})
+        assert out.returncode == 0, out.stderr
+        assert set(out.stdout.strip().split(",")) == expected
