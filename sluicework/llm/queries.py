@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from sluicework.llm import chat, decontamination, language, licences, near_duplicates, nearest, packing, quality, substrings, token_files
+from sluicework.llm import chat, decontamination, hard_negatives, language, licences, near_duplicates, nearest, packing, quality, substrings, token_files
 from sluicework.llm.frames import documents, staging_path
 
 QUERIES: dict[str, Callable] = {}
@@ -103,3 +103,25 @@ def op3_ordinal_quality(spark, sf_dir: str) -> DataFrame:
     model = quality.train(docs, quality.ratings_of(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     graded = quality.grade(docs.select("doc_id", "text"), model)
     return graded.select("doc_id", "expected_grade", "tails", quality.is_accepted().alias("accepted"))
+
+
+@query(
+    "op13_hard_negatives",
+    """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                         [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+                  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                   AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+       s AS (SELECT a.vec_id AS anchor_id, a.label AS anchor_label, c.vec_id, c.label, list_dot_product(a.v, c.v)::BIGINT AS score
+             FROM r a JOIN r c ON c.vec_id <> a.vec_id AND len(c.v) = len(a.v) WHERE a.vec_id % 50 = 0),
+       p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+             QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+       n AS (SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+             FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.anchor_label
+              AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+       SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM (
+         SELECT *, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id)::INTEGER AS rank FROM n)
+       WHERE rank <= 3""",
+)
+def op13_hard_negatives(spark, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.labelled(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
