@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from sluicework.llm import chat, decontamination, hard_negatives, language, licences, near_duplicates, nearest, packing, quality, substrings, token_files
+from sluicework.llm import chat, clustering, decontamination, hard_negatives, language, licences, near_duplicates, nearest, packing, quality, substrings, token_files
 from sluicework.llm.frames import documents, staging_path
 
 QUERIES: dict[str, Callable] = {}
@@ -125,3 +125,42 @@ def op3_ordinal_quality(spark, sf_dir: str) -> DataFrame:
 def op13_hard_negatives(spark, sf_dir: str) -> DataFrame:
     rows = hard_negatives.labelled(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+def _lloyd_sql(k: int = 16, rounds: int = 3, dim: int = 64) -> str:
+    """DuckDB twin of op12: the rounds written out one after the other."""
+    distance = f"list_sum([(v.v[i] - c.c[i]) * (v.v[i] - c.c[i]) FOR i IN range(1, {dim + 1})])"
+    parts = [
+        f"""v AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+              WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = {dim}
+                AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+        f"""c0 AS (SELECT cluster, v AS c FROM (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), v) - 1)::INTEGER AS cluster, v FROM v)
+               WHERE cluster < {k})""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"""a{r} AS (SELECT vec_id, v, cluster, distance FROM (
+                   SELECT v.vec_id, v.v, c.cluster, {distance} AS distance,
+                          row_number() OVER (PARTITION BY v.vec_id ORDER BY {distance}, c.cluster) AS n FROM v, c{r} c) WHERE n = 1)"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""c{r + 1} AS (SELECT cluster, list(((s - (((s % n) + n) % n)) // n)::BIGINT ORDER BY i) AS c FROM (
+                        SELECT a.cluster, i, sum(a.v[i]) AS s, count(*) AS n FROM a{r} a, range(1, {dim + 1}) t(i) GROUP BY a.cluster, i)
+                      GROUP BY cluster
+                      UNION ALL SELECT cluster, c FROM c{r} WHERE cluster NOT IN (SELECT cluster FROM a{r}))"""
+            )
+    return (
+        "WITH " + ",\n".join(parts)
+        + f"""
+        SELECT a.vec_id, a.cluster, a.distance::BIGINT AS distance,
+               (sum(a.distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia, (sum(a.distance) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(c.c, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c USING (cluster)"""
+    )
+
+
+@query("op12_va_file_clustering", _lloyd_sql())
+def op12_va_file_clustering(spark, sf_dir: str) -> DataFrame:
+    vectors = clustering.kept(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), dim=64, scale=64)
+    return clustering.cluster(vectors, k=16, rounds=3, bits=3, dim=64, seed="1:")
