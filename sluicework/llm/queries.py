@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from sluicework.llm import chat, clustering, decontamination, hard_negatives, language, licences, near_duplicates, nearest, packing, quality, substrings, token_files
+from sluicework.llm import (
+    chat, clustering, decontamination, hard_negatives, language, licences, near_duplicates, nearest, packing, page_text, quality, substrings,
+    token_files,
+)
 from sluicework.llm.frames import documents, staging_path
 
 QUERIES: dict[str, Callable] = {}
@@ -164,3 +167,9 @@ def _lloyd_sql(k: int = 16, rounds: int = 3, dim: int = 64) -> str:
 def op12_va_file_clustering(spark, sf_dir: str) -> DataFrame:
     vectors = clustering.kept(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), dim=64, scale=64)
     return clustering.cluster(vectors, k=16, rounds=3, bits=3, dim=64, seed="1:")
+
+
+@query("op11_block_lstm")
+def op11_block_lstm(spark, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return page_text.extract(pages, page_text.train(pages))
