@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sluicework.functions.codecs import MAGIC, decrypt_payload, unpack
 from sluicework.functions.envelopes import EMPTY_METADATA, ENVELOPE_JSON
+from sluicework.sources.csv_blocks import read_csv_blocks
 
 
 CODECS = ("none", "gzip", "lz4", "zstd")
@@ -121,16 +122,19 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header row; every field is a string and an empty cell is ``""``.
 
-    Quoted cells may hold line breaks, so a file is one split by default.  Pass
-    ``splittable=True`` for data known to have none: large files are then read in ranges.
-    ``columns`` picks columns by their name in the header; a name that it lacks is refused, and so
-    is a file whose header differs from the first one's.  The declared compression must be the
-    files' own.
+    Quoted cells may hold line breaks. Uncompressed files are read in blocks by many tasks, the
+    record starts of each block settled by the parity of quotes before it (``csv_blocks``). Pass
+    ``splittable=True`` for data known to have no line break in a cell: lines are then split by
+    Spark's own reader. ``columns`` picks columns by their name in the header; a name that it lacks
+    is refused, and so is a file whose header differs from the first one's. The declared
+    compression must be the files' own.
     """
     if compression not in CODECS:
         raise ValueError(f"unknown compression {compression}")
     if compression in ("lz4", "zstd"):
         return _csv_of_frames(spark, path, columns, compression)
+    if compression == "none" and not splittable:
+        return read_csv_blocks(spark, path, columns)
     reader = (
         spark.read.option("header", True)
         .option("escape", '"')
@@ -139,15 +143,16 @@ def read_csv(
         .option("enforceSchema", False)
     )
     found = reader.csv(path)
+    # The names of the listed files, not a test on every row, check the declared codec.
+    for name in found.inputFiles():
+        if re.search(r"\.(zst|lz4)$", name) or bool(re.search(r"\.gz$", name)) != (compression == "gzip"):
+            raise ValueError(f"input {name} is not what the declared compression {compression} says")
     missing = [c for c in columns or [] if c not in found.columns]
     if missing:
         raise ValueError(f"the header has no column {', '.join(missing)}")
     if not found.columns:
         return found
-    # A plan may drop the column of this check, so a filter holds it.
-    wrong = F.input_file_name().rlike(r"\.(zst|lz4)$") | (F.input_file_name().rlike(r"\.gz$") != F.lit(compression == "gzip"))
-    refuse = F.raise_error(F.lit(f"input is not what the declared compression {compression} says")).cast("boolean")
-    checked = found.where(F.when(wrong, refuse).otherwise(F.lit(True))).na.fill("")
+    checked = found.na.fill("")
     return checked.select(*[f"`{c}`" for c in columns]) if columns else checked
 
 
