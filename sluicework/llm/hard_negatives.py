@@ -96,10 +96,24 @@ def _keep(lines: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
     return lines[rank < k], ids[rank < k], scores[rank < k]
 
 
-def _unpack(row: dict, prefix: str):
-    ids = np.asarray(row[f"{prefix}ids"], np.int64)
-    vectors = np.asarray(row[f"{prefix}vectors"], np.int64).reshape(len(ids), row["dim"])
-    return ids, np.asarray(row[f"{prefix}labels"], np.int64), vectors
+def _lists(column: pa.ListArray, j: int) -> np.ndarray:
+    """Row j of a list column as a numpy view, without Python objects."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[j] : offsets[j + 1]]
+
+
+def _unpack(part: pa.RecordBatch, j: int, prefix: str, dim: int):
+    ids = _lists(part.column(f"{prefix}ids"), j)
+    return ids, _lists(part.column(f"{prefix}labels"), j), _lists(part.column(f"{prefix}vectors"), j).reshape(len(ids), dim)
+
+
+def _top(scores: np.ndarray, allowed: np.ndarray, k: int):
+    """(row, column) of the allowed entries that can be among a row's k best: the k-th score or above."""
+    if scores.dtype != object and scores.shape[1] > k:
+        s = np.where(allowed, scores, np.iinfo(np.int64).min)
+        kth = np.partition(s, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        allowed = allowed & (s >= kth[:, None])
+    return np.nonzero(allowed)
 
 
 def _pack(extra: tuple[str, ...]):
@@ -147,14 +161,16 @@ def _scan(anchors: DataFrame, candidates: DataFrame, extra: tuple[str, ...], lin
     def run(batches):
         block, held, keys = None, None, None
         for part in batches:
-            for row in part.to_pylist():
-                if row["block"] != block:
+            blocks, dims = part.column("block").to_numpy(), part.column("dim").to_numpy()
+            for j in range(part.num_rows):
+                if blocks[j] != block:
                     if held is not None:
                         yield _emit(keys, held)
-                    block, held = row["block"], None
-                a = _unpack(row, "a_")
-                c = _unpack(row, "")
-                keys, (lines, ids, scores) = lines_of(row, a, c, residue_scores(a[2], c[2]))
+                    block, held = blocks[j], None
+                    a = _unpack(part, j, "a_", int(dims[j]))
+                    extras = [_lists(part.column(f"a_{e}"), j) for e in extra]
+                c = _unpack(part, j, "", int(dims[j]))
+                keys, (lines, ids, scores) = lines_of(extras, a, c, residue_scores(a[2], c[2]), k)
                 if held is not None:
                     wide = object if object in (held[2].dtype, scores.dtype) else np.int64
                     lines, ids = np.concatenate([held[0], lines]), np.concatenate([held[1], ids])
@@ -172,19 +188,18 @@ def _scan(anchors: DataFrame, candidates: DataFrame, extra: tuple[str, ...], lin
     return pairs.mapInArrow(run, schema)
 
 
-def _positive_lines(row, a, c, scores):
+def _positive_lines(extras, a, c, scores, k):
     a_ids, a_labels, _ = a
     c_ids, c_labels, _ = c
-    r, col = np.nonzero((a_labels[:, None] == c_labels[None, :]) & (a_ids[:, None] != c_ids[None, :]))
+    r, col = _top(scores, (a_labels[:, None] == c_labels[None, :]) & (a_ids[:, None] != c_ids[None, :]), k)
     return (a_ids,), (r, c_ids[col], scores[r, col])
 
 
 def _negative_lines(low: int, high: int):
-    def lines_of(row, a, c, scores):
+    def lines_of(extras, a, c, scores, k):
         a_ids, a_labels, _ = a
         c_ids, c_labels, _ = c
-        counts = np.asarray(row["a_n_positives"], np.int64)
-        p_ids, p_scores = np.asarray(row["a_positive_ids"], np.int64), np.asarray(row["a_positive_scores"], np.int64)
+        counts, p_ids, p_scores = extras
         owner = np.repeat(np.arange(len(a_ids)), counts)
         s = scores[owner]
         if s.dtype != object and np.abs(s).max(initial=0) >= 1 << 55:
@@ -194,7 +209,7 @@ def _negative_lines(low: int, high: int):
             (a_labels[owner][:, None] != c_labels[None, :]) & (a_ids[owner][:, None] != c_ids[None, :])
             & (low * ps <= 100 * s) & (100 * s <= high * ps)
         )
-        r, col = np.nonzero(allowed)
+        r, col = _top(s, allowed, k)
         return (a_ids[owner], p_ids, p_scores), (r, c_ids[col], s[r, col])
 
     return lines_of
