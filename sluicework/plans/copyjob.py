@@ -23,6 +23,7 @@ from sluicework.operators.correlate import correlate
 from sluicework.operators.filtering import filter_rows
 from sluicework.session import path_exists, shared_dir, staging_path
 from sluicework.sinks import files as file_sinks
+from sluicework.sinks import upsert_table
 from sluicework.sinks.records import kafka_sink
 from sluicework.sources import files as file_sources
 from sluicework.sources import tables
@@ -199,6 +200,10 @@ def open_sink(sink: dict) -> Callable[[DataFrame, str], None]:
         return lambda df, _: file_sinks.write_objects(df, path, date_partition=sink.get("date_partition", True))
     if kind == "idempotent":
         return lambda df, batch: file_sinks.write_idempotent(df, path, batch)
+    if kind == "upsert":
+        return lambda df, batch: upsert_table.upsert_into(
+            df, path, sink["key"], batch, sink.get("mode", "update"), sink.get("order", ()), sink.get("version", ()), sink.get("buckets", 64)
+        )
     if kind == "jdbc":
         return lambda df, _: tables.write_jdbc(df, sink["url"], sink["table"])
     if kind == "kafka":

@@ -9,6 +9,7 @@ from sluicework.plans import copyjob
 from sluicework.plans.fixtures import change_feed, change_target, doubled_events, with_views
 from sluicework.plans.registry import query, table
 from sluicework.session import staging_path
+from sluicework.sinks import upsert_table
 from sluicework.sinks.files import write_raw
 from sluicework.streaming import filestream, stateful
 
@@ -37,6 +38,23 @@ def copy_csv_to_lines(spark, sf):
     return spark.read.schema("o_orderkey string, o_orderpriority string").json(f"{base}/out")
 
 
+@query(
+    "copy_upsert_twice",
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, o_orderstatus
+       FROM orders""",
+)
+def copy_upsert_twice(spark, sf):
+    """All orders, then the finished ones at twice the price, then that batch again (a replay), into one keyed table."""
+    base = staging_path(spark, "upsert")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    orders.write.parquet(f"{base}/first")
+    orders.where("o_orderstatus = 'F'").withColumn("o_totalprice", F.col("o_totalprice") * 2).write.parquet(f"{base}/second")
+    sink = {"kind": "upsert", "path": f"{base}/table", "key": "o_orderkey", "buckets": 16}
+    for part in ("first", "second", "second"):
+        copyjob.copy(spark, {"kind": "table", "path": f"{base}/{part}"}, sink)
+    return upsert_table.read_table(spark, f"{base}/table")
+
+
 @query("copy_resumed", "SELECT o_orderkey, o_totalprice FROM orders")
 def copy_resumed(spark, sf):
     """The table arrives in three parts; each run copies only what is new, a fourth copies nothing."""
