@@ -11,7 +11,7 @@ from sluicework.plans.registry import query, table
 from sluicework.session import staging_path
 from sluicework.sinks import upsert_table
 from sluicework.sinks.files import write_raw
-from sluicework.streaming import filestream, stateful
+from sluicework.streaming import change_levels, filestream, stateful
 
 
 @query("copy_job", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 250000 AND o_orderstatus = 'F'")
@@ -174,6 +174,23 @@ def stream_changes_applied(spark, sf):
     return stateful.read_applied(spark, base, change_target(spark, sf), "key").select("key", "amount", "lsn")
 
 
+@query(
+    "stream_changes_levelled",
+    with_views("change_feed", "change_target") + """, newest AS (SELECT * FROM change_feed
+      QUALIFY row_number() OVER (PARTITION BY key ORDER BY lsn DESC, ordinal DESC) = 1)
+    SELECT key, amount, lsn FROM newest WHERE op <> 'delete' UNION ALL
+    SELECT key, amount, lsn FROM change_target WHERE key NOT IN (SELECT key FROM newest)""",
+)
+def stream_changes_levelled(spark, sf):
+    """The feed in twelve files, one a micro-batch, into a levelled log of four runs a level."""
+    base = staging_path(spark, "levels")
+    feed = change_feed(spark, sf)
+    feed.repartition(12).write.parquet(f"{base}/in")
+    sdf = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    change_levels.apply_changes_levelled(sdf, f"{base}/log", "key", f"{base}/checkpoint", fanout=4).awaitTermination()
+    return change_levels.read_levelled(spark, f"{base}/log", change_target(spark, sf), "key").select("key", "amount", "lsn")
+
+
 @query("stream_start_latest", "SELECT event_id FROM events")
 def stream_start_latest(spark, sf):
     """A tail that starts at the end of the backlog sees what is appended later, and only that."""
