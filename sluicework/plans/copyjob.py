@@ -23,6 +23,7 @@ from sluicework.operators.correlate import correlate
 from sluicework.operators.filtering import filter_rows
 from sluicework.session import path_exists, shared_dir, staging_path
 from sluicework.sinks import files as file_sinks
+from sluicework.sinks import branches as branch_sinks
 from sluicework.sinks import upsert_table
 from sluicework.sinks.records import kafka_sink
 from sluicework.sources import files as file_sources
@@ -200,6 +201,10 @@ def open_sink(sink: dict) -> Callable[[DataFrame, str], None]:
         return lambda df, _: file_sinks.write_objects(df, path, date_partition=sink.get("date_partition", True))
     if kind == "idempotent":
         return lambda df, batch: file_sinks.write_idempotent(df, path, batch)
+    if kind == "branches":
+        return lambda df, _: branch_sinks.write_branches(
+            df, path, [tuple(c) for c in sink.get("when", ())], sink.get("default"), sink.get("every", ()), sink.get("encodings"), codec
+        )
     if kind == "upsert":
         return lambda df, batch: upsert_table.upsert_into(
             df, path, sink["key"], batch, sink.get("mode", "update"), sink.get("order", ()), sink.get("version", ()), sink.get("buckets", 64)
@@ -308,7 +313,7 @@ def copy(
     return _copy_batch(spark, source, write, filter, steps, kind, PositionStore(spark, f"{state}/positions"), report)
 
 
-def _delivered(flow: DataFrame, filter: str | None, steps, write, batch: str) -> tuple[int, int]:
+def _delivered(flow: DataFrame, filter: str | None, steps, write, batch: str, notes: list[str]) -> tuple[int, int]:
     """Filter, shape and write; (rows delivered, rows rejected), counted by the writes themselves."""
     flow = filter_rows(flow, filter) if filter else flow
     rejects: list[tuple[DataFrame, dict | None, Observation]] = []
@@ -329,7 +334,11 @@ def _delivered(flow: DataFrame, filter: str | None, steps, write, batch: str) ->
         if count.get["n"] and sink is None:
             raise LossyCopy(f"{count.get['n']} rows were rejected and there is no dead-letter sink")
     delivered = Observation()
-    write(flow.observe(delivered, F.count(F.lit(1)).alias("n")), batch)
+    result = write(flow.observe(delivered, F.count(F.lit(1)).alias("n")), batch)
+    if isinstance(result, branch_sinks.BranchReport):
+        # Rows that no branch took did not reach the sink: they are reported, not counted as copied.
+        notes.append(f"unrouted {result.unrouted}; " + ", ".join(f"{k} {v}" for k, v in result.per_branch.items()))
+        return result.read - result.unrouted, rejected
     return delivered.get["n"], rejected
 
 
@@ -352,7 +361,7 @@ def _copy_batch(spark, source, write, filter, steps, kind, store: PositionStore,
     # Counts and the new position come from the write itself: the source is read once.
     read = Observation()
     batch = report.identity if report.position is None else f"{report.identity}-{report.position}"
-    report.rows, report.rejected = _delivered(rows.observe(read, *measures), filter, steps, write, batch)
+    report.rows, report.rejected = _delivered(rows.observe(read, *measures), filter, steps, write, batch, report.notes)
     report.read = read.get["n"]
     if key and read.get.get("p") is not None:
         report.position = read.get["p"]
@@ -368,7 +377,7 @@ def _copy_stream(spark, source, write, filter, steps, checkpoint, drain, poll, r
 
     def each(batch: DataFrame, batch_id: int) -> None:
         read = Observation()
-        rows, rejected = _delivered(batch.observe(read, F.count(F.lit(1)).alias("n")), filter, steps, write, str(batch_id))
+        rows, rejected = _delivered(batch.observe(read, F.count(F.lit(1)).alias("n")), filter, steps, write, str(batch_id), report.notes)
         counts["read"] += read.get["n"]
         counts["rows"] += rows
         counts["rejected"] += rejected

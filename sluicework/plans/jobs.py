@@ -55,6 +55,21 @@ def copy_upsert_twice(spark, sf):
     return upsert_table.read_table(spark, f"{base}/table")
 
 
+@query(
+    "copy_fanout_switch",
+    """SELECT 'big' AS branch, o_orderkey FROM orders WHERE o_totalprice > 250000
+       UNION ALL SELECT 'finished', o_orderkey FROM orders WHERE NOT (o_totalprice > 250000) AND o_orderstatus = 'F'
+       UNION ALL SELECT 'all', o_orderkey FROM orders""",
+)
+def copy_fanout_switch(spark, sf):
+    """A switch without default and a branch of every row, written by one job of the copy."""
+    out = staging_path(spark, "branches")
+    sink = {"kind": "branches", "path": out, "when": [["o_totalprice > 250000", "big"], ["o_orderstatus == 'F'", "finished"]], "every": ["all"]}
+    copyjob.copy(spark, {"kind": "table", "path": f"{sf}/orders.parquet"}, sink)
+    lines = spark.read.text(out)
+    return lines.select("branch", F.get_json_object("value", "$.o_orderkey").cast("bigint").alias("o_orderkey"))
+
+
 @query("copy_resumed", "SELECT o_orderkey, o_totalprice FROM orders")
 def copy_resumed(spark, sf):
     """The table arrives in three parts; each run copies only what is new, a fourth copies nothing."""
