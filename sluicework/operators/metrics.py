@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluicework.operators.segments import same_keys, small, order_value, positions
+from sluicework.operators.selection import exact_quantiles
 from sluicework.session import cut_lineage
 
 # The sampling tick and the smoothing time constant, in seconds.
@@ -149,33 +150,19 @@ def quantiles(
 ) -> DataFrame:
     """Quantiles per key, one row per (key, p).
 
-    Exact ones come from row positions after one range sort, interpolated, so neither a hot
-    key nor a hot value is gathered; ``exact=False`` uses a mergeable sketch and no sort.
+    Exact ones are found by radix selection on the ordered bits of the values (``selection``):
+    counts only are shuffled, no row is sorted, so neither a hot key nor a hot value is gathered;
+    ``exact=False`` uses a mergeable sketch.
     """
     keys = list(keys)
+    if exact:
+        return exact_quantiles(df, value, probabilities, keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    if not exact:
-        sketch = rows.groupBy(*keys).agg(
-            F.percentile_approx("_v", [float(p) for p in probabilities], 100_000).alias("q")
-        )
-        pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probabilities]).alias("p"), F.col("q").alias("v"))
-        return sketch.select(*keys, F.inline(pairs))
-    ranked = positions(
-        rows.withColumn("_tie", F.monotonically_increasing_id()),
-        [*map(F.col, keys), F.col("_v"), F.col("_tie")],
+    sketch = rows.groupBy(*keys).agg(
+        F.percentile_approx("_v", [float(p) for p in probabilities], 100_000).alias("q")
     )
-    edge = ranked.groupBy(*keys).agg(F.min("_g").alias("first"), F.count(F.lit(1)).alias("n"))
-    at = F.col("first") + F.col("p") * (F.col("n") - 1)
-    wanted = edge.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-    wanted = cut_lineage(
-        wanted.select(*keys, "p", F.floor(at).alias("low"), F.ceil(at).alias("high"), (at - F.floor(at)).alias("part"))
-    )
-    low = ranked.select(F.col("_g").alias("low"), F.col("_v").alias("low_v"))
-    high = ranked.select(F.col("_g").alias("high"), F.col("_v").alias("high_v"))
-    placed = small(wanted)
-    lows = low.join(placed, "low").select(*keys, "p", "part", "high", "low_v")
-    both = high.join(small(cut_lineage(lows)), "high")
-    return both.select(*keys, "p", (F.col("low_v") + F.col("part") * (F.col("high_v") - F.col("low_v"))).alias("v"))
+    pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probabilities]).alias("p"), F.col("q").alias("v"))
+    return sketch.select(*keys, F.inline(pairs))
 
 
 def latency_quantiles(df: DataFrame, column: str, keys: Sequence[str] = (), exact: bool = True) -> DataFrame:

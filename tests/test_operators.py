@@ -193,3 +193,25 @@ def test_route_status_keeps_a_null_route(spark):
     rows = [("a", 0, 1), ("a", 1, 5), (None, 0, 2)]
     df = spark.createDataFrame(rows, "route string, s long, total long").selectExpr("route", "timestamp_seconds(s) as ts", "total")
     assert {r.route for r in metrics.route_status(df, "route", "ts", "total").collect()} == {"a", None}
+
+
+def test_exact_quantiles_by_selection_match_numpy(spark):
+    import random
+
+    import numpy as np
+
+    from sluicework.operators.selection import exact_quantiles
+
+    rng = random.Random(5)
+    rows = [("hot", rng.choice([1.5, -2.0, 0.0, 1e300, -1e-300, 7.0])) for _ in range(3000)]
+    rows += [(k, rng.gauss(0, 1e6)) for k in ("a", "b") for _ in range(200)] + [("one", 3.25), (None, -1.0), (None, 2.0), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(7)
+    probabilities = (0.0, 0.1, 0.5, 0.95, 0.99, 1.0)
+    got = {(r.k, r.p): r.v for r in exact_quantiles(df, "x", probabilities, ["k"]).collect()}
+    for key in {k for k, _ in rows}:
+        values = np.array([x for k, x in rows if k == key and x is not None])
+        for p in probabilities:
+            assert got[(key, p)] == pytest.approx(float(np.quantile(values, p)), rel=1e-12, abs=1e-300), (key, p)
+    plan = exact_quantiles(df, "x", (0.5,), ["k"])._jdf.queryExecution().executedPlan().toString()
+    # Counts are shuffled, rows are neither range-sorted nor written.
+    assert "RangePartitioning" not in plan and "Scan ExistingRDD" not in plan
