@@ -22,10 +22,10 @@ the input are not carried (page_id and url are).
 
 from __future__ import annotations
 
+import html as html_lib
 import math
 import re
 import zlib
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ WORD_BUCKETS = 64
 NUMBERS = 8
 FEATURES = PATH_BUCKETS + WORD_BUCKETS + NUMBERS
 HIDDEN = 16
+#: Pages parsed and labelled together in a task.
+PAGES_AT_ONCE = 256
 
 # The block-level and void elements of HTML, and the elements whose text is never shown.
 BLOCK_TAGS = frozenset(
@@ -71,6 +73,24 @@ class Block:
         self.path, self.text, self.link_chars = path, text, link_chars
 
 
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "noscript", "iframe", "noembed", "noframes")}
+
+
+def _attributes(text: str) -> list[tuple[str, str | None]]:
+    found = []
+    for m in _ATTRIBUTE.finditer(text):
+        value = m.group(2)
+        if value is not None and value[:1] in "\"'":
+            value = value[1:-1]
+        found.append((m.group(1).lower(), None if value is None else html_lib.unescape(value)))
+    return found
+
+
 def _words_of(attrs) -> tuple[str, ...]:
     found = []
     for name, value in attrs:
@@ -88,14 +108,28 @@ def _hidden(attrs) -> bool:
     return False
 
 
-class _Blocks(HTMLParser):
+class _Blocks:
+    """Blocks of a page from a stream of tags and text (comments, doctypes and raw text skipped)."""
+
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, tuple[str, ...], bool]] = []
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.link_parts = 0
         self.path: tuple = ()
+        self.unshown = 0
+        self.links = 0
+
+    def _push(self, entry):
+        self.stack.append(entry)
+        self.unshown += entry[0] in UNSHOWN or entry[2]
+        self.links += entry[0] == "a"
+
+    def _pop(self):
+        entry = self.stack.pop()
+        self.unshown -= entry[0] in UNSHOWN or entry[2]
+        self.links -= entry[0] == "a"
+        return entry
 
     def _flush(self):
         text = " ".join("".join(self.parts).split())
@@ -105,13 +139,14 @@ class _Blocks(HTMLParser):
 
     def _pop_to(self, tag: str):
         while self.stack:
-            if self.stack.pop()[0] == tag:
+            if self._pop()[0] == tag:
                 break
 
-    def handle_starttag(self, tag, attrs):
-        tag = tag.lower()
+    def start(self, tag, attrs, closed: bool):
         if tag in BLOCK_TAGS:
             self._flush()
+        if closed:
+            return
         if tag in CLOSES_P and any(t == "p" for t, _, _ in self.stack):
             self._pop_to("p")
         if tag in ("li", "dt", "dd"):
@@ -122,28 +157,47 @@ class _Blocks(HTMLParser):
                     self._pop_to(t)
                     break
         if tag not in VOID_TAGS:
-            self.stack.append((tag, _words_of(attrs), _hidden(attrs)))
+            self._push((tag, _words_of(attrs), _hidden(attrs)))
 
-    def handle_startendtag(self, tag, attrs):
-        if tag.lower() in BLOCK_TAGS:
-            self._flush()
-
-    def handle_endtag(self, tag):
-        tag = tag.lower()
+    def end(self, tag):
         if tag in BLOCK_TAGS:
             self._flush()
         if any(t == tag for t, _, _ in self.stack):
             self._pop_to(tag)
 
-    def handle_data(self, data):
-        if any(t in UNSHOWN or hidden for t, _, hidden in self.stack):
+    def data(self, data):
+        if self.unshown:
             return
         if not self.parts or not "".join(self.parts).strip():
             self.path = tuple((t, w) for t, w, _ in self.stack)
         self.parts.append(data)
-        if any(t == "a" for t, _, _ in self.stack):
+        if self.links:
             self.link_parts += len(data.strip())
 
+    def feed(self, page: str):
+        at = 0
+        while at < len(page):
+            m = _TOKEN.match(page, at)
+            at = m.end()
+            if m.group(2) is not None:
+                tag = m.group(2).lower()
+                if m.group(1):
+                    self.end(tag)
+                    continue
+                attrs = m.group(3) or ""
+                self.start(tag, _attributes(attrs), attrs.rstrip().endswith("/") and tag in VOID_TAGS)
+                if tag in _RAW_END:
+                    # Raw text runs to its end tag; it is text only for a textarea or a title.
+                    close = _RAW_END[tag].search(page, at)
+                    stop = close.start() if close else len(page)
+                    if tag in ("textarea", "title"):
+                        self.data(html_lib.unescape(page[at:stop]))
+                    at = stop
+            elif m.group(0).startswith("<!") or m.group(0).startswith("<?"):
+                continue
+            else:
+                self.data(html_lib.unescape(m.group(0)))
+
 
 def blocks_of(html: str | None) -> list[Block]:
     """The text blocks of a page in order."""
@@ -151,7 +205,6 @@ def blocks_of(html: str | None) -> list[Block]:
         return []
     parser = _Blocks()
     parser.feed(html)
-    parser.close()
     parser._flush()
     return parser.blocks
 
@@ -176,35 +229,61 @@ def _bucket(token: str, buckets: int) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) % buckets
 
 
-def features(blocks: list[Block]) -> np.ndarray:
+class _Buckets:
+    """Hashed features of paths and words, remembered per task: both repeat across blocks."""
+
+    def __init__(self):
+        self.paths: dict[tuple, np.ndarray] = {}
+        self.words: dict[str, int] = {}
+
+    def path(self, path: tuple) -> np.ndarray:
+        found = self.paths.get(path)
+        if found is None:
+            tokens = []
+            for tag, words in path:
+                if tag in ("html", "body"):
+                    continue
+                tokens.append("t:" + tag)
+                tokens += ["w:" + w for w in words]
+            found = self.paths[path] = np.unique(np.array([_bucket(t, PATH_BUCKETS) for t in tokens], np.intp))
+        return found
+
+    def word(self, word: str) -> int:
+        found = self.words.get(word)
+        if found is None:
+            found = self.words[word] = PATH_BUCKETS + _bucket(word, WORD_BUCKETS)
+        return found
+
+
+_SHARED = _Buckets()
+
+
+def features(blocks: list[Block], buckets: _Buckets | None = None) -> np.ndarray:
     """(blocks, FEATURES): hashed path tokens, hashed words, numbers."""
+    buckets = buckets or _SHARED
+    if len(buckets.words) > 1_000_000:
+        buckets.words.clear()
     x = np.zeros((len(blocks), FEATURES), np.float32)
     n = max(1, len(blocks))
+    k = PATH_BUCKETS + WORD_BUCKETS
     for i, b in enumerate(blocks):
-        for tag, words in b.path:
-            if tag in ("html", "body"):
-                continue
-            x[i, _bucket("t:" + tag, PATH_BUCKETS)] = 1.0
-            for w in words:
-                x[i, _bucket("w:" + w, PATH_BUCKETS)] = 1.0
+        x[i, buckets.path(b.path)] = 1.0
         words = b.text.lower().split()
-        for w in words:
-            x[i, PATH_BUCKETS + _bucket(w, WORD_BUCKETS)] += 1.0 / len(words)
-        chars = len(b.text)
-        k = PATH_BUCKETS + WORD_BUCKETS
+        np.add.at(x[i], [buckets.word(w) for w in words], 1.0 / len(words))
+        text, chars = b.text, len(b.text)
         x[i, k] = math.log1p(chars) / 10
         x[i, k + 1] = math.log1p(len(words)) / 5
         x[i, k + 2] = b.link_chars / chars
-        x[i, k + 3] = sum(c in ".,;:!?" for c in b.text) / chars
+        x[i, k + 3] = sum(map(text.count, ".,;:!?")) / chars
         x[i, k + 4] = i / n
         x[i, k + 5] = float(any(t in HEADINGS for t, _ in b.path))
-        x[i, k + 6] = sum(c.isdigit() for c in b.text) / chars
-        x[i, k + 7] = float(b.text[-1] in ".!?")
+        x[i, k + 6] = sum(map(text.count, "0123456789")) / chars
+        x[i, k + 7] = float(text[-1] in ".!?")
     return x
 
 
 def _sig(z):
-    return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
+    return 0.5 * (1.0 + np.tanh(0.5 * z))
 
 
 class BiLSTM:
@@ -285,10 +364,19 @@ class BiLSTM:
 
     def label(self, x: np.ndarray) -> np.ndarray:
         """Probabilities of main text for the blocks of one page."""
-        if not len(x):
-            return np.zeros(0)
-        p, _ = self.forward(x[:, None, :].astype(np.float64), np.ones((len(x), 1)))
-        return p[:, 0]
+        return self.label_many([x])[0]
+
+    def label_many(self, xs: list[np.ndarray], batch: int = 64) -> list[np.ndarray]:
+        """Probabilities for many pages, run together in groups of like length."""
+        out: list[np.ndarray] = [np.zeros(0)] * len(xs)
+        order = sorted((i for i in range(len(xs)) if len(xs[i])), key=lambda i: len(xs[i]))
+        for at in range(0, len(order), batch):
+            group = order[at : at + batch]
+            x, m, _ = _padded([(xs[i], np.zeros(len(xs[i]))) for i in group])
+            p, _ = self.forward(x, m)
+            for j, i in enumerate(group):
+                out[i] = p[: len(xs[i]), j]
+        return out
 
 
 def _padded(pages: list[tuple[np.ndarray, np.ndarray]]):
@@ -350,16 +438,16 @@ def extract(pages: DataFrame, model: BiLSTM) -> DataFrame:
 
     def label(batches):
         labeller = BiLSTM(weights.value)
-        for part in batches:
-            texts = []
-            for html in part.column("html").to_pylist():
-                found = blocks_of(html)
-                keep = labeller.label(features(found)) >= 0.5
-                texts.append("\n".join(b.text for b, k in zip(found, keep, strict=True) if k))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAGES_AT_ONCE):
+                part = whole.slice(at, PAGES_AT_ONCE)
+                pages = [blocks_of(html) for html in part.column("html").to_pylist()]
+                chances = labeller.label_many([features(found) for found in pages])
+                texts = ["\n".join(b.text for b, p in zip(found, chance, strict=True) if p >= 0.5) for found, chance in zip(pages, chances, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                    names=["page_id", "url", "text", "n_chars"],
+                )
 
     source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return source.mapInArrow(label, "page_id long, url string, text string, n_chars long")
