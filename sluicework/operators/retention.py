@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluicework.operators.segments import positions, same_keys, small
+from sluicework.operators.selection import cap_by_selection
 from sluicework.session import cut_lineage
 
 # Up to this many rows per key Spark drops the rest before the shuffle (its group limit).
@@ -34,7 +35,14 @@ def keep_last(df: DataFrame, n: int, route: str | Sequence[str], order: Sequence
 
 
 def cap_stream(df: DataFrame, stream: str, n: int, order: Sequence[str]) -> DataFrame:
-    """A stream keeps its newest ``n`` rows."""
+    """A stream keeps its newest ``n`` rows.
+
+    Beyond Spark's group limit, and where the order columns are numbers, dates or times, the
+    boundary of each stream is selected from histograms and the rest is a filter: no row is sorted.
+    """
+    orderable = ("tinyint", "smallint", "int", "bigint", "double", "float", "date", "timestamp", "timestamp_ntz")
+    if n > GROUP_LIMIT and all(df.schema[c].dataType.simpleString() in orderable for c in order):
+        return cap_by_selection(df, stream, n, order)
     return keep_last(df, n, stream, order).drop("rank")
 
 

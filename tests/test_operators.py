@@ -215,3 +215,31 @@ def test_exact_quantiles_by_selection_match_numpy(spark):
     plan = exact_quantiles(df, "x", (0.5,), ["k"])._jdf.queryExecution().executedPlan().toString()
     # Counts are shuffled, rows are neither range-sorted nor written.
     assert "RangePartitioning" not in plan and "Scan ExistingRDD" not in plan
+
+
+def test_cap_by_selection_matches_a_sort(spark):
+    import random
+
+    from sluicework.operators.selection import cap_by_selection
+
+    rng = random.Random(9)
+    rows = [("hot", rng.randrange(50), rng.randrange(5), i) for i in range(3000)]
+    rows += [("small", rng.randrange(9), rng.randrange(3), 10_000 + i) for i in range(40)]
+    rows += [("dup", 7, 1, 20_000)] * 30 + [("dup", 9, None, 20_001 + i) for i in range(5)] + [("nul", None, None, 30_000 + i) for i in range(20)]
+    df = spark.createDataFrame(rows, "s string, ts long, sub long, id long").repartition(5)
+    for n, order in ((1200, ["ts", "sub"]), (25, ["ts", "sub"]), (7, ["ts"])):
+        got = sorted(tuple(r) for r in cap_by_selection(df, "s", n, order).select("s", "ts", "sub", "id").collect())
+        expected = []
+        for stream in {r[0] for r in rows}:
+            mine = [r for r in rows if r[0] == stream]
+            key = lambda r: tuple((0, 0) if r[i] is None else (1, r[i]) for i in [{"ts": 1, "sub": 2}[c] for c in order])
+            mine.sort(key=key, reverse=True)
+            boundary = key(mine[min(n, len(mine)) - 1])
+            above = [r for r in mine if key(r) > boundary]
+            tied = [r for r in mine if key(r) == boundary]
+            assert len(above) + len(tied) >= min(n, len(mine))
+            expected += above
+            # Among rows equal in every order column any choice is right; compare their order values.
+            expected += [tied[0]] * (min(n, len(mine)) - len(above))
+        strip = lambda r: (r[0], r[1], r[2]) if len(order) == 2 else (r[0], r[1])
+        assert sorted(map(strip, got)) == sorted(map(strip, expected)), (n, order)
