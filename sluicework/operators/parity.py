@@ -51,12 +51,24 @@ def comparable(text: Column, numeric: bool) -> Column:
     return form(text)
 
 
+def _by_value(value: Column, kind: T.DataType) -> Column:
+    """A number as text of its value: whole numbers exactly (beyond 2^53 too), others as doubles."""
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return value.cast("string")
+    if isinstance(kind, T.DecimalType):
+        whole = value == F.floor(value)
+        return F.when(whole, F.floor(value).cast("string")).otherwise(value.cast("double").cast("string"))
+    double = value.cast("double")
+    whole = (double == F.floor(double)) & (F.abs(double) < F.lit(9.2e18))
+    return F.when(whole, double.cast("long").cast("string")).otherwise(double.cast("string"))
+
+
 def record_form(df: DataFrame, column: str | None = None, numeric: bool = False) -> Column:
     """A row (or one JSON text column) as text to show, independent of key order."""
     if column is None:
         kinds = {f.name: f.dataType for f in df.schema}
         members = [
-            F.col(c).cast("double").alias(c) if numeric and isinstance(kinds[c], T.NumericType) else F.col(c)
+            _by_value(F.col(c), kinds[c]).alias(c) if numeric and isinstance(kinds[c], T.NumericType) else F.col(c)
             for c in sorted(df.columns)
         ]
         return F.to_json(F.struct(*members), {"ignoreNullFields": "false"})
@@ -72,18 +84,46 @@ def _differences(left: DataFrame, right: DataFrame, weight: int = 1) -> DataFram
     return counted.where(F.col("expected_n") != F.col("actual_n"))
 
 
-def parity(left: DataFrame, right: DataFrame, column: str | None = None, numeric: bool = False) -> DataFrame:
+#: Buckets of the first comparison: sums of digests per bucket and side.
+BUCKETS = 4096
+
+
+def _sketch(records: DataFrame) -> DataFrame:
+    """Per bucket: records, and the sums of two 64-bit digests (as exact decimals)."""
+    unsigned = lambda h: F.when(h < 0, h.cast("decimal(20,0)") + F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(h.cast("decimal(20,0)"))
+    return records.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(unsigned(F.col("h1"))).alias("s1"), F.sum(unsigned(F.col("h2"))).alias("s2"),
+    )
+
+
+def parity(left: DataFrame, right: DataFrame, column: str | None = None, numeric: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """Records whose number differs between two outputs; empty means the same records.
 
     Types count: ``7.0`` differs from ``7``, but not from ``70e-1``; with ``numeric`` all three are
-    equal.  A null record is a record, and differs from an empty one.
-    Only 128-bit digests are shuffled and counted.  The text of the records that differ is
-    fetched afterwards, by the few digests that did.
+    equal, and whole numbers are compared exactly at any size.  A null record is a record, and
+    differs from an empty one.
+    First each side is summed per bucket of records (count and two 64-bit digests): only
+    ``buckets`` rows a task are shuffled, and equal outputs stop there. Records are counted only
+    in buckets whose sums differ, and their texts are fetched by the few digests that did.
     """
     texts = [df.select(record_form(df, column, numeric).alias("text"), *([F.col(column).alias("own")] if column else [])) for df in (left, right)]
     keyed = [t.select(F.md5(comparable(F.col("own"), numeric) if column else F.col("text")).alias("record"), "text") for t in texts]
+    digests = [
+        k.select("record", F.pmod(F.xxhash64("record"), F.lit(buckets)).alias("bucket"),
+                 F.xxhash64(F.lit(1), "record").alias("h1"), F.xxhash64(F.lit(2), "record").alias("h2"))
+        for k in keyed
+    ]
+    sketches = [_sketch(d) for d in digests]
+    joined = sketches[0].alias("a").join(sketches[1].alias("b"), "bucket", "full_outer")
+    same = (F.col("a.n") == F.col("b.n")) & (F.col("a.s1") == F.col("b.s1")) & (F.col("a.s2") == F.col("b.s2"))
+    differing = cut_lineage(joined.where(~F.coalesce(same, F.lit(False))).select("bucket"))
+    empty = digests[0].select("record").where(F.lit(False))
+    if differing.isEmpty():
+        found = _differences(empty, empty)
+        return found.select("record", F.col("expected_n").alias("left_n"), F.col("actual_n").alias("right_n"))
+    opened = [d.join(small(differing), "bucket", "left_semi").select("record") for d in digests]
     # Counted first, so that texts are only read again when there are differences to show.
-    found = cut_lineage(_differences(keyed[0].select("record"), keyed[1].select("record")))
+    found = cut_lineage(_differences(opened[0], opened[1]))
     if found.isEmpty():
         return found.select("record", F.col("expected_n").alias("left_n"), F.col("actual_n").alias("right_n"))
     shown = keyed[0].unionByName(keyed[1]).join(small(found.select("record")), "record", "left_semi")

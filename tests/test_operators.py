@@ -243,3 +243,19 @@ def test_cap_by_selection_matches_a_sort(spark):
             expected += [tied[0]] * (min(n, len(mine)) - len(above))
         strip = lambda r: (r[0], r[1], r[2]) if len(order) == 2 else (r[0], r[1])
         assert sorted(map(strip, got)) == sorted(map(strip, expected)), (n, order)
+
+
+def test_parity_sketches_and_exact_whole_numbers(spark):
+    from sluicework.operators import parity
+
+    big = spark.createDataFrame([(9007199254740993, "a"), (7, "b")], "n long, t string")
+    near = spark.createDataFrame([(9007199254740992.0, "a"), (7.0, "b")], "n double, t string")
+    found = parity.parity(big, near, numeric=True).collect()
+    assert sorted((r.left_n, r.right_n) for r in found) == [(0, 1), (1, 0)]
+    same = spark.createDataFrame([(7.0, "b")], "n double, t string")
+    assert parity.parity(big.where("t = 'b'"), same, numeric=True).count() == 0
+    rows = spark.range(5000).select(F.col("id"), (F.col("id") % 7).alias("m"))
+    assert parity.parity(rows, rows.orderBy(F.desc("id")), buckets=64).count() == 0
+    doctored = rows.where("id != 17").unionByName(rows.where("id = 42"))
+    found = {(r.record, r.left_n, r.right_n) for r in parity.parity(rows, doctored, buckets=64).collect()}
+    assert found == {('{"id":17,"m":3}', 1, 0), ('{"id":42,"m":0}', 1, 2)}
