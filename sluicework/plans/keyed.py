@@ -101,7 +101,10 @@ def dedup_ttl_hot_keys(spark, sf):
     return kept.select("event_id", "copy", "event_type")
 
 
-_CHANGE_ID = "sha256(concat_ws('|', 'orders', CAST(key AS VARCHAR), op, CAST(lsn AS VARCHAR), CAST(ordinal AS VARCHAR)))"
+_PART = "CASE WHEN {0} IS NULL THEN '-' ELSE length({0}) || ':' || {0} END"
+_CHANGE_ID = "sha256(concat_ws('|', {}))".format(", ".join(
+    _PART.format(p) for p in ("'orders'", "CAST(key AS VARCHAR)", "op", "CAST(lsn AS VARCHAR)", "CAST(ordinal AS VARCHAR)")
+))
 
 
 @query("change_id", with_views("change_feed") + f"SELECT lsn, {_CHANGE_ID} AS change_id FROM change_feed")
@@ -110,9 +113,15 @@ def change_id(spark, sf):
     return change_feed(spark, sf).select("lsn", identity.alias("change_id"))
 
 
-@query("lsn_order", "SELECT o_orderkey, o_orderkey * 987654321 AS position FROM orders")
+@query(
+    "lsn_order",
+    """SELECT o_orderkey, CAST(o_orderkey AS DECIMAL(20,0)) * 987654321 + CAST(9223372036854775000 AS DECIMAL(20,0)) AS position
+       FROM orders""",
+)
 def lsn_order(spark, sf):
-    orders = table(spark, sf, "orders").withColumn("lsn", dedup.bigint_to_lsn(F.col("o_orderkey") * 987654321))
+    """Positions across 2^63, where a long would turn negative: o_orderkey * 987654321 + 9223372036854775000."""
+    at = F.col("o_orderkey").cast("decimal(20,0)") * F.lit(987654321) + F.lit(9223372036854775000).cast("decimal(20,0)")
+    orders = table(spark, sf, "orders").withColumn("lsn", dedup.bigint_to_lsn(at.cast("decimal(20,0)")))
     return orders.select("o_orderkey", dedup.lsn_to_bigint(F.col("lsn")).alias("position"))
 
 

@@ -259,3 +259,17 @@ def test_parity_sketches_and_exact_whole_numbers(spark):
     doctored = rows.where("id != 17").unionByName(rows.where("id = 42"))
     found = {(r.record, r.left_n, r.right_n) for r in parity.parity(rows, doctored, buckets=64).collect()}
     assert found == {('{"id":17,"m":3}', 1, 0), ('{"id":42,"m":0}', 1, 2)}
+
+
+def test_identities_beyond_2_63_separators_and_absent_fields(spark):
+    df = spark.createDataFrame([("80000000/0", "9223372036854775808"), ("FFFFFFFF/FFFFFFFF", "18446744073709551615"), ("7FFFFFFF/FFFFFFFF", "9223372036854775807")],
+                               "lsn string, n string")
+    got = sorted((r.lsn, int(r.p)) for r in df.select("lsn", dedup.lsn_to_bigint(F.col("lsn")).alias("p")).collect())
+    assert [p for _, p in sorted(got, key=lambda x: x[1])] == [2**63 - 1, 2**63, 2**64 - 1]
+    assert df.where(dedup.bigint_to_lsn(F.col("n").cast("decimal(20,0)")) != F.col("lsn")).count() == 0
+    parts = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("", None), (None, "")], "k string, op string")
+    ids = [r.i for r in parts.select(dedup.change_id("t", F.col("k"), F.col("op"), F.lit(1), F.lit(0)).alias("i")).collect()]
+    assert len(set(ids)) == 4
+    rows = spark.createDataFrame([('{"a":1}', 1), ('{"b":1}', 2), ('{"b":2}', 3), ('{"a":1}', 4)], "payload string, n long")
+    kept = dedup.dedup(rows, dedup.key_template("${payload:a}"), ["n"])
+    assert sorted(r.n for r in kept.collect()) == [1, 2, 3]
