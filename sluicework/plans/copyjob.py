@@ -21,6 +21,7 @@ from sluicework.operators import dedup as dedup_ops
 from sluicework.operators import routing, shaping
 from sluicework.operators.correlate import correlate
 from sluicework.operators.filtering import filter_rows
+from sluicework.operators.selection import values_at
 from sluicework.session import path_exists, shared_dir, staging_path
 from sluicework.sinks import files as file_sinks
 from sluicework.sinks import branches as branch_sinks
@@ -358,6 +359,8 @@ def _copy_batch(spark, source, write, filter, steps, kind, store: PositionStore,
         report.position = store.get(key)
         rows = file_sources.read_objects(spark, source["path"], report.position, source.get("max_object_bytes"))
         measures.append(F.max("object_key").alias("p"))
+    if kind == "cursor" and source.get("chunk_rows"):
+        return _copy_chunks(rows, cursor, int(source["chunk_rows"]), filter, steps, write, store, key, report, begun)
     # Counts and the new position come from the write itself: the source is read once.
     read = Observation()
     batch = report.identity if report.position is None else f"{report.identity}-{report.position}"
@@ -371,6 +374,37 @@ def _copy_batch(spark, source, write, filter, steps, kind, store: PositionStore,
     return report
 
 
+def _copy_chunks(rows, cursor, chunk_rows, filter, steps, write, store, key, report: CopyReport, begun) -> CopyReport:
+    """New rows in ranges of the cursor of about ``chunk_rows`` rows, written in cursor order; the
+    position is stored after each range is written, so it is always the end of a gapless run of
+    written rows, and a copy that fails in a range resumes at that range. A range ends between
+    different values, so rows of one cursor value are written together."""
+    if rows.schema[cursor].dataType.simpleString() == "string":
+        raise ValueError("chunk_rows needs a numeric cursor")
+    total = rows.count()
+    report.read = total
+    if not total:
+        report.elapsed_s = time.monotonic() - begun
+        return report
+    ranks = rows.sparkSession.range(chunk_rows - 1, total, chunk_rows).select(F.lit("").alias("_g"), F.col("id").alias("_rank"))
+    ranks = ranks.union(rows.sparkSession.range(1).select(F.lit("").alias("_g"), F.lit(total - 1).alias("_rank")))
+    found = values_at(rows.select(F.lit("").alias("_g"), F.col(cursor).alias("_v")), ranks.distinct())
+    bounds = sorted({r["_value"] for r in found.collect()})
+    for bound in bounds:
+        part = rows.where(F.col(cursor) <= F.lit(bound))
+        if report.position is not None:
+            part = part.where(F.col(cursor) > F.lit(report.position))
+        batch = f"{report.identity}-{report.position}"
+        written, rejected = _delivered(part, filter, steps, write, batch, report.notes)
+        report.rows += written
+        report.rejected += rejected
+        report.position = int(bound)
+        store.put(key, report.position)
+    report.elapsed_s = time.monotonic() - begun
+    log.info(report.summary())
+    return report
+
+
 def _copy_stream(spark, source, write, filter, steps, checkpoint, drain, poll, report: CopyReport):
     rows = open_source(spark, source)
     counts = {"read": 0, "rows": 0, "rejected": 0}

@@ -70,6 +70,16 @@ def copy_fanout_switch(spark, sf):
     return lines.select("branch", F.get_json_object("value", "$.o_orderkey").cast("bigint").alias("o_orderkey"))
 
 
+@query("copy_in_ranges", "SELECT o_orderkey, o_totalprice FROM orders")
+def copy_in_ranges(spark, sf):
+    """A resumable copy written in cursor ranges of about 1,000 rows, the position stored after each."""
+    base = staging_path(spark, "ranges")
+    source = {"kind": "table", "path": f"{sf}/orders.parquet", "cursor_column": "o_orderkey", "cursor_id": "orders", "chunk_rows": 1000}
+    copyjob.copy(spark, source, {"kind": "table", "path": f"{base}/out"}, resume=True, state_dir=f"{base}/state",
+                 steps=[lambda df: df.select("o_orderkey", "o_totalprice")])
+    return spark.read.parquet(f"{base}/out")
+
+
 @query("copy_resumed", "SELECT o_orderkey, o_totalprice FROM orders")
 def copy_resumed(spark, sf):
     """The table arrives in three parts; each run copies only what is new, a fourth copies nothing."""

@@ -339,3 +339,32 @@ def test_routes_refuse_to_cut_what_needs_all_rows(spark, work, source, resume, s
     route = {"input": {**source, "path": f"{work}/none"}, "middlewares": [step], "resume": resume, "state_dir": work}
     with pytest.raises(ValueError, match="needs all rows at once"):
         copyjob.run_route(spark, {"r": route})
+
+
+def test_copy_in_cursor_ranges_resumes_at_the_failed_range(spark, work):
+    from sluicework.operators import routing
+    from sluicework.plans import copyjob
+
+    rows = spark.range(1, 1001).select((F.col("id") * 3 % 700).alias("c"), F.col("id"))
+    rows.write.parquet(f"{work}/in")
+    poison = {"on": True}
+
+    def sink(df):
+        if poison["on"] and df.where("c >= 400").count():
+            raise RuntimeError("sink failed")
+        df.write.mode("append").parquet(f"{work}/out")
+
+    routing.register_named(f"ranges-{work}", sink)
+    source = {"kind": "table", "path": f"{work}/in", "cursor_column": "c", "cursor_id": "ranges", "chunk_rows": 150}
+    target = {"kind": "named", "name": f"ranges-{work}"}
+    with pytest.raises(Exception, match="sink failed"):
+        copyjob.copy(spark, source, target, resume=True, state_dir=f"{work}/state")
+    first = spark.read.parquet(f"{work}/out")
+    top = first.agg(F.max("c")).first()[0]
+    # Whole cursor values only: every row of a written value is there, none above it.
+    assert first.count() == rows.where(F.col("c") <= top).count() and top < 400
+    poison["on"] = False
+    report = copyjob.copy(spark, source, target, resume=True, state_dir=f"{work}/state")
+    out = spark.read.parquet(f"{work}/out")
+    assert sorted(r.id for r in out.collect()) == list(range(1, 1001))
+    assert report.position == 699
