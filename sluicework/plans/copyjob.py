@@ -346,6 +346,9 @@ def _delivered(flow: DataFrame, filter: str | None, steps, write, batch: str, no
 def _copy_batch(spark, source, write, filter, steps, kind, store: PositionStore, report: CopyReport) -> CopyReport:
     begun = time.monotonic()
     rows, cursor, key = open_source(spark, source), source.get("cursor_column"), None
+    if source.get("provenance"):
+        # Where each row was read (file, block, row index), as reserved metadata that steps keep.
+        rows = file_sources.with_source_position(rows)
     measures = [F.count(F.lit(1)).alias("n")]
     if kind == "cursor":
         key = f"{source['kind']}:{source.get('cursor_id', report.identity)}"

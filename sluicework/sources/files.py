@@ -245,11 +245,17 @@ def read_objects(
 
 
 def with_source_position(df: DataFrame, metadata: str = "metadata") -> DataFrame:
-    """Add file name, block start and modification time as reserved metadata."""
+    """Add file name, block start, size and, where the format knows it (Parquet), the row's index in
+    its file as reserved ``src.*`` metadata. ``src.*`` keys that came with the input are removed
+    first: a position names where this read found the row, not where an earlier job did."""
     known = F.col(metadata) if metadata in df.columns else F.expr(EMPTY_METADATA)
-    position = F.create_map(
+    known = F.map_filter(known, lambda k, _: ~k.startswith("src."))
+    fields = df.select("_metadata.*").columns
+    pairs = [
         F.lit("src.file"), F.col("_metadata.file_name"),
         F.lit("src.block_start"), F.col("_metadata.file_block_start").cast("string"),
         F.lit("src.file_size"), F.col("_metadata.file_size").cast("string"),
-    )
-    return df.withColumn(metadata, F.map_concat(known, position))
+    ]
+    if "row_index" in fields:
+        pairs += [F.lit("src.row"), F.col("_metadata.row_index").cast("string")]
+    return df.withColumn(metadata, F.map_concat(known, F.create_map(*pairs)))

@@ -385,3 +385,16 @@ def test_quoted_csv_ragged_rows_headers_and_codecs(spark, work):
     os.makedirs(empty)
     open(f"{empty}/e.csv", "w").close()
     assert sources.read_csv(spark, empty).columns == []
+
+
+def test_source_positions_name_file_and_row(spark, work):
+    from sluicework.plans import copyjob
+
+    df = spark.range(50).select(F.col("id"), F.create_map(F.lit("src.row"), F.lit("stale"), F.lit("k"), F.lit("v")).alias("metadata"))
+    df.coalesce(1).write.parquet(f"{work}/in")
+    placed = sources.with_source_position(spark.read.parquet(f"{work}/in"))
+    got = [(r.id, r.metadata["src.row"], r.metadata["k"]) for r in placed.collect()]
+    assert sorted(got) == [(i, str(i), "v") for i in range(50)]
+    copyjob.copy(spark, {"kind": "table", "path": f"{work}/in", "provenance": True}, {"kind": "table", "path": f"{work}/out"})
+    out = spark.read.parquet(f"{work}/out")
+    assert sorted((r.id, r.metadata["src.row"]) for r in out.collect()) == [(i, str(i)) for i in range(50)]
