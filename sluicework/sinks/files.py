@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicework.functions.codecs import ALGORITHMS, encrypt_payload, pack
+from sluicework.functions.frames import FrameWriter
 from sluicework.functions.envelopes import envelope_json
 from sluicework.session import path_exists, qualified
 
@@ -89,8 +90,10 @@ def _write_frames(
                 continue
             if stream is None:
                 raw = remote.open_output_stream(f"{base}/_pending/{name}", compression=None)
-                stream = pa.CompressedOutputStream(raw, compression)
-                stream.write(header.encode())
+                # zstd: independent frames and their index, so that readers can split the file.
+                stream = FrameWriter(raw, header.encode()) if compression == "zstd" else pa.CompressedOutputStream(raw, compression)
+                if compression != "zstd":
+                    stream.write(header.encode())
             stream.write(("\n".join(batch.column(0).to_pylist()) + "\n").encode())
             rows += batch.num_rows
         if stream is not None:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sluicework.functions.codecs import MAGIC, decrypt_payload, unpack
 from sluicework.functions.envelopes import EMPTY_METADATA, ENVELOPE_JSON
+from sluicework.functions.frames import frame_index, frame_lines
 from sluicework.sources.csv_blocks import read_csv_blocks
 
 
@@ -87,8 +88,49 @@ def _stored_frames(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path")
 
 
+def _frame_pieces(frames: DataFrame) -> DataFrame:
+    """One row per indexed zstd frame of every file (offset, length), or one per unindexed file
+    (-1, -1); spread over the tasks so that a large file is read by many."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {"path": [], "offset": [], "length": []}
+            for path in batch.column("path").to_pylist():
+                filesystem, name = fs.FileSystem.from_uri(_uri(path))
+                with filesystem.open_input_file(name) as handle:
+                    index = frame_index(handle, handle.size())
+                    if index is not None and not handle.read_at(4, 0).startswith(MAGIC["zstd"]) and index:
+                        raise ValueError(f"{path} is not zstd data")
+                for offset, length in index or [(-1, -1)]:
+                    out["path"].append(path)
+                    out["offset"].append(offset)
+                    out["length"].append(length)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
+
+    listed = frames.mapInArrow(pieces, "path string, offset long, length long")
+    return listed.repartition(max(1, int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _lines_of_files(frames: DataFrame, compression: str, separator: str) -> DataFrame:
     mark = separator.encode()
+    if compression == "zstd":
+        def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for path, offset, length in zip(batch["path"], batch["offset"], batch["length"], strict=True):
+                    if offset < 0:
+                        with _opened(path, compression) as stream:
+                            for records in _split(stream, mark):
+                                yield pd.DataFrame({"payload": pd.Series(records, dtype=object)})
+                        continue
+                    filesystem, name = fs.FileSystem.from_uri(_uri(path))
+                    with filesystem.open_input_file(name) as handle:
+                        text = frame_lines(handle, int(offset), int(length))
+                    records = text.split(mark)
+                    if records and records[-1] == b"":
+                        records.pop()
+                    yield pd.DataFrame({"payload": pd.Series([r.decode("utf-8") for r in records], dtype=object)})
+
+        return _frame_pieces(frames).mapInPandas(framed, "payload string")
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -398,3 +398,32 @@ def test_source_positions_name_file_and_row(spark, work):
     copyjob.copy(spark, {"kind": "table", "path": f"{work}/in", "provenance": True}, {"kind": "table", "path": f"{work}/out"})
     out = spark.read.parquet(f"{work}/out")
     assert sorted((r.id, r.metadata["src.row"]) for r in out.collect()) == [(i, str(i)) for i in range(50)]
+
+
+def test_zstd_files_are_frames_with_an_index(spark, work):
+    import io
+
+    import pyarrow as pa
+
+    from sluicework.functions.frames import FrameWriter, frame_index, frame_lines
+
+    buffer = io.BytesIO()
+    writer = FrameWriter(buffer, b"head\n", frame_bytes=64)
+    for i in range(200):
+        writer.write(f"line {i}\n".encode())
+    writer.close()
+    data = buffer.getvalue()
+    index = frame_index(pa.BufferReader(data), len(data))
+    assert len(index) > 10
+    whole = b"".join(frame_lines(pa.BufferReader(data), o, n) for o, n in index)
+    assert whole == b"head\n" + b"".join(f"line {i}\n".encode() for i in range(200))
+    # Standard readers see one stream of lines and skip the index.
+    assert pa.CompressedInputStream(pa.BufferReader(data), "zstd").read() == whole
+    assert zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read() == whole
+    assert frame_index(pa.BufferReader(b"plain"), 5) is None
+    # A file of several frames is read by several tasks.
+    rows = spark.range(400_000).select(F.col("id"), F.lit("x" * 20).alias("t")).coalesce(1)
+    sinks.write_raw(rows, f"{work}/z", "zstd")
+    back = sources.read_raw(spark, f"{work}/z", compression="zstd")
+    assert sorted(json.loads(r.payload)["id"] for r in back.collect()) == list(range(400_000))
+    assert back.rdd.getNumPartitions() > 1
