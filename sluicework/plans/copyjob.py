@@ -226,10 +226,19 @@ def open_sink(sink: dict) -> Callable[[DataFrame, str], None]:
         branches = {name: open_sink(s) for name, s in sink["sinks"].items()}
         rule = {k: sink[k] for k in ("key", "cases", "when", "default") if k in sink}
 
-        def one_of(df: DataFrame, batch: str) -> None:
-            routed = routing.switch(df, **rule)
+        def one_of(df: DataFrame, batch: str) -> branch_sinks.BranchReport:
+            # Unrouted rows are counted on the way and reported; they are not copied.
+            counts = Observation()
+            routed = routing.switch(df, **rule).observe(
+                counts, F.count(F.lit(1)).alias("read"), F.count_if(F.col(routing.ROUTE).isNull()).alias("unrouted"),
+                *[F.count_if(F.col(routing.ROUTE) == name).alias(name) for name in branches],
+            )
             for name, one in branches.items():
                 one(routing.branch_rows(routed, name), batch)
+            if not branches:
+                file_sinks.drain(routed)
+            got = counts.get
+            return branch_sinks.BranchReport(read=got["read"], unrouted=got["unrouted"], per_branch={n: got[n] for n in branches})
 
         return one_of
     if kind == "named":

@@ -328,6 +328,10 @@ def test_fanout_and_switch_are_sinks(spark, work):
         {"kind": "raw", "path": f"{work}/all"}, {"kind": "switch", "when": [("id > 4", "large")], "default": "small", "sinks": parts}]}
     copyjob.copy(spark, {"kind": "table", "path": f"{work}/in"}, sink)
     assert [spark.read.text(f"{work}/{n}").count() for n in ("all", "small", "large")] == [3, 1, 2]
+    # A switch without default: rows that no branch takes are reported, not counted as copied.
+    alone = {"kind": "switch", "when": [("id > 4", "large")], "sinks": {"large": {"kind": "raw", "path": f"{work}/only"}}}
+    report = copyjob.copy(spark, {"kind": "table", "path": f"{work}/in"}, alone)
+    assert report.read == 3 and report.rows == 2 and any("unrouted 1" in n for n in report.notes)
 
 
 @pytest.mark.parametrize("source,resume", [({"kind": "folder"}, False), ({"kind": "growing_file"}, True), ({"kind": "parquet", "cursor_column": "s"}, True)])
