@@ -214,7 +214,7 @@ def test_exact_quantiles_by_selection_match_numpy(spark):
             assert got[(key, p)] == pytest.approx(float(np.quantile(values, p)), rel=1e-12, abs=1e-300), (key, p)
     plan = exact_quantiles(df, "x", (0.5,), ["k"])._jdf.queryExecution().executedPlan().toString()
     # Counts are shuffled, rows are neither range-sorted nor written.
-    assert "RangePartitioning" not in plan and "Scan ExistingRDD" not in plan
+    assert "RangePartitioning" not in plan and "Scan parquet" not in plan
 
 
 def test_cap_by_selection_matches_a_sort(spark):
