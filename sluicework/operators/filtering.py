@@ -38,6 +38,10 @@ def unresolved_fields(df: DataFrame, expression: str, metadata: str = "metadata"
         if field.startswith("meta."):
             return F.col(metadata)[field[5:]]
         if field.split(".")[0].lower() not in columns:
+            if "payload" in columns:
+                # A path into the JSON document of each row: present where the document holds it.
+                document = F.try_parse_json(F.col("payload").cast("string"))
+                return F.try_variant_get(document, f"$.{field}", "variant")
             return F.lit(None)
         return F.expr(field)
 

@@ -273,3 +273,11 @@ def test_identities_beyond_2_63_separators_and_absent_fields(spark):
     rows = spark.createDataFrame([('{"a":1}', 1), ('{"b":1}', 2), ('{"b":2}', 3), ('{"a":1}', 4)], "payload string, n long")
     kept = dedup.dedup(rows, dedup.key_template("${payload:a}"), ["n"])
     assert sorted(r.n for r in kept.collect()) == [1, 2, 3]
+
+
+def test_unresolved_fields_read_document_paths(spark):
+    from sluicework.operators.filtering import unresolved_fields
+
+    df = spark.createDataFrame([('{"a":1,"b":{"c":2}}',), ('{"a":null}',), ("[1]",), (None,)], "payload string")
+    got = [tuple(r) for r in unresolved_fields(df, "a > 0 and b.c == 2 and zz == 1").collect()]
+    assert got == [("a", 2, False), ("b.c", 1, False), ("zz", 0, True)]
