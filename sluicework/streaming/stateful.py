@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sluicework.operators.dedup import latest_per_key
@@ -32,6 +33,44 @@ def late_rows(query) -> int:
     return sum(per_batch.values())
 
 
+class LateRows(StreamingQueryListener):
+    """Rows dropped for being behind the watermark, added up per query from every batch's progress
+    as Spark reports it, so that the count covers the whole run, not only the reports Spark keeps.
+
+    ``spark.streams.addListener(counter)`` before starting; a batch reported twice counts once.
+    """
+
+    def __init__(self):
+        self.per_batch: dict[tuple[str, int], int] = {}
+        self.last: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        late = sum(o.numRowsDroppedByWatermark for o in progress.stateOperators)
+        key = (str(progress.id), progress.batchId)
+        self.per_batch[key] = max(late, self.per_batch.get(key, 0))
+        self.last[str(progress.id)] = max(progress.batchId, self.last.get(str(progress.id), -1))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def total(self, query, wait_s: float = 30.0) -> int:
+        """Late rows of ``query``, once its last batch's report has arrived (reports come late)."""
+        import time
+
+        last = (query.lastProgress or {}).get("batchId", -1)
+        until = time.monotonic() + wait_s
+        while self.last.get(str(query.id), -1) < last and time.monotonic() < until:
+            time.sleep(0.1)
+        return sum(n for (run, _), n in self.per_batch.items() if run == str(query.id))
+
+
 class Seen(StatefulProcessor):
     """The times of a key's accepted rows; rows less than ``ttl_us`` away from one are its duplicates.
 

@@ -226,8 +226,14 @@ def test_stream_dedup_and_lateness(spark, work):
     out, _ = _collect(stateful.dedup_stream(sdf, "id", "ts", "20 seconds").select("id"), work, "d")
     assert sorted(r.id for r in out.collect()) == [1, 2, 3, 4, 5]
     timed = stateful.with_lateness(sdf, "ts", "20 seconds").groupBy(F.window("ts", "10 seconds")).count()
-    _, query = _collect(timed.select("count"), work, "w")
-    assert stateful.late_rows(query) == 1
+    counter = stateful.LateRows()
+    spark.streams.addListener(counter)
+    try:
+        _, query = _collect(timed.select("count"), work, "w")
+        assert stateful.late_rows(query) == 1
+        assert counter.total(query) == 1
+    finally:
+        spark.streams.removeListener(counter)
 
 
 def test_stream_dedup_of_rows_out_of_order(spark, work):
