@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluicework.operators.filtering import matches
 
@@ -160,3 +161,31 @@ def enrich(
             yield fn(batch)
 
     return df.mapInPandas(run, schema)
+
+
+def enrich_rows(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], metadata: str = "metadata", prefix: str = "enrich.") -> DataFrame:
+    """Call a batch function and keep the rows: each column it returns (one row out per row in, in
+    order; response, status, ...) is added as text to the row's metadata under ``prefix``, so the
+    input columns stay and routes can switch on ``metadata['enrich.status']``.
+
+    A function that returns another number of rows than it was given fails the job.
+    """
+    out_schema = T.StructType([f for f in df.schema if f.name != metadata] + [T.StructField(metadata, T.MapType(T.StringType(), T.StringType()))])
+    has_metadata = metadata in df.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            answered = fn(batch)
+            if len(answered) != len(batch):
+                raise ValueError(f"the enrichment returned {len(answered)} rows for {len(batch)}")
+            answers = answered.reset_index(drop=True).astype(object).where(answered.notna(), None)
+            known = batch[metadata].tolist() if has_metadata else [None] * len(batch)
+            merged = []
+            for i, before in enumerate(known):
+                row = dict(before or {})
+                row.update({f"{prefix}{c}": (None if answers.at[i, c] is None else str(answers.at[i, c])) for c in answers.columns})
+                merged.append(row)
+            kept = batch.drop(columns=[metadata]) if has_metadata else batch
+            yield kept.reset_index(drop=True).assign(**{metadata: merged})
+
+    return df.mapInPandas(run, out_schema)

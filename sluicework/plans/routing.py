@@ -144,6 +144,18 @@ def enrich_and_route(spark, sf):
     return routed.select("event_id", "route")
 
 
+@query(
+    "enrich_keep_rows",
+    """SELECT event_id, value, CASE WHEN value > 20 THEN 'found' ELSE 'missing' END AS route,
+              CASE WHEN value > 20 THEN '200' ELSE '404' END AS status FROM events""",
+)
+def enrich_keep_rows(spark, sf):
+    """The answer of a batch call kept as metadata beside the input columns, and routed on."""
+    answered = routing.enrich_rows(table(spark, sf, "events").select("event_id", "value"), lambda b: _score(b).drop(columns=["event_id"]))
+    routed = routing.switch_value(answered, F.col("metadata")["enrich.status"], {"200": "found"}, "missing")
+    return routed.select("event_id", "value", "route", F.col("metadata")["enrich.status"].alias("status"))
+
+
 def _keep_large(batch: pd.DataFrame) -> pd.DataFrame:
     return batch.loc[batch["value"] > 10, ["event_id", "value"]].assign(value=lambda d: d["value"] * 2)
 

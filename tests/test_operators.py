@@ -281,3 +281,16 @@ def test_unresolved_fields_read_document_paths(spark):
     df = spark.createDataFrame([('{"a":1,"b":{"c":2}}',), ('{"a":null}',), ("[1]",), (None,)], "payload string")
     got = [tuple(r) for r in unresolved_fields(df, "a > 0 and b.c == 2 and zz == 1").collect()]
     assert got == [("a", 2, False), ("b.c", 1, False), ("zz", 0, True)]
+
+
+def test_enrich_rows_keeps_columns_and_metadata(spark):
+    import pandas as pd
+
+    from sluicework.operators import routing
+
+    df = spark.createDataFrame([(1, 5.0, {"k": "v"}), (2, 30.0, None)], "id long, value double, metadata map<string,string>")
+    answered = routing.enrich_rows(df, lambda b: pd.DataFrame({"status": (b["value"] > 20).map({True: "200", False: "404"}), "response": None}))
+    got = {r.id: (r.value, dict(r.metadata)) for r in answered.collect()}
+    assert got == {1: (5.0, {"k": "v", "enrich.status": "404", "enrich.response": None}), 2: (30.0, {"enrich.status": "200", "enrich.response": None})}
+    with pytest.raises(Exception, match="returned 0 rows"):
+        routing.enrich_rows(df, lambda b: pd.DataFrame({"status": []})).collect()
