@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
 import re
 import uuid
 from collections.abc import Iterator
@@ -21,6 +22,8 @@ from sluicework.session import path_exists, qualified
 # File name endings per format and codec.
 FORMAT_EXTENSION = {"raw": "jsonl", "json": "jsonl", "normal": "jsonl", "text": "jsonl", "csv": "csv"}
 CODEC_EXTENSION = {"none": "", "gzip": ".gz", "lz4": ".lz4", "zstd": ".zst"}
+#: Files published at once by the driver.
+PUBLISHERS = 16
 
 
 def object_extension(
@@ -101,9 +104,11 @@ def _write_frames(
             raw.close()
             yield pa.RecordBatch.from_pydict({"name": [name], "rows": [rows]})
 
-    # One row per task comes back: the names of the files to publish.
-    for done in lines.select("value").mapInArrow(store, "name string, rows long").collect():
-        filesystem.move(f"{root}/_pending/{done['name']}", f"{root}/{done['name']}")
+    # One row per task comes back: the names of the files to publish, moved by several threads
+    # at once (on object stores a move is a copy).
+    done = [d["name"] for d in lines.select("value").mapInArrow(store, "name string, rows long").collect()]
+    with ThreadPoolExecutor(max_workers=PUBLISHERS) as pool:
+        list(pool.map(lambda name: filesystem.move(f"{root}/_pending/{name}", f"{root}/{name}"), done))
     if mode == "overwrite":
         for name in earlier:
             filesystem.delete_file(name)
