@@ -19,7 +19,8 @@ Defined cases: vectors that are null, of another length than ``dim``, with a nul
 component, or with a component of magnitude 2^24 or more after scaling take no part, nor do rows
 without an id; repeated rows are separate vectors; of equal start hashes the smaller vector comes
 first; fewer vectors than k give that many centroids; an empty table gives no rows; an empty
-cluster keeps its centroid; sums are exact while they fit a long (Spark raises otherwise).
+cluster keeps its centroid; sums are exact while they fit a long (Spark raises otherwise); other
+columns of the input, whatever their names, are not carried.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ Defined cases: rows without an id or label, with a null vector or a null or non-
 take no part; rows are compared with rows of their vector's length only; an anchor never meets
 rows of its own id; of repeated anchor ids the row with the smallest (label, vector) asks; repeated
 candidate rows all count; ties go to the smaller id; empty tables give no rows; a positive score
-below zero has an empty window (50 * s <= 95 * s fails), zero a window of exactly zero.
+below zero has an empty window (50 * s <= 95 * s fails), zero a window of exactly zero; other
+columns of the input, whatever their names, are not carried.
 """
 
 from __future__ import annotations

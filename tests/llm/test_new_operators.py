@@ -188,3 +188,22 @@ def test_fit_lowers_the_loss(seed):
     before, _ = page_text.BiLSTM.initial().gradients(x, m, y)
     after, _ = page_text.fit(described, epochs=8).gradients(x, m, y)
     assert after < before / 4
+
+
+def test_extra_and_clashing_columns_are_not_carried(spark):
+    rows = random_rows(n=120, dim=4, labels=3)
+    clashing = vectors(spark, rows).select(
+        "*", F.lit(1).alias("cluster"), F.lit(2).alias("distance"), F.lit("x").alias("_bucket"), F.lit(3).alias("anchor_id"), F.lit(4).alias("v"),
+    )
+    got = clustering.cluster(clustering.kept(clashing, dim=4), k=4, dim=4)
+    assert sorted(tuple(r) for r in got.collect()) == plain_lloyd(rows, k=4, dim=4)
+    mined = hard_negatives.mine(hard_negatives.labelled(clashing), F.col("vec_id") % 50 == 0)
+    assert sorted(tuple(r) for r in mined.collect()) == plain_negatives(rows)
+    pages = spark.createDataFrame(
+        [(1, "u", page("<article><p>kept text.</p></article><nav>menu</nav>"), "old", 5), (None, None, None, "x", 6)],
+        "page_id long, url string, html string, text string, n_chars long",
+    )
+    model = page_text.fit([(page_text.features(page_text.blocks_of(site(i, random.Random(i)))).astype(float),
+                            page_text.teacher(page_text.blocks_of(site(i, random.Random(i))))) for i in range(60)], epochs=6)
+    out = {r.page_id: (r.text, r.n_chars) for r in page_text.extract(pages, model).collect()}
+    assert out[None] == ("", 0) and set(out) == {1, None}
