@@ -14,12 +14,25 @@ from sluicework.llm.frames import staging_path
 #: No SQL: training, tokenizing and packing cannot be written in it; tests compare with plain versions.
 ORACLE_SQL = None
 
+#: The input row travels through an operator as one struct of this name, so that no input column,
+#: whatever its name, meets a column the operator adds.
+ROW = "__input_row"
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id and text for the operator, the whole input row beside them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW), F.col("doc_id"), F.col("text"))
+
+
+def _unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*[F.col(ROW)[c].alias(c) for c in docs.columns])
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose grade is likely the best one; toxic ones and junk go."""
     model = quality.train(docs, quality.ratings_of(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    graded = quality.grade(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns}).withColumn("text", F.col("own_text")), model)
-    return graded.where(quality.is_accepted()).select(*[F.col(f"own_{c}").alias(c) for c in docs.columns])
+    graded = quality.grade(_packed(docs), model)
+    return _unpacked(graded.where(quality.is_accepted()), docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,19 +49,18 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 words or more that occurred earlier; others as they were."""
-    own = [f"own_{c}" for c in docs.columns]
-    renamed = docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns})
-    left = substrings.remove_repeats(renamed.withColumns({"doc_id": F.col("own_doc_id"), "text": F.col("own_text")}), window=50)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("own_text"))
-    counted = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("own_n_chars"))}
-    return left.select(*[counted.get(c[4:], F.col(c)).alias(c[4:]) for c in own])
+    left = substrings.remove_repeats(_packed(docs), window=50)
+    changed = F.col("n_removed") > 0
+    counted = {"text": F.when(changed, F.col("kept")).otherwise(F.col(ROW)["text"])}
+    if "n_chars" in docs.columns:
+        counted["n_chars"] = F.when(changed, F.length("kept").cast("long")).otherwise(F.col(ROW)["n_chars"])
+    return left.select(*[counted.get(c, F.col(ROW)[c]).alias(c) for c in docs.columns])
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth are passages of the benchmark."""
-    renamed = docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns}).withColumn("text", F.col("own_text"))
-    found = decontamination.overlaps(renamed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~decontamination.is_contaminated()).select(*[F.col(f"own_{c}").alias(c) for c in docs.columns])
+    found = decontamination.overlaps(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _unpacked(found.where(~decontamination.is_contaminated()), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

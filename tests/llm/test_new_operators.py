@@ -207,3 +207,20 @@ def test_extra_and_clashing_columns_are_not_carried(spark):
                             page_text.teacher(page_text.blocks_of(site(i, random.Random(i))))) for i in range(60)], epochs=6)
     out = {r.page_id: (r.text, r.n_chars) for r in page_text.extract(pages, model).collect()}
     assert out[None] == ("", 0) and set(out) == {1, None}
+
+
+def test_pipeline_stages_take_clashing_columns_nulls_and_empty_texts(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = spark.createDataFrame([(None, None, None, None, None), (900001, "", "en", "s", 0), (900002, None, "en", "s", None)],
+                                  "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(extra).select(
+        "*", F.lit("x").alias("own_text"), F.lit(1).alias("kept"), F.lit(2).alias("n_removed"), F.lit(False).alias("accepted"),
+        F.lit("y").alias("_doc"), F.lit(3).alias("_hash"), F.lit(4).alias("__input_row_x"),
+    )
+    total = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert out.count() <= total, name
