@@ -8,7 +8,8 @@ punctuation, place in the page). A bidirectional LSTM reads the blocks of a page
 every block main text or not, so that the decision for a block sees the whole page on both sides.
 
 The model is trained here, on a bounded sample of pages (``TRAIN_PAGES`` pages of at most
-``TRAIN_BYTES`` of html, smallest hash of page_id first). Its targets come from the structure of
+``TRAIN_BYTES`` of html, smallest hash of page_id first, and of those the first up to
+``TRAIN_BLOCKS`` blocks in all). Its targets come from the structure of
 the sample pages (``teacher``): text inside an article or main element and outside navigation,
 headers, footers, asides, forms and elements whose class or id names adverts, notices, comments,
 menus or sidebars. The LSTM learns to label from paths, words and neighbours, and labels every page
@@ -29,10 +30,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 TRAIN_PAGES = 2000
 TRAIN_BYTES = 1 << 18
+#: Blocks of the training sample that reach the driver, at most (about 800 bytes each).
+TRAIN_BLOCKS = 100_000
 PATH_BUCKETS = 128
 WORD_BUCKETS = 64
 NUMBERS = 8
@@ -415,21 +418,29 @@ def training_sample(pages: DataFrame, size: int = TRAIN_PAGES, most_bytes: int =
     return small.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(size)
 
 
-def train(pages: DataFrame, size: int = TRAIN_PAGES, most_bytes: int = TRAIN_BYTES) -> BiLSTM:
-    """Fit the labeller; features and targets are made in tasks, only they reach the driver."""
+def train(pages: DataFrame, size: int = TRAIN_PAGES, most_bytes: int = TRAIN_BYTES, most_blocks: int = TRAIN_BLOCKS) -> BiLSTM:
+    """Fit the labeller; features and targets are made in tasks, and only those of the sample's
+    first pages up to ``most_blocks`` blocks in all reach the driver."""
 
     def describe(batches):
         for part in batches:
-            xs, ys = [], []
+            xs, ys, ns = [], [], []
             for html in part.column("html").to_pylist():
                 found = blocks_of(html)
                 xs.append(features(found).tobytes())
                 ys.append(teacher(found).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["x", "y"])
-
-    rows = training_sample(pages, size, most_bytes).select("html").mapInArrow(describe, "x binary, y binary").collect()
-    described = [(np.frombuffer(r.x, np.float32).reshape(-1, FEATURES).astype(np.float64), np.frombuffer(r.y, np.float32).astype(np.float64)) for r in rows]
-    return fit(described)
+                ns.append(len(found))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("rank"), pa.array(ns, pa.int64()), pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["rank", "n", "x", "y"]
+            )
+
+    sample = training_sample(pages, size, most_bytes).select(F.xxhash64("page_id", "html").alias("rank"), "html")
+    described = sample.mapInArrow(describe, "rank long, n long, x binary, y binary")
+    # The sample is at most ``size`` rows, so one ordered window over it is small.
+    running = F.sum("n").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    rows = described.withColumn("_blocks", running).where(F.col("_blocks") <= most_blocks).select("x", "y").collect()
+    found = [(np.frombuffer(r.x, np.float32).reshape(-1, FEATURES).astype(np.float64), np.frombuffer(r.y, np.float32).astype(np.float64)) for r in rows]
+    return fit(found)
 
 
 def extract(pages: DataFrame, model: BiLSTM) -> DataFrame:
