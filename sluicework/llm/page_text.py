@@ -413,9 +413,14 @@ def fit(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, batch: int
 
 
 def training_sample(pages: DataFrame, size: int = TRAIN_PAGES, most_bytes: int = TRAIN_BYTES) -> DataFrame:
-    """The bounded sample the model is fit to: pages of at most ``most_bytes``, smallest hash first."""
+    """The bounded sample the model is fit to: distinct pages of at most ``most_bytes``, smallest
+    hash of (page_id, html) first. Only ids and hashes are ranked; the chosen pages are fetched by a
+    join with those ``size`` keys, and copies of one page are taken once."""
     small = pages.where(F.col("html").isNotNull() & (F.length("html") <= most_bytes))
-    return small.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(size)
+    keyed = small.select("page_id", "html", F.xxhash64("page_id", "html").alias("_h"))
+    chosen = keyed.select("_h", "page_id").distinct().orderBy("_h", "page_id").limit(size)
+    picked = keyed.join(F.broadcast(chosen), ["_h", "page_id"], "left_semi")
+    return picked.dropDuplicates(["_h", "page_id", "html"]).select("page_id", "html", F.col("_h").alias("rank"))
 
 
 def train(pages: DataFrame, size: int = TRAIN_PAGES, most_bytes: int = TRAIN_BYTES, most_blocks: int = TRAIN_BLOCKS) -> BiLSTM:
@@ -434,7 +439,7 @@ def train(pages: DataFrame, size: int = TRAIN_PAGES, most_bytes: int = TRAIN_BYT
                 [part.column("rank"), pa.array(ns, pa.int64()), pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["rank", "n", "x", "y"]
             )
 
-    sample = training_sample(pages, size, most_bytes).select(F.xxhash64("page_id", "html").alias("rank"), "html")
+    sample = training_sample(pages, size, most_bytes).select("rank", "html")
     described = sample.mapInArrow(describe, "rank long, n long, x binary, y binary")
     # The sample is at most ``size`` rows, so one ordered window over it is small.
     running = F.sum("n").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
