@@ -378,3 +378,26 @@ def test_copy_in_cursor_ranges_resumes_at_the_failed_range(spark, work):
     out = spark.read.parquet(f"{work}/out")
     assert sorted(r.id for r in out.collect()) == list(range(1, 1001))
     assert report.position == 699
+
+
+def test_copy_in_ranges_takes_many_ranges_a_write(spark, work, monkeypatch):
+    """Writes grow with the logarithm of the ranges; a failing range stands alone all the same."""
+    spark.range(1, 1001).select(F.col("id").alias("c"), F.lit("x").alias("t")).write.parquet(f"{work}/in")
+    source = {"kind": "table", "path": f"{work}/in", "cursor_column": "c", "cursor_id": "waves", "chunk_rows": 20}
+    target = {"kind": "table", "path": f"{work}/out"}
+    writes, append = [], copyjob.file_sinks.append_table
+    monkeypatch.setattr(copyjob.file_sinks, "append_table", lambda df, path: (writes.append(path), append(df, path)))
+    bad = F.when(F.col("c") == 555, F.raise_error(F.lit("bad row"))).otherwise(F.col("t"))
+    with pytest.raises(Exception, match="bad row"):
+        copyjob.copy(spark, source, target, steps=[lambda df: df.withColumn("t", bad)], resume=True, state_dir=f"{work}/state")
+    assert sorted(r.c for r in spark.read.parquet(f"{work}/out").collect()) == list(range(1, 541))
+    report = copyjob.copy(spark, source, target, resume=True, state_dir=f"{work}/state")
+    assert sorted(r.c for r in spark.read.parquet(f"{work}/out").collect()) == list(range(1, 1001))
+    assert (report.position, report.rows) == (1000, 460) and len(writes) < 25
+    stored = {int(r.value) for r in spark.read.parquet(f"{work}/state/positions").collect()}
+    assert stored == set(range(20, 1001, 20))
+    # A step that needs the rows of its range keeps seeing one range at a time.
+    folded = {"kind": "table", "path": f"{work}/folded"}
+    copyjob.copy(spark, {**source, "cursor_id": "folded", "chunk_rows": 250}, folded, steps=[lambda df: df.groupBy("t").agg(F.max("c").alias("c"))],
+                 resume=True, state_dir=f"{work}/state")
+    assert sorted(r.c for r in spark.read.parquet(f"{work}/folded").collect()) == [250, 500, 750, 1000]
