@@ -71,10 +71,15 @@ class LateRows(StreamingQueryListener):
         return sum(n for (run, _), n in self.per_batch.items() if run == str(query.id))
 
 
+#: Groups of keys that share a call and a state map: a call costs far more than a row.
+KEY_GROUPS = 4096
+
+
 class Seen(StatefulProcessor):
-    """The times of a key's accepted rows; rows less than ``ttl_us`` away from one are its duplicates.
+    """The times of the accepted rows of a group of keys; rows less than ``ttl_us`` away from one of
+    their own key are its duplicates.
 
-    Accepted times lie at least ``ttl_us`` apart, so a slot of that width holds one at most.
+    Accepted times of a key lie at least ``ttl_us`` apart, so a slot of that width holds one at most.
     """
 
     def __init__(self, ttl_us: int, columns: list[str], keep_ms: int | None):
@@ -85,22 +90,24 @@ class Seen(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows), ignore_index=True)
-        times = arrived["at"].tolist()
-        known: dict[int, int | None] = {}
+        times, ids = arrived["at"].tolist(), arrived["id"].tolist()
+        # A group that holds nothing yet need not be asked for each of its keys.
+        before = self.slots.exists()
+        known: dict[tuple[str, int], int | None] = {}
 
-        def at(slot: int) -> int | None:
-            if slot not in known:
-                name = (str(slot),)
-                known[slot] = self.slots.getValue(name)[0] if self.slots.containsKey(name) else None
-            return known[slot]
+        def at(own: str, slot: int) -> int | None:
+            if (own, slot) not in known:
+                name = (f"{own}:{slot}",)
+                known[own, slot] = self.slots.getValue(name)[0] if before and self.slots.containsKey(name) else None
+            return known[own, slot]
 
         kept = []
         for i in sorted(range(len(times)), key=times.__getitem__):
-            own = times[i] // max(1, self.ttl_us)
-            near = [at(slot) for slot in (own - 1, own, own + 1)]
+            slot = times[i] // max(1, self.ttl_us)
+            near = [at(ids[i], s) for s in (slot - 1, slot, slot + 1)]
             if all(t is None or abs(times[i] - t) >= self.ttl_us for t in near):
-                known[own] = times[i]
-                self.slots.updateValue((str(own),), (times[i],))
+                known[ids[i], slot] = times[i]
+                self.slots.updateValue((f"{ids[i]}:{slot}",), (times[i],))
                 kept.append(i)
         if kept:
             yield arrived.iloc[sorted(kept)][self.columns]
@@ -126,9 +133,13 @@ def dedup_stream(
     keep_ms = micros[1] // 1000 if micros[1] else None
     # Names that are no identifiers would not reach the state's rows, so columns go by number.
     numbered = [f"c{i}" for i in range(len(sdf.columns))]
-    timed = sdf.select("*", order_value(sdf, ts)).toDF(*numbered, "at")
+    # A key by two hashes of 64 bits of its parts, nulls told apart; a group by a few bits of another.
+    own = [part for k in keys for part in (F.col(f"`{k}`").isNull(), F.col(f"`{k}`"))]
+    name = F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *own)), 16, "0") for seed in (1, 2)])
+    group = F.pmod(F.xxhash64(*own), F.lit(KEY_GROUPS)).cast("int")
+    timed = sdf.select("*", order_value(sdf, ts), name, group).toDF(*numbered, "at", "id", "key_group")
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(numbered, sdf.schema, strict=True))
-    kept = timed.groupBy(*[numbered[sdf.columns.index(k)] for k in keys]).transformWithStateInPandas(
+    kept = timed.groupBy("key_group").transformWithStateInPandas(
         Seen(micros[0], numbered, keep_ms), schema, "Append", "ProcessingTime" if keep_ms else "None"
     )
     return kept.toDF(*sdf.columns)

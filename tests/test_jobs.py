@@ -4,6 +4,7 @@ import json
 import os
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -401,3 +402,39 @@ def test_copy_in_ranges_takes_many_ranges_a_write(spark, work, monkeypatch):
     copyjob.copy(spark, {**source, "cursor_id": "folded", "chunk_rows": 250}, folded, steps=[lambda df: df.groupBy("t").agg(F.max("c").alias("c"))],
                  resume=True, state_dir=f"{work}/state")
     assert sorted(r.c for r in spark.read.parquet(f"{work}/folded").collect()) == [250, 500, 750, 1000]
+
+
+def test_stream_dedup_takes_many_keys_a_call(spark, work, monkeypatch):
+    """Keys share calls and a state map; keys that differ by a null's place or in later batches stay apart."""
+    from sluicework.streaming.stateful import Seen
+
+    asked = []
+
+    class Map:
+        def __init__(self):
+            self.held = {}
+
+        def exists(self):
+            return bool(self.held)
+
+        def containsKey(self, name):
+            asked.append(name)
+            return name in self.held
+
+        def getValue(self, name):
+            return self.held[name]
+
+        def updateValue(self, name, value):
+            self.held[name] = value
+
+    seen = Seen(20, ["c0"], None)
+    seen.slots = Map()
+    first = pd.DataFrame({"c0": [1, 1, 2], "at": [0, 5, 5], "id": ["a", "a", "b"]})
+    assert [r for f in seen.handleInputRows(None, [first], None) for r in f["c0"]] == [1, 2] and not asked
+    later = pd.DataFrame({"c0": [1, 2, 3], "at": [25, 24, 5], "id": ["a", "b", "c"]})
+    assert [r for f in seen.handleInputRows(None, [later], None) for r in f["c0"]] == [1, 3] and asked
+    monkeypatch.setattr(stateful, "KEY_GROUPS", 1)
+    sdf = _stream(spark, work, "m", "a string, b string, s long", [("x", None, 1), (None, "x", 1), ("x", None, 2)], [(None, "x", 5), ("y", None, 5), (None, None, 5)])
+    sdf = sdf.withColumn("ts", F.timestamp_seconds("s"))
+    out, _ = _collect(stateful.dedup_stream(sdf, ["a", "b"], "ts", "20 seconds").select("a", "b", "s"), work, "m")
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [("x", None, 1), (None, "x", 1), ("y", None, 5), (None, None, 5)]))
