@@ -145,6 +145,10 @@ def dedup_stream(
     return kept.toDF(*sdf.columns)
 
 
+#: Groups of one key that go out in one frame.
+GROUPS_A_FRAME = 4096
+
+
 class Correlator(StatefulProcessor):
     """Members of one key until the group is complete or its time has passed."""
 
@@ -164,10 +168,11 @@ class Correlator(StatefulProcessor):
         return len(members) >= self.expected_count
 
     @staticmethod
-    def _row(key, members, complete) -> pd.DataFrame:
+    def _frame(key, groups) -> pd.DataFrame:
+        """Groups (members, complete) as rows; one frame for many, since a frame costs far more than a row."""
         return pd.DataFrame({
-            "key": [key[0]], "complete": [complete], "n": [len(members)],
-            "branches": [[m[1] for m in members]], "docs": [[m[2] for m in members]],
+            "key": [key[0]] * len(groups), "complete": [c for _, c in groups], "n": [len(m) for m, _ in groups],
+            "branches": [[b for _, b, _ in m] for m, _ in groups], "docs": [[d for _, _, d in m] for m, _ in groups],
         })
 
     def _stop_timer(self) -> None:
@@ -175,12 +180,17 @@ class Correlator(StatefulProcessor):
             self.handle.deleteTimer(at)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        members = [tuple(m) for m in self.members.get()] if self.members.exists() else []
+        held = self.members.exists()
+        members = [tuple(m) for m in self.members.get()] if held else []
         arrived = pd.concat(list(rows)).sort_values("ts_ms", kind="stable")
+        closed: list[tuple[list, bool]] = []
         for ts, branch, doc in zip(arrived["ts_ms"], arrived["branch"], arrived["doc"]):
+            if len(closed) >= GROUPS_A_FRAME:
+                yield self._frame(key, closed)
+                closed = []
             if members and self.timeout_ms is not None and ts >= members[0][0] + self.timeout_ms:
                 if self.fire:
-                    yield self._row(key, members, False)
+                    closed.append((members, False))
                 members = []
             # Every member carries the time at which its group opened.
             opened = members[0][0] if members else int(ts)
@@ -188,12 +198,15 @@ class Correlator(StatefulProcessor):
                 members = [m for m in members if m[1] != branch]
             members.append((opened, branch, doc))
             if self._complete(members):
-                yield self._row(key, members, True)
+                closed.append((members, True))
                 members = []
+        if closed:
+            yield self._frame(key, closed)
         if self.timeout_ms is not None:
             self._stop_timer()
         if not members:
-            self.members.clear()
+            if held:
+                self.members.clear()
             return
         self.members.put(members)
         if self.timeout_ms is not None:
@@ -203,7 +216,7 @@ class Correlator(StatefulProcessor):
         members = [tuple(m) for m in self.members.get()] if self.members.exists() else []
         self.members.clear()
         if members and self.fire:
-            yield self._row(key, members, False)
+            yield self._frame(key, [(members, False)])
 
     def close(self) -> None:
         pass

@@ -438,3 +438,25 @@ def test_stream_dedup_takes_many_keys_a_call(spark, work, monkeypatch):
     sdf = sdf.withColumn("ts", F.timestamp_seconds("s"))
     out, _ = _collect(stateful.dedup_stream(sdf, ["a", "b"], "ts", "20 seconds").select("a", "b", "s"), work, "m")
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [("x", None, 1), (None, "x", 1), ("y", None, 5), (None, None, 5)]))
+
+
+def test_stream_correlation_gives_one_frame_for_many_groups(monkeypatch):
+    monkeypatch.setattr(stateful, "GROUPS_A_FRAME", 100)
+    one = stateful.Correlator(3, (), False, None, True)
+
+    class Members(list):
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            return iter(self)
+
+        def put(self, rows):
+            self[:] = rows
+
+    one.members = Members()
+    rows = pd.DataFrame({"ts_ms": range(1000), "branch": None, "doc": [str(i) for i in range(1000)]})
+    made = list(one.handleInputRows((7,), [rows], None))
+    docs = [d for frame in made for d in frame["docs"]]
+    assert docs == [[str(i), str(i + 1), str(i + 2)] for i in range(0, 999, 3)] and len(made) == 4
+    assert [m[2] for m in one.members] == ["999"]
