@@ -427,3 +427,26 @@ def test_zstd_files_are_frames_with_an_index(spark, work):
     back = sources.read_raw(spark, f"{work}/z", compression="zstd")
     assert sorted(json.loads(r.payload)["id"] for r in back.collect()) == list(range(400_000))
     assert back.rdd.getNumPartitions() > 1
+
+
+def test_payloads_reach_python_in_bounded_batches(spark, work):
+    """A worker's memory follows a batch's bytes, not the rows of a partition."""
+    import pyarrow as pa
+
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, str(1 << 30))
+        rows = spark.range(40).select("id", F.when(F.col("id") != 7, F.expr("repeat(cast(id as string), 400000)")).alias("payload"))
+        back = codecs.decompress_payload(codecs.compress_payload(rows.coalesce(1), "lz4"), "lz4")
+        assert int(spark.conf.get(setting)) == codecs.BATCH_BYTES
+        got = {r.id: r.n for r in back.select("id", F.length("payload").alias("n")).collect()}
+        assert got == {i: None if i == 7 else 400000 * len(str(i)) for i in range(40)}
+        sizes = [sum(len(v.as_py() or b"") for v in a) for a in codecs._mapped(lambda b: b * 3, iter([pa.array([b"x" * (1 << 20), None] * 20)]))]
+        assert sum(sizes) == 60 << 20 and max(sizes) <= codecs.BATCH_BYTES + (3 << 20)
+        spark.conf.set(setting, "1000")
+        codecs.bounded_batches(spark)
+        assert spark.conf.get(setting) == "1000"
+    finally:
+        spark.conf.set(setting, before)
