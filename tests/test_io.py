@@ -450,3 +450,13 @@ def test_payloads_reach_python_in_bounded_batches(spark, work):
         assert spark.conf.get(setting) == "1000"
     finally:
         spark.conf.set(setting, before)
+
+
+def test_sealed_frames_are_bounded(spark, work):
+    key = bytes(range(32))
+    rows = spark.range(0, 60, 1, 1).select(F.expr("repeat(cast(id % 10 as string), 200000)").alias("t"), "id")
+    sinks.write_encrypted(rows, f"{work}/sealed", "k", key, "none")
+    held = spark.read.parquet(f"{work}/sealed").select(F.length("content").alias("n")).collect()
+    assert len(held) >= 6 and max(r.n for r in held) < (2 << 20) + 300000
+    back = sources.read_encrypted(spark, f"{work}/sealed", {"k": key}, "none")
+    assert sorted(int(r.id) for r in back.select(F.get_json_object("payload", "$.id").alias("id")).collect()) == list(range(60))
