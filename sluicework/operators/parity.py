@@ -86,13 +86,18 @@ def _differences(left: DataFrame, right: DataFrame, weight: int = 1) -> DataFram
 
 #: Buckets of the first comparison: sums of digests per bucket and side.
 BUCKETS = 4096
+#: Rows whose texts are longer on average are counted by digest, and texts fetched for those that differ.
+WIDE = 256
 
 
 def _sketch(records: DataFrame) -> DataFrame:
-    """Per bucket: records, and the sums of two 64-bit digests (as exact decimals)."""
-    unsigned = lambda h: F.when(h < 0, h.cast("decimal(20,0)") + F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(h.cast("decimal(20,0)"))
+    """Per bucket: records, their texts' length, and the sums of the halves of two 64-bit digests."""
+    halves = {
+        f"s{i}{name}": F.sum(half) for i in (1, 2)
+        for name, half in (("a", F.col(f"h{i}").bitwiseAND(F.lit(0xFFFFFFFF))), ("b", F.shiftrightunsigned(f"h{i}", 32)))
+    }
     return records.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(unsigned(F.col("h1"))).alias("s1"), F.sum(unsigned(F.col("h2"))).alias("s2"),
+        F.count(F.lit(1)).alias("n"), F.sum("width").alias("width"), *[total.alias(c) for c, total in halves.items()],
     )
 
 
@@ -104,24 +109,34 @@ def parity(left: DataFrame, right: DataFrame, column: str | None = None, numeric
     differs from an empty one.
     First each side is summed per bucket of records (count and two 64-bit digests): only
     ``buckets`` rows a task are shuffled, and equal outputs stop there. Records are counted only
-    in buckets whose sums differ, and their texts are fetched by the few digests that did.
+    in buckets whose sums differ: short rows by their text, in one shuffle; long ones and those of
+    a ``column`` by digest, and their texts are fetched by the digests that did.
     """
     texts = [df.select(record_form(df, column, numeric).alias("text"), *([F.col(column).alias("own")] if column else [])) for df in (left, right)]
-    keyed = [t.select(F.md5(comparable(F.col("own"), numeric) if column else F.col("text")).alias("record"), "text") for t in texts]
+    keyed = [t.select((F.md5(comparable(F.col("own"), numeric)) if column else F.col("text")).alias("record"), "text") for t in texts]
     digests = [
-        k.select("record", F.pmod(F.xxhash64("record"), F.lit(buckets)).alias("bucket"),
+        k.select("record", F.coalesce(F.length("text"), F.lit(0)).alias("width"),
                  F.xxhash64(F.lit(1), "record").alias("h1"), F.xxhash64(F.lit(2), "record").alias("h2"))
+        .withColumn("bucket", F.pmod("h1", F.lit(buckets)))
         for k in keyed
     ]
     sketches = [_sketch(d) for d in digests]
     joined = sketches[0].alias("a").join(sketches[1].alias("b"), "bucket", "full_outer")
-    same = (F.col("a.n") == F.col("b.n")) & (F.col("a.s1") == F.col("b.s1")) & (F.col("a.s2") == F.col("b.s2"))
-    differing = cut_lineage(joined.where(~F.coalesce(same, F.lit(False))).select("bucket"))
-    empty = digests[0].select("record").where(F.lit(False))
-    if differing.isEmpty():
+    same = reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("n", "s1a", "s1b", "s2a", "s2b")])
+    size = lambda c: F.coalesce(F.col(f"a.{c}"), F.lit(0)) + F.coalesce(F.col(f"b.{c}"), F.lit(0))
+    differing = joined.where(~F.coalesce(same, F.lit(False))).select("bucket", size("n").alias("n"), size("width").alias("width"))
+    differing = cut_lineage(differing)
+    total = differing.agg(F.sum("n").alias("n"), F.sum("width").alias("width")).first()
+    empty = keyed[0].select("record").where(F.lit(False))
+    if not total["n"]:
         found = _differences(empty, empty)
         return found.select("record", F.col("expected_n").alias("left_n"), F.col("actual_n").alias("right_n"))
-    opened = [d.join(small(differing), "bucket", "left_semi").select("record") for d in digests]
+    opened = [d.join(small(differing.select("bucket")), "bucket", "left_semi").select("record") for d in digests]
+    if column is None and total["width"] <= WIDE * total["n"]:
+        found = _differences(opened[0], opened[1])
+        return found.select("record", F.col("expected_n").alias("left_n"), F.col("actual_n").alias("right_n"))
+    if column is None:
+        keyed, opened = ([df.withColumn("record", F.md5("record")) for df in frames] for frames in (keyed, opened))
     # Counted first, so that texts are only read again when there are differences to show.
     found = cut_lineage(_differences(opened[0], opened[1]))
     if found.isEmpty():

@@ -1,5 +1,9 @@
 """Routing, upserts, changes, metrics, retention and parity on small literal rows."""
 
+import contextlib
+import io
+import json
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -294,3 +298,22 @@ def test_enrich_rows_keeps_columns_and_metadata(spark):
     assert got == {1: (5.0, {"k": "v", "enrich.status": "404", "enrich.response": None}), 2: (30.0, {"enrich.status": "200", "enrich.response": None})}
     with pytest.raises(Exception, match="returned 0 rows"):
         routing.enrich_rows(df, lambda b: pd.DataFrame({"status": []})).collect()
+
+
+def test_parity_counts_short_rows_in_one_shuffle(spark):
+    """Short rows are counted by their text and never joined to it again; wide ones by digest, alike."""
+    left = spark.range(500).select("id", F.lit("x").alias("t"))
+    right = left.where("id <> 3").unionByName(left.where("id = 5")).withColumn("t", F.when(F.col("id") == 8, "y").otherwise(F.col("t")))
+    found = parity.parity(left, right)
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        found.explain()
+    assert "SortMergeJoin" not in plan.getvalue() and plan.getvalue().count("hashpartitioning(") == 1
+    expected = [(3, "x", 1, 0), (5, "x", 1, 2), (8, "x", 1, 0), (8, "y", 0, 1)]
+
+    def shown(frame):
+        return sorted((json.loads(r.record)["id"], json.loads(r.record)["t"][0], r.left_n, r.right_n) for r in frame.collect())
+
+    assert shown(found) == expected
+    wide = [df.withColumn("t", F.expr("repeat(t, 1000)")) for df in (left, right)]
+    assert shown(parity.parity(*wide)) == expected
+    assert parity.parity(wide[0], wide[0]).count() == 0
