@@ -8,13 +8,20 @@ whose estimate, corrected for registers that agree by chance, is clearly too low
 both texts meet and the sets are compared in full.
 
 Equal sets are one class first, so copies are never compared. Within a band's group not all pairs
-are tried: the first round compares members with one pivot, later rounds take 16 times as many
-pivots each and only members whose component still differs from the pivot's, until no such pair is
-left. So every link between different components is found, as if all pairs had been tried.
-Large families of copies hold many that are too far from all others; for groups of over ``SMALL``
-members whose components differ, each member's shingles that any other such member may hold are
-counted. No intersection within those groups is larger than that count, so most such members drop
-out of them unpaired; in its other groups a member stays.
+are tried: the first round compares members with one pivot. Groups that then still hold different
+components are compared whole where they have at most ``SMALL`` members. Of larger ones, each
+member's shingles that any other such member may hold are counted; no intersection within those
+groups is larger than that count, so most members that are far from all others drop out of them
+unpaired; in its other groups a member stays.
+
+What is left of the large groups meets on rare elements only, which loses no link. A member's centre
+is its likely pivot with the most company, itself without one. Where two members share a centre p,
+their differences from it, R(x) = x ^ p and R(y), decide: |x ^ y| = |R(x)| + |R(y)| - 2 |R(x) & R(y)|.
+If both are linked with p they are one component; else at least one is far, which asks for so many
+common elements of R(x) and R(y) that the rarest ones of both, all but the asked number less one,
+must share one. Private edits of a copy are met by nobody, and places that many copies changed are
+the most frequent elements, seldom among those. Members of different centres meet on the rarest
+shingles of their sets in the same way.
 
 Defined cases: text that is null or without words has an empty set and no links; with fewer words
 than a shingle the whole sequence is the one shingle; a document with a null doc_id has no links
@@ -26,7 +33,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sluicework.llm.components import components
 from sluicework.llm.frames import staged
@@ -39,7 +47,7 @@ BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // BAND
 #: Estimates may lie below the threshold by as much before a candidate goes: six deviations.
 MARGIN = 0.2
-#: Times as many pivots in each round.
+#: Without effect since large groups meet on rare elements; a test still sets it.
 WIDEN = 16
 #: Groups of as many members are compared at once after the first round.
 SMALL = 64
@@ -135,8 +143,8 @@ def _slice_and_bit(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(56)).astype(np.int64), (h % np.uint64(SHARED_BITS // SLICES)).astype(np.int64)
 
 
-def shared_counts(texts: DataFrame, size: int) -> DataFrame:
-    """Per document of ``texts``: doc_id, and at most how many of its shingles another one holds.
+def shared_table(texts: DataFrame, size: int) -> Broadcast:
+    """Bits of the shingles that two documents of ``texts`` hold.
 
     Hashes go to the slices of a bit table of fixed size; a slice marks bits met by two documents.
     """
@@ -162,23 +170,99 @@ def shared_counts(texts: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()])], names=["slice", "twice"])
 
     dealt = texts.mapInArrow(deal, "slice int, bits binary").repartition(SLICES, "slice")
-    rows = {r["slice"]: bytes(r["twice"]) for r in dealt.mapInArrow(mark, "slice int, twice binary").toLocalIterator()}
+    rows = {r["slice"]: bytes(r["twice"]) for r in dealt.mapInArrow(mark, "slice int, twice binary").collect()}
     nothing = bytes(SHARED_BITS // SLICES // 8)
-    held = texts.sparkSession.sparkContext.broadcast(b"".join(rows.get(i, nothing) for i in range(SLICES)))
+    return texts.sparkSession.sparkContext.broadcast(b"".join(rows.get(i, nothing) for i in range(SLICES)))
+
+
+def _met(hashes: np.ndarray, held: Broadcast) -> np.ndarray:
+    """Whether two documents may hold each of the shingles."""
+    slices, bits = _slice_and_bit(hashes)
+    at = slices * (SHARED_BITS // SLICES) + bits
+    return (np.frombuffer(held.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def shared_counts(texts: DataFrame, held: Broadcast, size: int) -> DataFrame:
+    """Per document of ``texts``: doc_id, and at most how many of its shingles another one holds."""
 
     def count(batches):
-        table = np.frombuffer(held.value, np.uint8)
         for part in chunks(batches, "text"):
             hashes, bounds = shingle_sets(part.column("text"), size)
-            slices, bits = _slice_and_bit(hashes)
-            at = slices * (SHARED_BITS // SLICES) + bits
-            met = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            running = np.concatenate([[0], np.cumsum(met)])
+            running = np.concatenate([[0], np.cumsum(_met(hashes, held))])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(running[bounds]).astype(np.int64))], names=["doc_id", "shared"])
 
     return texts.mapInArrow(count, "doc_id long, shared long")
 
 
+def _rare(elements: DataFrame, by: list[str]) -> DataFrame:
+    """``elements`` that are among the rarest of their version; ``asked`` - 1 of the most frequent go.
+
+    An element that only one version holds meets nobody. Any order that all versions of ``by`` share would do.
+    """
+    often = elements.groupBy(*by, "element").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    order = Window.partitionBy(*by, "doc_id", "version").orderBy(F.desc("often"), F.desc("element"))
+    return elements.join(often, [*by, "element"]).withColumn("nth", F.row_number().over(order)).drop("often")
+
+
+def _within_centres(centres: DataFrame, texts: DataFrame, held: Broadcast, size: int, part: int, whole: int) -> DataFrame:
+    """Pairs (x, y) of members of one centre that may be linked, but for pairs both linked with it."""
+
+    def differ(batches):
+        for rows in chunks(batches, "text", 1 << 19):
+            (hx, bx), (hc, bc) = (shingle_sets(rows.column(c), size) for c in ("text", "other"))
+            kept, sizes, asked, asked_far = [np.zeros(0, np.uint64)], [], [], []
+            for i in range(rows.num_rows):
+                x, c = hx[bx[i] : bx[i + 1]], hc[bc[i] : bc[i + 1]]
+                own, lost = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
+                r, slack = len(own) + len(lost), whole - part
+                # Twice whole + part common elements are above the first with a far partner, at least the second with any.
+                above, least = r * (whole + part) + slack * (len(c) - len(x)), r * (whole + part) - slack * (len(c) + len(x))
+                kept += [own[_met(own, held)], lost]
+                sizes.append(len(kept[-2]) + len(lost))
+                asked.append(max(1, above // (2 * (whole + part)) + 1))
+                asked_far.append(max(1, -(-least // (2 * (whole + part)))) if least > 0 else None)
+            at = pa.array(np.repeat(np.arange(rows.num_rows), sizes))
+            columns = [rows.column(n) for n in ("centre", "doc_id", "version")] + [pa.array(v, pa.int64()) for v in (asked, asked_far)]
+            taken = [c.take(at) for c in columns]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(np.concatenate(kept).view(np.int64))], names=["centre", "doc_id", "version", "asked", "asked_far", "element"])
+
+    others = texts.select(F.col("doc_id").alias("centre"), F.col("text").alias("other"))
+    both = texts.join(centres.where("doc_id <> centre").select("doc_id", "centre"), "doc_id").join(others, "centre")
+    # A centre whose id has several texts is as many centres.
+    both = both.select(F.xxhash64("centre", "other").alias("centre"), "doc_id", F.xxhash64("text").alias("version"), "text", "other")
+    elements = staged(both.mapInArrow(differ, "centre long, doc_id long, version long, asked long, asked_far long, element long"), "differences")
+    rare = _rare(elements, ["centre"]).where("nth >= asked OR nth >= asked_far")
+    rare = staged(rare.join(centres.select("doc_id", "label"), "doc_id"), "rare")
+    near = rare.where("nth >= asked").select("centre", "element", F.col("doc_id").alias("x"), F.col("label").alias("label_x"))
+    far = rare.where("nth >= asked_far").select("centre", "element", F.col("doc_id").alias("y"), F.col("label").alias("label_y"))
+    return near.join(far, ["centre", "element"]).where("label_x <> label_y").select("x", "y")
+
+
+def _across_centres(centres: DataFrame, texts: DataFrame, held: Broadcast, size: int, part: int, whole: int) -> DataFrame:
+    """Pairs (x, y) of members of different centres that may be linked."""
+
+    def spread(batches):
+        for rows in chunks(batches, "text"):
+            hashes, bounds = shingle_sets(rows.column("text"), size)
+            met = _met(hashes, held)
+            at = np.repeat(np.arange(rows.num_rows), np.diff(bounds))[met]
+            asked = -(-part * np.diff(bounds) // whole)[at]
+            taken = rows.select(["doc_id", "version"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(asked), pa.array(hashes[met].view(np.int64))], names=["doc_id", "version", "asked", "element"])
+
+    own = texts.join(centres.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("version"), "text")
+    elements = staged(own.mapInArrow(spread, "doc_id long, version long, asked long, element long"), "elements")
+    rare = _rare(elements, []).where("nth >= asked").select("element", "doc_id")
+    rare = staged(rare.distinct().join(centres.select("doc_id", "label", "centre"), "doc_id"), "rare")
+    # The centres that meet on an element first, so that the members of one never meet there.
+    at = rare.select("element", "centre").distinct()
+    meet = at.join(at.withColumnRenamed("centre", "further"), "element").where("centre < further")
+    one = rare.select("element", "centre", F.col("doc_id").alias("x"), F.col("label").alias("label_x"))
+    two = rare.select("element", F.col("centre").alias("further"), F.col("doc_id").alias("y"), F.col("label").alias("label_y"))
+    pairs = one.join(meet, ["element", "centre"]).join(two, ["element", "further"])
+    return pairs.where("label_x <> label_y").select("x", "y")
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose sizes allow the similarity and whose estimate isn't clearly too low."""
 
@@ -233,51 +317,58 @@ def links_of(docs: DataFrame, classes: DataFrame, size: int, part: int, whole: i
         """Whether two members' shared counts and sizes allow the similarity."""
         return F.least(f"s{one}", f"s{other}") * F.lit(1 + least) >= (F.col(f"n{one}") + F.col(f"n{other}")) * F.lit(least - 1e-9)
 
-    def confirm(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def confirm(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
         pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         likely = staged(_estimated(pairs, classes, least), "likely")
-        found = staged(_confirmed(likely, docs, size, part, whole), "links")
-        return (pairs if tried is None else tried.unionByName(pairs)), found
+        return pairs, likely, staged(_confirmed(likely, docs, size, part, whole), "links")
 
-    tried, links = confirm(stars.select(F.col("doc_id").alias("x"), F.col("pivot").alias("y")), None)
+    tried, likely, links = confirm(stars.select(F.col("doc_id").alias("x"), F.col("pivot").alias("y")), None)
     labels = components(links)
-    left = bands.select("band", "key", "members", "doc_id", F.col("n_shingles").alias("nx"), F.col("n_shingles").alias("sx"))
-    pivots, counted = WIDEN, False
-    while True:
-        # Members of groups that still hold two components.
-        own = left.join(labels, left.doc_id == labels.node, "left").select(*left.columns, F.coalesce("label", "doc_id").alias("label"))
-        mixed = own.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key")
-        own = staged(own.join(mixed, ["band", "key"]), "mixed")
-        if not counted:
-            counted = True
-            many = own.where(F.col("members") > SMALL).select("doc_id").distinct()
-            texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            counts = shared_counts(staged(texts.join(many, "doc_id", "left_semi"), "crowded"), size)
-            counts = staged(counts.groupBy("doc_id").agg(F.max("shared").alias("shared")), "shared")
-            # Only in the large groups are all partners counted; in others every shingle may be shared.
-            bound = F.when(F.col("members") > SMALL, F.least("sx", F.coalesce("shared", "sx"))).otherwise(F.col("sx"))
-            own = own.join(counts, "doc_id", "left").withColumn("sx", bound).drop("shared")
-            # The smallest partner that a group offers, and that the similarity allows.
-            smallest = own.groupBy("band", "key").agg(F.min("nx").alias("smallest"))
-            own = own.join(smallest, ["band", "key"]).withColumns({"sy": F.col("sx"), "ny": F.greatest("smallest", F.col("nx") * F.lit(least))})
-            own = own.where(F.col("sx") * F.lit(1 + least) >= (F.col("nx") + F.col("ny")) * F.lit(least - 1e-9)).drop("smallest", "sy", "ny")
-            own = staged(own, "able")
-        widest = own.agg(F.max("members")).first()[0] or 0
-        if not widest:
-            return links, labels
-        # The members whose hash lies in the part that this round's pivots take.
-        chosen = own.where((F.col("members") <= SMALL) | (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.col("members")) < pivots))
-        chosen = chosen.select("band", "key", F.col("doc_id").alias("y"), F.col("nx").alias("ny"), F.col("sx").alias("sy"), F.col("label").alias("other"))
-        pairs = own.join(chosen, ["band", "key"]).where((F.col("label") != F.col("other")) & fits("x", "y"))
-        tried, found = confirm(pairs.select(F.col("doc_id").alias("x"), "y"), tried)
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            labels = components(links)
-        if pivots >= widest:
-            return links, labels
-        left = own.where(F.col("members") > SMALL).drop("label")
-        pivots *= WIDEN
+    own = bands.select("band", "key", "members", "doc_id", F.col("n_shingles").alias("nx"), F.col("n_shingles").alias("sx"))
+    # Members of groups that still hold two components.
+    own = own.join(labels, own.doc_id == labels.node, "left").select(*own.columns, F.coalesce("label", "doc_id").alias("label"))
+    mixed = own.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key")
+    own = staged(own.join(mixed, ["band", "key"]), "mixed")
+    many = own.where(F.col("members") > SMALL).select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    crowded = staged(texts.join(many, "doc_id", "left_semi").distinct(), "crowded")
+    held = shared_table(crowded, size)
+    counts = staged(shared_counts(crowded, held, size).groupBy("doc_id").agg(F.max("shared").alias("shared")), "shared")
+    # Only in the large groups are all partners counted; in others every shingle may be shared.
+    bound = F.when(F.col("members") > SMALL, F.least("sx", F.coalesce("shared", "sx"))).otherwise(F.col("sx"))
+    own = own.join(counts, "doc_id", "left").withColumn("sx", bound).drop("shared")
+    # The smallest partner that a group offers, and that the similarity allows.
+    smallest = own.groupBy("band", "key").agg(F.min("nx").alias("smallest"))
+    own = own.join(smallest, ["band", "key"]).withColumns({"sy": F.col("sx"), "ny": F.greatest("smallest", F.col("nx") * F.lit(least))})
+    own = own.where(F.col("sx") * F.lit(1 + least) >= (F.col("nx") + F.col("ny")) * F.lit(least - 1e-9)).drop("smallest", "sy", "ny")
+    own = staged(own, "able")
+    if not own.limit(1).count():
+        return links, labels
+    few = own.where(F.col("members") <= SMALL)
+    other = few.select("band", "key", F.col("doc_id").alias("y"), F.col("nx").alias("ny"), F.col("sx").alias("sy"), F.col("label").alias("other"))
+    pairs = few.join(other, ["band", "key"]).where((F.col("label") != F.col("other")) & (F.col("doc_id") < F.col("y")) & fits("x", "y"))
+    pairs = pairs.select(F.col("doc_id").alias("x"), "y")
+    crowd = own.where(F.col("members") > SMALL).groupBy("doc_id").agg(F.min("label").alias("label"), F.min("nx").alias("n"), F.max("sx").alias("s"))
+    crowd = staged(crowd, "crowd")
+    if crowd.limit(1).count():
+        ends = likely.select(F.col("a").alias("doc_id"), F.col("b").alias("centre")).unionByName(likely.select(F.col("b").alias("doc_id"), F.col("a").alias("centre")))
+        ends = ends.unionByName(crowd.select("doc_id", F.col("doc_id").alias("centre"))).join(crowd, "doc_id")
+        ends = ends.join(company.withColumnRenamed("doc_id", "centre"), "centre")
+        centres = ends.groupBy("doc_id", "label", "n", "s").agg(F.max(F.struct("company", "centre"))["centre"].alias("centre"))
+        centres = staged(centres, "centres")
+        needed = centres.select("doc_id").unionByName(centres.select(F.col("centre").alias("doc_id"))).distinct()
+        whole_texts = staged(texts.join(needed, "doc_id", "left_semi").distinct(), "centred")
+        met = _within_centres(centres, whole_texts, held, size, part, whole).unionByName(_across_centres(centres, whole_texts, held, size, part, whole))
+        met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        for side in ("x", "y"):
+            met = met.join(centres.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("s").alias(f"s{side}")), side)
+        pairs = pairs.unionByName(met.where(fits("x", "y")).select("x", "y"))
+    _, _, found = confirm(pairs, tried)
+    if not found.limit(1).count():
+        return links, labels
+    links = links.unionByName(found)
+    return links, components(links)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100) -> DataFrame:

@@ -135,6 +135,37 @@ def test_near_duplicates_of_a_crowded_and_an_uncrowded_member(spark):
     assert got == brute.near_duplicates(rows, 1, 80, 100)
 
 
+def test_near_duplicates_of_a_family_try_few_pairs(spark, monkeypatch):
+    """Copies linked with the base, couples linked with each other only, and far ones linked through a near one."""
+    monkeypatch.setattr(near_duplicates, "SMALL", 2)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+
+    def edited(edits):
+        return " ".join(edits.get(i, w) for i, w in enumerate(base))
+
+    def some(n, name):
+        return {3 * p + 1: f"{name}{p}" for p in rng.sample(range(39), n)}
+
+    texts = [" ".join(base)] + [edited(some(rng.choice([1, 2, 3]), f"c{i}x")) for i in range(60)]
+    for i in range(40):
+        both = list(some(5, f"d{i}x").items())
+        texts += [edited(dict(both[:4])), edited(dict(both[:3] + both[4:] if i < 30 else both[:3]))]
+    rng.shuffle(texts)
+    tried, real = [], near_duplicates._estimated
+
+    def counted(pairs, classes, least):
+        tried.append(pairs.count())
+        return real(pairs, classes, least)
+
+    monkeypatch.setattr(near_duplicates, "_estimated", counted)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: tuple(r)[1:] for r in near_duplicates.near_duplicates(frame(spark, rows), 3, 85, 100).collect()}
+    want = brute.near_duplicates(rows, 3, 85, 100)
+    assert got == want and sorted(set(map([v[1] for v in want.values()].count, {v[1] for v in want.values()}))) == [2, 81]
+    assert sum(tried) < 10 * len(rows), tried
+
+
 def test_near_duplicates_without_ids_or_rows(spark):
     rows = [(None, "a b c d e"), (None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e")]
     got = near_duplicates.near_duplicates(frame(spark, rows), 3).collect()
