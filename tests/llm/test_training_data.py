@@ -5,6 +5,7 @@ import os
 import random
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -135,34 +136,56 @@ def test_near_duplicates_of_a_crowded_and_an_uncrowded_member(spark):
     assert got == brute.near_duplicates(rows, 1, 80, 100)
 
 
-def test_near_duplicates_of_a_family_try_few_pairs(spark, monkeypatch):
-    """Copies linked with the base, couples linked with each other only, and far ones linked through a near one."""
-    monkeypatch.setattr(near_duplicates, "SMALL", 2)
-    rng = random.Random(7)
+def copies_of_one_base(seed, size, most):
+    """Copies linked with the base (up to ``most`` edits), couples linked with each other only, far ones linked through a near one."""
+    rng = random.Random(seed)
     base = [f"w{i}" for i in range(120)]
 
     def edited(edits):
         return " ".join(edits.get(i, w) for i, w in enumerate(base))
 
     def some(n, name):
-        return {3 * p + 1: f"{name}{p}" for p in rng.sample(range(39), n)}
+        return {size * p + size // 2: f"{name}{p}" for p in rng.sample(range(120 // size - 1), n)}
 
-    texts = [" ".join(base)] + [edited(some(rng.choice([1, 2, 3]), f"c{i}x")) for i in range(60)]
+    texts = [" ".join(base)] + [edited(some(rng.randrange(1, most + 1), f"c{i}x")) for i in range(60)]
     for i in range(40):
-        both = list(some(5, f"d{i}x").items())
-        texts += [edited(dict(both[:4])), edited(dict(both[:3] + both[4:] if i < 30 else both[:3]))]
+        both = list(some(most + 2, f"d{i}x").items())
+        texts += [edited(dict(both[:-1])), edited(dict(both[:most] + both[-1:] if i < 30 else both[:most]))]
     rng.shuffle(texts)
-    tried, real = [], near_duplicates._estimated
+    return list(enumerate(texts))
+
+
+@pytest.fixture
+def tried(monkeypatch):
+    """The numbers of pairs that each round of near-duplicates tries, with all groups of three and more large."""
+    monkeypatch.setattr(near_duplicates, "SMALL", 2)
+    numbers, real = [], near_duplicates._estimated
 
     def counted(pairs, classes, least):
-        tried.append(pairs.count())
+        numbers.append(pairs.count())
         return real(pairs, classes, least)
 
     monkeypatch.setattr(near_duplicates, "_estimated", counted)
-    rows = list(enumerate(texts))
+    return numbers
+
+
+def test_near_duplicates_of_a_family_try_few_pairs(spark, tried):
+    rows = copies_of_one_base(7, 3, 3)
     got = {r.doc_id: tuple(r)[1:] for r in near_duplicates.near_duplicates(frame(spark, rows), 3, 85, 100).collect()}
     want = brute.near_duplicates(rows, 3, 85, 100)
-    assert got == want and sorted(set(map([v[1] for v in want.values()].count, {v[1] for v in want.values()}))) == [2, 81]
+    assert got == want
+    assert sorted(Counter(v[1] for v in want.values()).values()) == [2] * 30 + [81]
+    assert sum(tried) < 10 * len(rows), tried
+
+
+@pytest.mark.skipif(not importlib.util.find_spec("corpus_pipeline"), reason="no pipeline here")
+def test_the_pipeline_keeps_one_of_a_family_and_tries_few_pairs(spark, tried):
+    import corpus_pipeline
+
+    rows = copies_of_one_base(9, 5, 2)
+    want = {d for d, (_, _, kept) in brute.near_duplicates(rows, 5, 80, 100).items() if kept}
+    assert len(want) == 31
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, frame(spark, rows), "").collect()} == want
     assert sum(tried) < 10 * len(rows), tried
 
 
