@@ -6,8 +6,8 @@ product, which is the same as a lower bound of their distance: |a - b|^2 = |a|^2
 Pairs of a block of queries and a block of candidates are bounded at ``LEVELS`` resolutions; those
 that could still be among a query's best get their exact score.
 
-Queries are compared with all rows in blocks: block pairs are spread over the tasks by a salt, each
-task keeps the best k so far of its queries, and the tasks' best meet in a ranking per query.
+Queries are compared with all rows in blocks: ``meeting`` deals both tables over the tasks, each task
+keeps the best k so far of its queries, and the tasks' best meet in a ranking per query.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do
 rows without an id; a query never meets rows of its own id; of repeated query ids the smallest
@@ -16,16 +16,20 @@ vector asks; repeated candidate rows all count; vectors are compared with those
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sluicework.llm.frames import tasks
+from sluicework.llm.meeting import by_length, held, matrix, meet, sides, sizes
 
 LEVELS = (4, 16)
 BLOCK = 1024
 #: Pairs whose vectors are held at once for exact scores.
 PAIRS = 16_384
+#: One product scores all pairs of two blocks where more than one in so many is left.
+DENSE = 32
 #: Doubles hold whole numbers up to here; beyond it scores are taken in 64-bit integers.
 EXACT = float(1 << 53)
 
@@ -50,33 +54,42 @@ def statistics(vectors: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarr
     return means * np.sqrt(lengths), np.sqrt(squares) * np.sqrt(lengths)
 
 
+class Block:
+    """Rows with vectors of one length, and the statistics of their segments."""
+
+    def __init__(self, rows: pa.RecordBatch, dim: int):
+        self.ids, self.vectors = rows.column("vec_id").to_numpy(), matrix(rows, dim)
+        self.levels = [np.hstack(statistics(self.vectors, s)) for s in LEVELS] if dim else []
+        self.most = float(np.abs(self.vectors).max(initial=0))
+
+
 class Best:
     """The best k candidates so far of a block of queries."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
-        self.levels = [np.hstack(statistics(vectors, s)) for s in LEVELS]
-        self.found: list[list[tuple[int, int]]] = [[] for _ in ids]
-        self.floor = np.full(len(ids), -np.inf)
-        self.most = float(np.abs(vectors).max(initial=0))
+    def __init__(self, block: Block, k: int):
+        self.block, self.ids, self.k = block, block.ids, k
+        self.found: list[list[tuple[int, int]]] = [[] for _ in block.ids]
+        self.floor = np.full(len(block.ids), -np.inf)
+        #: The id of the k-th, where that one's score is the floor.
+        self.last = np.full(len(block.ids), np.iinfo(np.int64).max)
 
-    def scores(self, q: np.ndarray, c: np.ndarray, vectors: np.ndarray, exact: bool) -> np.ndarray:
+    def scores(self, q: np.ndarray, c: np.ndarray, block: Block, exact: bool) -> np.ndarray:
         out = np.zeros(len(q), np.int64)
         for i in range(0, len(q), PAIRS):
-            a, b = self.vectors[q[i : i + PAIRS]], vectors[c[i : i + PAIRS]]
+            a, b = self.block.vectors[q[i : i + PAIRS]], block.vectors[c[i : i + PAIRS]]
             if exact:
                 a, b = a.astype(float), b.astype(float)
             out[i : i + PAIRS] = np.einsum("ij,ij->i", a, b)
         return out
 
-    def offer(self, ids: np.ndarray, vectors: np.ndarray):
-        if not len(ids) or not vectors.shape[1]:
+    def offer(self, block: Block):
+        ids, dim = block.ids, block.vectors.shape[1]
+        if not len(ids) or not dim:
             q, c = np.nonzero(self.ids[:, None] != ids[None, :])
             self._take(q, c, np.zeros(len(q), np.int64), ids)
             return
-        exact = self.most * float(np.abs(vectors).max()) * vectors.shape[1] < EXACT
-        levels = [np.hstack(statistics(vectors, s)) for s in LEVELS]
-        coarse = self.levels[0] @ levels[0].T
+        exact = self.block.most * block.most * dim < EXACT
+        coarse = self.block.levels[0] @ block.levels[0].T
         other = self.ids[:, None] != ids[None, :]
         # Rounding of the bounds themselves.
         slack = 1e-9 * (1 + np.abs(coarse).max())
@@ -84,17 +97,31 @@ class Best:
             # The most promising candidates first, for a floor to prune by.
             first = np.argpartition(np.where(other, -coarse, np.inf), self.k, axis=1)[:, : self.k + 1]
             q, c = np.repeat(np.arange(len(self.ids)), self.k + 1), first.ravel()
-            s = np.where(other[q, c], self.scores(q, c, vectors, exact).astype(float), -np.inf).reshape(-1, self.k + 1)
-            self.floor = np.maximum(self.floor, np.sort(s, axis=1)[:, -self.k])
+            s = np.where(other[q, c], self.scores(q, c, block, exact).astype(float), -np.inf).reshape(-1, self.k + 1)
+            kth = np.sort(s, axis=1)[:, -self.k]
+            self.last[kth > self.floor] = np.iinfo(np.int64).max
+            self.floor = np.maximum(self.floor, kth)
         alive = other & (coarse + slack >= self.floor[:, None])
         # Queries and candidates without any pair left need no finer bounds.
         rows, columns = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
-        fine = self.levels[1][rows] @ levels[1][columns].T
+        fine = self.block.levels[1][rows] @ block.levels[1][columns].T
         slack = 1e-9 * (1 + np.abs(fine).max(initial=0))
         left = alive[np.ix_(rows, columns)] & (fine + slack >= self.floor[rows, None])
-        q, c = np.nonzero(left)
-        q, c = rows[q], columns[c]
-        self._take(q, c, self.scores(q, c, vectors, exact), ids)
+        if exact and DENSE * np.count_nonzero(left) > left.size:
+            # Many pairs are left: one product of whole numbers in doubles, exact like the sums of pairs.
+            product = self.block.vectors[rows].astype(float) @ block.vectors[columns].astype(float).T
+            q, c = np.nonzero(left & (product >= self.floor[rows, None]))
+            s = product[q, c].astype(np.int64)
+            q, c = rows[q], columns[c]
+        else:
+            q, c = np.nonzero(left)
+            q, c = rows[q], columns[c]
+            s = self.scores(q, c, block, exact)
+        reached = s >= self.floor[q]
+        if exact:
+            # Of equal scores smaller ids only; floors of larger scores are rounded, so that they may seem equal.
+            reached &= (s > self.floor[q]) | (ids[c] < self.last[q])
+        self._take(q[reached], c[reached], s[reached], ids)
 
     def _take(self, q: np.ndarray, c: np.ndarray, s: np.ndarray, ids: np.ndarray):
         order = np.lexsort((ids[c], -s, q))
@@ -105,63 +132,42 @@ class Best:
         for i in np.unique(q):
             self.found[i] = sorted(self.found[i])[: self.k]
             if len(self.found[i]) == self.k:
-                self.floor[i] = max(self.floor[i], -self.found[i][-1][0])
+                score, last = self.found[i][-1]
+                if -score >= self.floor[i]:
+                    self.floor[i], self.last[i] = -score, last
 
     def rows(self) -> pa.RecordBatch:
         flat = [(int(i), j, -s) for i, best in zip(self.ids, self.found, strict=True) for s, j in best]
         return pa.RecordBatch.from_arrays([pa.array([f[x] for f in flat], pa.int64()) for x in range(3)], names=["query_id", "vec_id", "score"])
 
 
-def _blocks(part: pa.RecordBatch):
-    """Blocks of rows with vectors of one length: (dim, ids, vectors)."""
-    ids, lists = part.column("vec_id").to_numpy(), part.column("v")
-    sizes = np.diff(lists.offsets.to_numpy())
-    flat, begins = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    for dim in np.unique(sizes):
-        rows = np.flatnonzero(sizes == dim)
-        for i in range(0, len(rows), BLOCK):
-            at = rows[i : i + BLOCK]
-            yield int(dim), ids[at], flat[begins[at][:, None] + np.arange(dim)].astype("<i8").reshape(len(at), dim)
-
-
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """Per query its k highest scores: query_id, rank, vec_id, score; ties to the smaller vec_id.
 
     Both tables are of the form that ``quantised`` returns.
     """
-    spark = queries.sparkSession
+    both = queries.select("v", F.lit(0).alias("side")).unionByName(candidates.select("v", F.lit(1).alias("side")))
+    of = sizes(both, F.col("side") == 0, F.col("side") == 1)
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    spread = tasks(queries)
-    packed = "dim int, ids binary, vectors binary"
-
-    def pack(batches):
-        for part in batches:
-            for dim, ids, vectors in _blocks(part):
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([vectors.tobytes()])], names=["dim", "ids", "vectors"])
-
-    n_blocks = max(1, -(-queries.count() // BLOCK))
-    asked = (
-        queries.repartition(n_blocks, F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))).mapInArrow(pack, packed)
-        .select("dim", F.monotonically_increasing_id().alias("block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    )
-    offered = candidates.mapInArrow(pack, packed).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int"))
-    pairs = asked.join(offered, ["dim", "salt"]).sortWithinPartitions("block")
 
     def compare(batches):
-        block, best = None, None
-        for part in batches:
-            for row in part.to_pylist():
-                if best is None or row["block"] != block:
-                    if best is not None:
-                        yield best.rows()
-                    ids = np.frombuffer(row["query_ids"], "<i8")
-                    block, best = row["block"], Best(ids, np.frombuffer(row["query_vectors"], "<i8").reshape(len(ids), row["dim"]), k)
-                ids = np.frombuffer(row["ids"], "<i8")
-                best.offer(ids, np.frombuffer(row["vectors"], "<i8").reshape(len(ids), row["dim"]))
-        if best is not None:
-            yield best.rows()
-
-    found = pairs.select("dim", "block", "query_ids", "query_vectors", "ids", "vectors").mapInArrow(compare, "query_id long, vec_id long, score long")
+        waiting, best = [], None
+        for side, part in sides(batches):
+            if side == 0:
+                waiting.append(part)
+                continue
+            if best is None:
+                best = {}
+                for dim, rows in held(waiting, BLOCK):
+                    best.setdefault(dim, []).append(Best(Block(rows, dim), k))
+                waiting = None
+            for dim, rows in by_length(part, BLOCK):
+                block = Block(rows, dim)
+                for b in best.get(dim, ()):
+                    b.offer(block)
+        for b in chain.from_iterable((best or {}).values()):
+            yield b.rows()
+
+    found = meet(queries, candidates.select("vec_id", "v"), of).mapInArrow(compare, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

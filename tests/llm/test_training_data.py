@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 import brute  # noqa: E402
 from sluicework.llm import (  # noqa: E402
-    chat, components, decontamination, language, licences, near_duplicates, nearest, packing, quality, substrings, token_files,
+    chat, components, decontamination, language, licences, meeting, near_duplicates, nearest, packing, quality, substrings, token_files,
 )
 from sluicework.llm.tokens import encoder  # noqa: E402
 
@@ -329,6 +329,57 @@ def test_top_k_matches_brute_force(spark):
     assert nearest.top_k(ready.limit(0), ready).count() == 0
 
 
+def test_top_k_copies_no_queries_through_the_driver(spark):
+    rng = np.random.default_rng(5)
+    ready = nearest.quantised(spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(500)], "vec_id long, embedding array<float>"))
+    found = nearest.top_k(ready.where("vec_id % 50 = 0"), ready)
+    assert len(found.collect()) == 50
+    # Copies of the queries grow far beyond the size that Spark expects of a broadcast side.
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_asker_meets_every_offer_once_in_any_grid(spark, monkeypatch):
+    assert meeting.grid(meeting.Sizes(0, 0, 0, 0), 8) == (1, 1) and meeting.grid(meeting.Sizes(100, 100, 800, 800), 8) == (1, 1)
+    wide = meeting.grid(meeting.Sizes(10**6, 5 * 10**7, 10 * meeting.HELD + 1, 0), 48)
+    assert wide[0] == 11 and 48 <= wide[0] * wide[1] <= 48 + wide[0]
+    assert meeting.grid(meeting.Sizes(10, 10**7, 80, 90 * meeting.PASSING), 48) == (1, 90)
+    monkeypatch.setattr(meeting, "PAIRS", 1)
+    for held, cells in ((1 << 20, 4), (800, 4), (200, 1)):
+        monkeypatch.setattr(meeting, "HELD", held)
+        asked = spark.createDataFrame([(i, [i, i]) for i in range(50)], "vec_id long, v array<long>")
+        offered = spark.createDataFrame([(i % 90, [i // 2, 1], "x") for i in range(200)], "vec_id long, v array<long>, label string")
+        of = meeting.sizes(asked.select("v", F.lit(True).alias("a")).unionByName(offered.select("v", F.lit(False).alias("a"))), F.col("a"), ~F.col("a"))
+        assert of == (50, 200, 800, 3200)
+        met = meeting.meet(asked, offered, of).select("*", F.spark_partition_id().alias("cell")).collect()
+        lines, columns = meeting.grid(of, 4)
+        assert lines >= -(-800 // held) and lines * columns > 1
+        cells = {}
+        for r in met:
+            cells.setdefault(r.cell, ([], []))[r.side].append((r.vec_id, tuple(r.v)))
+        pairs = sorted((a, o) for asks, offers in cells.values() for a in asks for o in offers)
+        assert pairs == sorted(((i, (i, i)), (j % 90, (j // 2, 1))) for i in range(50) for j in range(200))
+        for cell in cells:
+            sides = [r.side for r in met if r.cell == cell]
+            assert sides == sorted(sides)
+
+
+def test_top_k_of_ties_in_small_blocks_and_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 5)
+    monkeypatch.setattr(meeting, "PAIRS", 1)
+    monkeypatch.setattr(meeting, "HELD", 100)
+    rng = np.random.default_rng(6)
+    rows = [(int(i) % 70, [int(x) for x in rng.integers(-2, 3, size=3)]) for i in rng.permutation(140)]
+    rows += [(70, []), (71, []), (80, [1 << 31, 1 << 30, 3]), (90, [1 << 31, 1 << 30, 1]), (91, [1 << 31, 1 << 30, 2])]
+    table = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(5)
+    got = {}
+    for r in nearest.top_k(table.where("vec_id % 10 = 0"), table, k=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in {i for i, _ in rows if i % 10 == 0}:
+        v = min(v for i, v in rows if i == q)
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q and len(w) == len(v))[:3]
+        assert got[q] == [(i, -s) for s, i in best], q
+
+
 def test_bounds_never_lie_below_the_score():
     rng = np.random.default_rng(8)
     a, b = rng.integers(-500, 500, (40, 30)), rng.integers(-500, 500, (50, 30))
