@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluicework.llm import clustering, hard_negatives, page_text
+from sluicework.llm import clustering, hard_negatives, meeting, page_text
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -64,6 +64,27 @@ def test_hard_negatives_match_a_plain_search(spark):
     assert sorted(tuple(r) for r in got.collect()) == plain_negatives(rows)
 
 
+def test_hard_negatives_copy_no_anchors_through_the_driver(spark):
+    mined = hard_negatives.mine(hard_negatives.labelled(vectors(spark, random_rows())), F.col("vec_id") % 50 == 0)
+    mined.collect()
+    final = mined._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    # Anchors may meet their positives by a broadcast, but their copies meet the candidates by none.
+    assert final.count("BroadcastHashJoin") <= 1
+
+
+def test_hard_negatives_of_ties_in_small_blocks_and_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "BLOCK", 6)
+    monkeypatch.setattr(meeting, "PAIRS", 1)
+    monkeypatch.setattr(meeting, "HELD", 100)
+    rng = random.Random(9)
+    rows = [(i, [rng.randrange(-2, 3) / 256 * 40 for _ in range(3)], rng.randrange(3)) for i in range(130)]
+    rows += [(200 + i, rows[i][1], rows[i][2]) for i in range(30)]
+    rows += [(1000 + i, [4e6, 4e6 * rng.random(), -4e6 * rng.random(), 4.0], i % 3) for i in range(40)]
+    got = hard_negatives.mine(hard_negatives.labelled(vectors(spark, rows)), F.col("vec_id") % 10 == 0)
+    rows = [(i, None if v is None else [float(np.float32(x)) for x in v], label) for i, v, label in rows]
+    assert sorted(tuple(r) for r in got.collect()) == plain_negatives(rows, every=10)
+
+
 def test_hard_negatives_small_blocks_and_edges(spark, monkeypatch):
     monkeypatch.setattr(hard_negatives, "BLOCK", 7)
     rows = random_rows(n=120, dim=4, labels=2) + [(1000, [0.0] * 4, 0), (1050, [0.0] * 4, 1), (1100, [-0.5] * 4, 0)]
